@@ -27,6 +27,32 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_documents(spark, sf_dir), tokenizer_path())
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = _documents(spark, sf_dir)
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out_column().alias("held_out"), "score", "predicted", "language")
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import overlap
+
+    return overlap(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(_documents(spark, sf_dir))
+
+
+def op8_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pagetext import extract_text
+
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tokenfile import token_files
 
@@ -41,7 +67,53 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_packing, op9_token_files, op10_token_counts)
+    for f in (op2_packing, op3_toxicity, op5_decontamination, op6_license_scan, op8_page_text, op9_token_files, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+# Words of the three kinds that the contracts name.
+_ALNUM = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_PLAIN = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+_PLAIN_LOWER = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x20\x09-\x0D]+')"
+
+OP5_SQL = f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_ALNUM} AS ws FROM benchmark),
+bw AS (SELECT DISTINCT item_id, k, array_to_string(ws[i:i + k - 1], ' ') AS w
+  FROM (SELECT item_id, ws, least(10, len(ws)) AS k, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT doc_id, k, i, array_to_string(ws[i:i + k - 1], ' ') AS w
+  FROM (SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM bw) WHERE len(ws) >= k)),
+hit AS (SELECT doc_id, i, k, item_id FROM dw JOIN bw USING (k, w)),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+
+def op6_sql() -> str:
+    from .licenses import BASE, TEMPLATES, Template
+
+    place = "[i - 1 FOR i IN range(1, len(ws) + 1) IF {test}]"
+    places = {
+        label: place.format(test=" AND ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split())))
+        for phrase, label in BASE.items()
+    }
+    columns = ", ".join(f"{p} AS p{k}" for k, p in enumerate(places.values()))
+    every = " || ".join(f"p{k}" for k in range(len(places)))
+    base = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(places))
+    more = ", ".join(f"CASE WHEN regexp_matches(norm, '{Template.regex(t)}') THEN '{label}' END" for label, t in TEMPLATES.items())
+    joined = "array_to_string(list_sort(list_distinct({})), ',')"
+    return f"""
+WITH d AS (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+p AS (SELECT doc_id, ws, ' ' || array_to_string(ws, ' ') || ' ' AS norm, {columns} FROM d),
+q AS (SELECT doc_id, ws, {every} AS places, list_filter([{base}], lambda x: x IS NOT NULL) AS b, list_filter([{more}], lambda x: x IS NOT NULL) AS t FROM p)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(places) AS BIGINT) AS n_base, CAST(list_min(places) AS BIGINT) AS first_word,
+  CAST(list_max(places) AS BIGINT) AS last_word, {joined.format("b")} AS base_labels, {joined.format("b || t")} AS labels,
+  CASE WHEN len(t) > 0 THEN 1.0::DOUBLE WHEN len(b) > 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS score
+FROM q
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op5_decontamination": OP5_SQL, "op6_license_scan": op6_sql()}
