@@ -15,7 +15,7 @@ class WordIds:
     """bytes of little-endian uint32 ids for a text, with one tokenizer file."""
 
     #: Words held in each of the two cache generations.
-    HELD = 200_000
+    HELD = 400_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
