@@ -21,6 +21,14 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from .ann import search
+
+    return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 100 == 0)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack
 
@@ -79,7 +87,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op2_packing, op3_toxicity, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_near_duplicates, op8_page_text, op9_token_files, op10_token_counts)
+    for f in (op1_nearest_neighbours, op2_packing, op3_toxicity, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_near_duplicates, op8_page_text, op9_token_files, op10_token_counts)
 }
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
