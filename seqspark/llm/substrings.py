@@ -123,7 +123,7 @@ class Distinct:
         self.least = np.minimum.reduceat(docs, at) if len(at) else docs
         self.largest = np.maximum.reduceat(docs, at) if len(at) else docs
         self.buckets, self.begin = np.unique(self.bucket, return_index=True)
-        self.end = np.append(self.begin[1:], len(self.bucket))
+        self.end = np.append(self.begin, len(self.bucket))[1:]
 
     def sent(self, chunk: int, docs: bool) -> Iterator[dict]:
         for b, lo, hi in zip(self.buckets.tolist(), self.begin.tolist(), self.end.tolist(), strict=True):
