@@ -28,11 +28,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def save(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: cuts lineage, and survives the loss of executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written to the shared folder and read again: cuts lineage, and survives the loss of executors.
+
+    The shuffle files behind it are no longer needed then and are given back at once.
+    """
+    spark, key = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, before = new_folder(spark, name), spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Remove what save() wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        delete(df.sparkSession, df.folder)
 
 
 def delete(spark: SparkSession, path: str) -> None:

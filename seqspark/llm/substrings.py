@@ -36,7 +36,7 @@ from .wordarrays import PLAIN, Words, windows, words_of
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_500_000
 #: Hashes that one bucket holds on average.
 BUCKET_HASHES = 2_000_000
 _LAST = np.iinfo(np.int64).max
