@@ -1,7 +1,7 @@
 """Near-duplicate documents by an inverted join of MinHash signature coordinates.
 
-Every document's word shingles give a signature of COORDINATES minima, plus a
-finer sketch of further minima cut to a byte.  Documents with equal shingle sets
+Every document's word shingles give a signature of COORDINATES minima and as many
+more for a finer sketch; minima that are only probed are cut to a byte.  Documents with equal shingle sets
 are one class first, so copies are never paired.  The classes' signatures are
 posted under (coordinate, value) pairs.  Two documents at the threshold collide in
 about three of four coordinates; pairs below MATCHES collisions are not retained.
@@ -32,16 +32,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import save, text_blocks
+from .common import discard, save, text_blocks
 from .wordarrays import PLAIN_LOWER, mix, window_hashes, words_of
 
 SHINGLE = 5
 #: Jaccard similarity of a link, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 75, 100
-#: A pair at the threshold has fewer than MATCHES of COORDINATES collisions with probability under 1e-6,
-#: and fewer than FINE_MATCHES of FINE with less.
+#: A pair at the threshold has fewer than MATCHES of COORDINATES collisions, fewer than FINE_MATCHES
+#: of FINE, or fewer than PREFIX_MATCHES of PREFIX with probability under 1e-6 each.
 COORDINATES, MATCHES = 128, 72
-FINE, FINE_MATCHES = 512, 330
+FINE, FINE_MATCHES = 256, 156
+PREFIX, PREFIX_MATCHES = COORDINATES - MATCHES + 1, 25
 #: Lists up to SHORT members give all their pairs; members of longer ones meet in blocks of BLOCK.
 SHORT, BLOCK = 24, 512
 
@@ -87,8 +88,8 @@ _SIGNED = T.StructType(
 
 
 def _sketch(sig: np.ndarray) -> bytes:
-    """COORDINATES whole values, then the low byte of all."""
-    return sig[:COORDINATES].astype("<u4").tobytes() + (sig & np.uint32(0xFF)).astype(np.uint8).tobytes()
+    """The PREFIX whole values, then the low byte of all."""
+    return sig[:PREFIX].astype("<u4").tobytes() + (sig & np.uint32(0xFF)).astype(np.uint8).tobytes()
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -121,7 +122,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
 def _postings(classes: DataFrame) -> DataFrame:
     """(list, node) for the prefix coordinates of every class."""
-    salt = mix(np.arange(1, COORDINATES - MATCHES + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    salt = mix(np.arange(1, PREFIX + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -154,22 +155,52 @@ def _retained(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def alike(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
-    """Rows of sketches that collide in MATCHES coordinates and FINE_MATCHES of the finer ones."""
-    cut = 4 * COORDINATES
-    coarse = (np.ascontiguousarray(sa[:, :cut]).view("<u4") == np.ascontiguousarray(sb[:, :cut]).view("<u4")).sum(1)
-    return (coarse >= MATCHES) & ((sa[:, cut:] == sb[:, cut:]).sum(1) >= FINE_MATCHES)
+    """Rows of sketches that collide in MATCHES coordinates and FINE_MATCHES of all minima."""
+    same = sa[:, 4 * PREFIX :] == sb[:, 4 * PREFIX :]
+    return (same[:, :COORDINATES].sum(1) >= MATCHES) & (same.sum(1) >= FINE_MATCHES)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
     """The exact test on two sorted sets."""
-    shared = int((np.concatenate([a, b])[np.argsort(np.concatenate([a, b]), kind="stable")][1:] == np.sort(np.concatenate([a, b]), kind="stable")[:-1]).sum())
+    shared = len(np.intersect1d(a, b, assume_unique=True))
     return DENOMINATOR * shared >= NUMERATOR * (len(a) + len(b) - shared)
 
 
+#: Bits of the filter that keeps texts without any pair out of the shuffle; its size is fixed.
+FILTER_BITS = 1 << 24
+
+
+def _id_filter(ids: DataFrame):
+    """A broadcast bitmap of hashed ids (at most FILTER_BITS / 64 rows reach the driver)."""
+    words = (
+        ids.select(F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS)).alias("bit"))
+        .groupBy(F.shiftright("bit", 6).cast("int").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits"))
+        .toArrow()
+    )
+    bitmap = np.zeros(FILTER_BITS // 64, np.int64)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(bitmap)
+
+
+def _maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, text of the documents whose id is in ids, and few others."""
+    bitmap = _id_filter(ids)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bit = batch.column("bit").to_numpy()
+            on = bitmap.value[bit >> 6].view(np.uint64) >> (bit & 63).astype(np.uint64) & np.uint64(1) == 1
+            yield batch.select(["doc_id", "text"]).filter(pa.array(on))
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
+    return rows.withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))).mapInArrow(run, "doc_id long, text string")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of doc ids that are links on their full shingle sets."""
     some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(some, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = _maybe_in(docs, some).join(some, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in text_blocks(batches, 4_000_000):
@@ -185,7 +216,9 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             on = [linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    return both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long")
+    out = save(both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long"), "links")
+    discard(sets)
+    return out
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -207,7 +240,8 @@ def components(links: DataFrame) -> DataFrame:
             .unionAll(small.where("low > root").select(F.col("root").alias("low"), F.col("low").alias("high")))
             .distinct()
         )
-        edges = save(step, "edges")
+        old, edges = edges, save(step, "edges")
+        discard(old)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("high").alias("node"), F.col("low").alias("component")).unionAll(
@@ -247,7 +281,7 @@ def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame) -> D
             "node",
         )
     )
-    prefix = 4 * (COORDINATES - MATCHES + 1)
+    prefix = 4 * PREFIX
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         x, y = key[1].as_py(), key[2].as_py()
@@ -284,14 +318,15 @@ def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame) -> D
 
 def near_components(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept (is it the least id of its component)."""
-    own = save(signed(docs), "signed")
-    with_set = own.where("set_id is not null")
-    classes = save(
-        with_set.groupBy("set_id").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")),
-        "classes",
-    )
+    whole = save(signed(docs), "signed")
+    own = save(whole.select("doc_id", "n_shingles", "set_id"), "sets")
+    # the least document of each set stands for it; ids alone are reduced
+    chosen = save(own.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "chosen")
+    one = whole.where("set_id is not null").join(chosen.select("set_id", F.col("node").alias("doc_id")), ["set_id", "doc_id"])
+    classes = save(one.select(F.col("doc_id").alias("node"), "set_id", "n_shingles", "sketch").dropDuplicates(["node", "set_id"]), "classes")
+    discard(whole)
     labels = class_components(classes, docs)
-    by_set = classes.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    by_set = chosen.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
     return own.join(by_set, "set_id", "left").select(
         "doc_id",
         "n_shingles",
@@ -306,18 +341,32 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     postings = save(_postings(classes), "postings")
     sizes = postings.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
     lists = save(postings.join(sizes, "list"), "lists")
+    discard(postings)
     short = lists.where(F.col("size") <= SHORT).groupBy("list").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    short_pairs = short.select(
-        F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p")
-    ).select("p.a", "p.b")
+    short_pairs = (
+        short.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p"))
+        .groupBy("p.a", "p.b")
+        .agg(F.count("*").alias("met"))
+    )
     long_lists = save(lists.where(F.col("size") > SHORT), "long")
     # the most central member: that with most company over all its long lists
     company = long_lists.groupBy("node").agg(F.sum("size").alias("company"))
     ranked = long_lists.join(company, "node")
     center = ranked.groupBy("list").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("center"))
     star = long_lists.join(center, "list").where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
-    pairs = save(_retained(short_pairs.unionAll(star).distinct(), classes), "pairs")
-    links = save(_confirmed(pairs, docs), "links")
+    # pairs that cannot reach enough collisions in the prefix, their long lists counted in full, are skipped
+    in_long = save(long_lists.groupBy("node").agg(F.count("*").alias("lists")), "in_long")
+    more = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
+    hopeful = (
+        short_pairs.join(in_long.select(F.col("node").alias("a"), F.col("lists").alias("la")), "a", "left")
+        .join(in_long.select(F.col("node").alias("b"), F.col("lists").alias("lb")), "b", "left")
+        .where(F.col("met") + more >= PREFIX_MATCHES)
+        .select("a", "b")
+    )
+    met = save(hopeful.unionAll(star).distinct(), "met")
+    pairs = save(_retained(met, classes), "pairs")
+    discard(lists, met)
+    links = _confirmed(pairs, docs)
     labels = save(components(links), "labels")
     if long_lists.isEmpty():
         return labels
