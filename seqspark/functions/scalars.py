@@ -57,8 +57,9 @@ def dot(a: Column, b: Column) -> Column:
 def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine in [0, 2]; 1 if a vector is null-valued, null if one is missing."""
     na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
-    cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.when(na * nb > 0, na * nb)))
-    return F.when(a.isNull() | b.isNull(), None).otherwise(F.coalesce(1 - cos, F.lit(1.0)))
+    # greatest and least skip nulls, so the division is guarded before them
+    clamped = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(dot(a, b), na * nb)))
+    return F.when(a.isNull() | b.isNull(), None).when(na * nb > 0, 1 - clamped).otherwise(1.0)
 
 
 def euclidean(a: Column, b: Column) -> Column:

@@ -135,11 +135,12 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def text_metrics(docs: DataFrame, key: str, text: Column, window: int = 5) -> DataFrame:
     """Per text: 1 / distinct chars, bigrams and trigrams; share of repeated windows; character entropy; palindromic words."""
     t = F.regexp_replace(text, r"\s+", "")
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - (k - 1))), lambda i: F.substring(F.col("t"), i, F.lit(k)))
-    rows = docs.select(F.col(key), t.alias("t")).where(F.length("t") >= window)
+    # from an array of characters: places in a string are found by walking it
+    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size("c") - (k - 1)), lambda i: F.concat(*(F.element_at("c", (i + j).cast("int")) for j in range(k))))
+    rows = docs.select(F.col(key), F.split(t, "").alias("c")).where(F.size("c") >= window)
     g = {k: grams(k) for k in (1, 2, 3, window)}
-    out = rows.select(key, *(F.size(F.array_distinct(g[k])).alias(f"d{k}") for k in g), F.size(g[window]).alias("w"), "t")
-    chars = rows.select(key, F.explode(F.split("t", "")).alias("c")).groupBy(key, "c").agg(F.count("*").alias("n"))
+    out = rows.select(key, *(F.size(F.array_distinct(g[k])).alias(f"d{k}") for k in g), (F.size("c") - (window - 1)).alias("w"))
+    chars = rows.select(key, F.explode("c").alias("c")).groupBy(key, "c").agg(F.count("*").alias("n"))
     h = chars.groupBy(key).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("m8"))
     return out.join(h, key).select(key, (1 / F.col("d1")).alias("m1"), (1 / F.col("d2")).alias("m2"), (1 / F.col("d3")).alias("m3"), (1 - F.col(f"d{window}") / F.col("w")).alias("m5"), "m8")
 

@@ -1,6 +1,6 @@
 """All registered queries of the engine's own operators."""
 
-from . import models
+from . import lines, models
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "models"]
+__all__ = ["QUERIES", "SQL", "lines", "models"]

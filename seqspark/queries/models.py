@@ -129,12 +129,12 @@ def most_common(spark, d):
 
 # n-gram grammar over user days: bigrams, k = 0.5
 PAD = "pad AS (SELECT doc, line, list_concat(list_concat(['<BOS>'], tokens), ['<EOS>']) AS x FROM lines)"
-POS = f"{PAD}, at AS (SELECT doc, line, i - 2 AS pos, x[i - 1] AS ctx, x[i] AS sym FROM (SELECT *, unnest(range(2, len(x) + 1)) AS i FROM pad))"
-MODEL = "mo AS (SELECT ctx, sym, count(*) AS n FROM at GROUP BY 1, 2), tot AS (SELECT ctx, sum(n) AS total FROM mo GROUP BY ctx), v AS (SELECT count(DISTINCT token) AS v FROM tok)"
-SMOOTH = """sm AS (SELECT ctx, t.sym, coalesce(n, 0) AS n, (coalesce(n, 0) + 0.5) / (total + 0.5 * (v + 1)) AS p
-FROM tot, v, (SELECT DISTINCT token AS sym FROM tok UNION ALL SELECT '<EOS>') t LEFT JOIN mo USING (ctx, sym))"""
-BITS = """sp AS (SELECT at.doc, at.line, at.pos, at.ctx, at.sym, (coalesce(n, 0) + 0.5) / (total + 0.5 * (v + 1)) AS p, total IS NOT NULL AS seen, coalesce(n, 0) = 0 AS zero
-FROM v, at LEFT JOIN tot USING (ctx) LEFT JOIN mo USING (ctx, sym))"""
+POS = f"{PAD}, atp AS (SELECT doc, line, i - 2 AS pos, x[i - 1] AS ctx, x[i] AS sym FROM (SELECT *, unnest(range(2, len(x) + 1)) AS i FROM pad))"
+MODEL = "mo AS (SELECT ctx, sym, count(*) AS n FROM atp GROUP BY 1, 2), tot AS (SELECT ctx, sum(n) AS total FROM mo GROUP BY ctx), v AS (SELECT count(DISTINCT token) AS v FROM tok)"
+SMOOTH = """sm AS (SELECT ctx, sym, coalesce(n, 0) AS n, (coalesce(n, 0) + 0.5) / (total + 0.5 * (v + 1)) AS p
+FROM (SELECT * FROM tot, v, (SELECT DISTINCT token AS sym FROM tok UNION ALL SELECT '<EOS>') t) x LEFT JOIN mo USING (ctx, sym))"""
+BITS = """sp AS (SELECT atp.doc, atp.line, atp.pos, atp.ctx, atp.sym, (coalesce(n, 0) + 0.5) / (total + 0.5 * (v + 1)) AS p, total IS NOT NULL AS seen, coalesce(n, 0) = 0 AS zero
+FROM v, atp LEFT JOIN tot USING (ctx) LEFT JOIN mo USING (ctx, sym))"""
 _GRAMMAR = f"WITH {EVENTS}, {TOK}, {POS}, {MODEL}"
 
 
@@ -191,9 +191,9 @@ def zero_prob_transitions(spark, d):
 tr AS (SELECT x[i - 1] AS ctx, x[i] AS sym FROM (SELECT *, unnest(range(2, len(x) + 1)) AS i FROM pad)),
 mo AS (SELECT ctx, sym, count(*) AS n FROM tr GROUP BY 1, 2), tot AS (SELECT ctx, sum(n) AS total FROM mo GROUP BY ctx), v AS (SELECT count(DISTINCT token) AS v FROM tok),
 te AS (SELECT doc, list_concat(list_concat(['<BOS>'], tokens), ['<EOS>']) AS x FROM all_lines WHERE doc % 2 = 1),
-at AS (SELECT doc, x[i - 1] AS ctx, x[i] AS sym FROM (SELECT *, unnest(range(2, len(x) + 1)) AS i FROM te)),
+atp AS (SELECT doc, x[i - 1] AS ctx, x[i] AS sym FROM (SELECT *, unnest(range(2, len(x) + 1)) AS i FROM te)),
 sp AS (SELECT doc, CASE WHEN total IS NULL THEN 1 / (v + 1) ELSE (coalesce(n, 0) + 0.5) / (total + 0.5 * (v + 1)) END AS p, total IS NULL AS unseen, coalesce(n, 0) = 0 AS zero
-FROM v, at LEFT JOIN tot USING (ctx) LEFT JOIN mo USING (ctx, sym))
+FROM v, atp LEFT JOIN tot USING (ctx) LEFT JOIN mo USING (ctx, sym))
 SELECT doc, count(*) AS positions, round(avg(-log2(p)), 6) AS mean_bits, count(*) FILTER (zero) AS zero_prob, count(*) FILTER (unseen) AS unseen_contexts FROM sp GROUP BY doc""")
 def held_out_surprisal(spark, d):
     lines = corpora.event_lines(spark, d)
@@ -203,7 +203,7 @@ def held_out_surprisal(spark, d):
 
 @query("loo_surprisal", f"""WITH {STREAMS}, {TOK}, {BI},
 u AS (SELECT token, count(*) AS n, count(DISTINCT doc) AS docs FROM tok GROUP BY token), ud AS (SELECT doc, token, count(*) AS own FROM tok GROUP BY 1, 2),
-g AS (SELECT a, b, count(*) AS n FROM bi GROUP BY 1, 2), ga AS (SELECT a, sum(n) AS n FROM g GROUP BY a), gd AS (SELECT doc, a, b, count(*) AS own FROM bi GROUP BY 1, 2),
+g AS (SELECT a, b, count(*) AS n FROM bi GROUP BY 1, 2), ga AS (SELECT a, sum(n) AS n FROM g GROUP BY a), gd AS (SELECT doc, a, b, count(*) AS own FROM bi GROUP BY 1, 2, 3),
 gda AS (SELECT doc, a, sum(own) AS own FROM gd GROUP BY 1, 2),
 f AS (SELECT doc, (SELECT sum(n) FROM u) - sum(own) AS n_fold, (SELECT count(*) FROM u) - count(*) FILTER (docs = 1) AS v_fold FROM ud JOIN u USING (token) GROUP BY doc),
 c AS (SELECT (SELECT sum(n) FROM u) AS n_all, (SELECT count(*) FROM u) AS v_all),
@@ -218,7 +218,7 @@ def loo_surprisal(spark, d):
 
 
 _FISHER = """list_sum([exp(lgamma(n_a + 1) - lgamma(k + 1) - lgamma(n_a - k + 1) + lgamma(total - n_a + 1) - lgamma(n_b - k + 1) - lgamma(total - n_a - n_b + k + 1)
- - lgamma(total + 1) + lgamma(n_b + 1) + lgamma(total - n_b + 1) FOR k IN range(CAST(greatest(n, n_a + n_b - total) AS BIGINT), CAST(least(n_a, n_b) AS BIGINT) + 1)])"""
+ - lgamma(total + 1) + lgamma(n_b + 1) + lgamma(total - n_b + 1)) FOR k IN range(CAST(greatest(n, n_a + n_b - total) AS BIGINT), CAST(least(n_a, n_b) AS BIGINT) + 1)])"""
 _SIG = f"""sig AS (SELECT a, b, n, n / n_a AS p_b_given_a, n_b / total AS p_b, (n / n_a) / (n_b / total) AS lift,
 CASE WHEN (n_a - n) * (n_b - n) > 0 THEN n * (total - n_a - n_b + n) / ((n_a - n) * (n_b - n)) END AS odds_ratio, least(1.0, {_FISHER}) AS p_value FROM m WHERE n >= 3)"""
 
@@ -315,14 +315,15 @@ def runs_test(spark, d):
     return rounded(stats.runs_test(corpora.user_streams(spark, d), "view"), "z")
 
 
-@query("text_metrics", """WITH t AS (SELECT doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM documents), k AS (SELECT * FROM t WHERE length(t) >= 5),
+@query("text_metrics", """WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations), k AS (SELECT * FROM t WHERE length(t) >= 5),
 g AS (SELECT doc_id, n, substr(t, i, n) AS g FROM (SELECT doc_id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM k, (VALUES (1), (2), (3), (5)) v(n))),
 a AS (SELECT doc_id, n, count(DISTINCT g) AS d, count(*) AS w FROM g GROUP BY 1, 2),
 c AS (SELECT doc_id, g, count(*) AS f FROM g WHERE n = 1 GROUP BY 1, 2), h AS (SELECT doc_id, log2(sum(f)) - sum(f * log2(f)) / sum(f) AS m8 FROM c GROUP BY 1)
 SELECT doc_id, round(max(CASE WHEN n = 1 THEN 1 / d END), 6) AS m1, round(max(CASE WHEN n = 2 THEN 1 / d END), 6) AS m2, round(max(CASE WHEN n = 3 THEN 1 / d END), 6) AS m3,
 round(max(CASE WHEN n = 5 THEN 1 - d / w END), 6) AS m5, round(any_value(m8), 6) AS m8 FROM a JOIN h USING (doc_id) GROUP BY doc_id""")
 def text_metrics(spark, d):
-    return rounded(stats.text_metrics(corpora.table(spark, d, "documents"), "doc_id", F.col("text")), "m1", "m2", "m3", "m5", "m8")
+    turns = corpora.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return rounded(stats.text_metrics(turns, "doc_id", F.col("text")), "m1", "m2", "m3", "m5", "m8")
 
 
 @query("zlib_ratio")
