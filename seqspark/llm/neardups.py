@@ -5,9 +5,9 @@ more for a finer sketch; minima that are only probed are cut to a byte.  Documen
 are one class first, so copies are never paired.  The classes' signatures are
 posted under (coordinate, value) pairs.  Two documents at the threshold collide in
 about three of four coordinates; pairs below MATCHES collisions are not retained.
-So it is enough to merge the posting lists of COORDINATES - MATCHES + 1
-coordinates, the prefix: a retained pair meets in one of them.  The other lists
-are skipped and only probed, by comparing the two signatures.
+So a short prefix of the coordinates is merged: a pair to retain meets in several of
+their lists all but surely.  The other lists are skipped and only probed, by
+comparing the two signatures.
 
 Lists are never expanded into all pairs.  Short lists give their pairs; a long
 list gives pairs with its most central member alone.  Retained pairs are confirmed
@@ -38,13 +38,15 @@ from .wordarrays import PLAIN_LOWER, mix, window_hashes, words_of
 SHINGLE = 5
 #: Jaccard similarity of a link, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 75, 100
-#: A pair at the threshold has fewer than MATCHES of COORDINATES collisions, fewer than FINE_MATCHES
-#: of FINE, or fewer than PREFIX_MATCHES of PREFIX with probability under 1e-6 each.
+#: Retained pairs collide in MATCHES of COORDINATES, and in FINE_MATCHES of all FINE minima; a pair at the
+#: threshold falls short of either with probability under 1e-6.
 COORDINATES, MATCHES = 128, 72
 FINE, FINE_MATCHES = 256, 156
-PREFIX, PREFIX_MATCHES = COORDINATES - MATCHES + 1, 25
+#: Lists are merged for the first PREFIX coordinates; a pair at the threshold meets in fewer than
+#: PREFIX_MATCHES of them with probability under 2e-7. All other lists are skipped and only probed.
+PREFIX, PREFIX_MATCHES = 14, 2
 #: Lists up to SHORT members give all their pairs; members of longer ones meet in blocks of BLOCK.
-SHORT, BLOCK = 24, 512
+SHORT, BLOCK = 24, 2048
 
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
