@@ -97,10 +97,10 @@ def test_bigram_grammar(spark):
 
 
 def test_statistics(spark):
-    ic = stats.index_of_coincidence(spark.createDataFrame([("s", t) for t in "aab" * 1], "s string, token string"), "s").first()
+    ic = stats.index_of_coincidence(spark.createDataFrame([("s", t) for t in "aab" * 1], "id string, token string"), "id").first()
     assert ic.ic is None
-    long = spark.createDataFrame([("s", t) for t in "a" * 8 + "b" * 4], "s string, token string")
-    assert stats.index_of_coincidence(long, "s").first().ic == pytest.approx((8 * 7 + 4 * 3) / (12 * 11))
+    long = spark.createDataFrame([("s", t) for t in "a" * 8 + "b" * 4], "id string, token string")
+    assert stats.index_of_coincidence(long, "id").first().ic == pytest.approx((8 * 7 + 4 * 3) / (12 * 11))
     p = spark.createDataFrame([("a", 0.01), ("b", 0.04), ("c", 0.03)], "k string, p_value double")
     q = {r.k: r.q_value for r in stats.benjamini_hochberg(p).collect()}
     assert q == pytest.approx({"a": 0.03, "b": 0.04, "c": 0.04})
@@ -134,7 +134,7 @@ def test_report_plan(spark):
 
 
 def test_patterns(spark):
-    assert patterns.greedy_cover("a b c a b c a b".split(), 8) == [("a b c", 2, 6), ("a b", 3, 2)]
+    assert patterns.greedy_cover("a b c x a b c y a b".split(), 8) == [("a b c", 2, 6), ("a b", 3, 2)]
     p = spark.createDataFrame([("a b c", 3), ("a b", 2), ("b c", 2), ("c", 1), ("x ab", 2)], "pattern string, length int")
     edges = patterns.containment(p)
     assert {tuple(r) for r in edges.collect()} == {("a b c", "a b"), ("a b c", "b c"), ("a b c", "c"), ("b c", "c")}
