@@ -21,12 +21,24 @@ def log_choose(n: Column, k: Column) -> Column:
 
 
 def fisher_greater(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
-    """One-sided Fisher test P(X >= n_ab) of a 2 x 2 table with margins n_a, n_b out of n."""
-    least = F.least(n_a, n_b)
-    first = F.greatest(n_ab, n_a + n_b - n)
-    term = lambda k: F.exp(log_choose(n_a, k) + log_choose(n - n_a, n_b - k) - log_choose(n, n_b))
-    total = F.aggregate(F.sequence(first, least), F.lit(0.0), lambda acc, k: acc + term(k))
-    return F.when(first > least, 0.0).otherwise(F.least(F.lit(1.0), total))
+    """One-sided Fisher test P(X >= n_ab) of a 2 x 2 table with margins n_a, n_b out of n.
+
+    The first term comes from log-gamma, the others by their ratio; the sum runs
+    away from the mode, upwards or over the complement, so terms only shrink.
+    """
+    low, high, rest = F.greatest(F.lit(0), n_a + n_b - n), F.least(n_a, n_b), n - n_a - n_b
+    nothing = F.array().cast("array<bigint>")
+
+    def tail(start: Column, ks: Column, ratio) -> Column:
+        first = F.exp(log_choose(n_a, start) + log_choose(n - n_a, n_b - start) - log_choose(n, n_b))
+        step = lambda acc, k: F.struct((acc["t"] * ratio(k)).alias("t"), (acc["s"] + acc["t"] * ratio(k)).alias("s"))
+        return F.aggregate(ks, F.struct(first.alias("t"), first.alias("s")), step, lambda acc: acc["s"])
+
+    upper = tail(n_ab, F.when(n_ab < high, F.sequence(n_ab, high - 1)).otherwise(nothing), lambda k: 1.0 * (n_a - k) * (n_b - k) / ((k + 1.0) * (rest + k + 1)))
+    below = n_ab - 1
+    lower = tail(below, F.when(below > low, F.sequence(below, low + 1, F.lit(-1).cast("long"))).otherwise(nothing), lambda k: 1.0 * k * (rest + k) / ((n_a - k + 1.0) * (n_b - k + 1)))
+    over = 1.0 * n_ab * n >= 1.0 * n_a * n_b
+    return F.when(n_ab <= low, 1.0).when(n_ab > high, 0.0).when(over, F.least(F.lit(1.0), upper)).otherwise(F.greatest(F.lit(0.0), 1 - lower))
 
 
 def log2(x: Column) -> Column:
