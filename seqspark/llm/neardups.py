@@ -1,9 +1,9 @@
 """Near-duplicate documents by an inverted join of MinHash signature coordinates.
 
 Every document's word shingles give a signature of COORDINATES minima and as many
-more for a finer sketch; minima that are only probed are cut to a byte.  Documents with equal shingle sets
-are one class first, so copies are never paired.  The classes' signatures are
-posted under (coordinate, value) pairs.  Two documents at the threshold collide in
+more for a finer sketch; minima that are only probed are cut to a byte.  Documents
+with equal shingle sets are one class first, so copies are never paired.  The
+classes' signatures are posted under (coordinate, value) pairs.  Two documents at the threshold collide in
 about three of four coordinates; pairs below MATCHES collisions are not retained.
 So a short prefix of the coordinates is merged: a pair to retain meets in several of
 their lists all but surely.  The other lists are skipped and only probed, by
@@ -18,7 +18,8 @@ retained pair crosses components unconfirmed.
 
 Defined results: texts of fewer words than a shingle are one shingle; texts
 without words and null texts link with nothing; rows with equal doc_id are one
-document each and share a result; empty tables give no rows.
+document each and share a result; a row without doc_id links with nothing and is
+kept; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -99,7 +100,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, bytes] = {}  # sketches of sets met before: copies cost a digest
-        for block, texts in text_blocks(batches, 4_000_000):
+        for block, texts in text_blocks(batches, 1_500_000):
             sets = shingle_sets(texts)
             ids, sketches = [], []
             for s in sets:
@@ -205,7 +206,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     texts = _maybe_in(docs, some).join(some, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, rows in text_blocks(batches, 4_000_000):
+        for block, rows in text_blocks(batches, 1_500_000):
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([s.tobytes() for s in shingle_sets(rows)], pa.binary())], names=["node", "shingles"])
 
     sets = save(texts.mapInArrow(run, "node long, shingles binary"), "sets")
@@ -323,17 +324,15 @@ def near_components(docs: DataFrame) -> DataFrame:
     whole = save(signed(docs), "signed")
     own = save(whole.select("doc_id", "n_shingles", "set_id"), "sets")
     # the least document of each set stands for it; ids alone are reduced
-    chosen = save(own.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "chosen")
+    chosen = save(own.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "chosen")
     one = whole.where("set_id is not null").join(chosen.select("set_id", F.col("node").alias("doc_id")), ["set_id", "doc_id"])
     classes = save(one.select(F.col("doc_id").alias("node"), "set_id", "n_shingles", "sketch").dropDuplicates(["node", "set_id"]), "classes")
     discard(whole)
     labels = class_components(classes, docs)
     by_set = chosen.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return own.join(by_set, "set_id", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.coalesce("component", "doc_id").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("component", "doc_id")).alias("kept"),
+        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
 
 
@@ -380,5 +379,6 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, whose doc_id is the least of its component."""
-    kept = near_components(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    kept = near_components(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns)
+    return named.unionAll(docs.where("doc_id is null"))

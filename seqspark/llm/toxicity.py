@@ -247,7 +247,7 @@ def _calibrate(model: Model, words, labels: np.ndarray, kept: np.ndarray) -> Non
 
 def held_out_column(doc_id: str = "doc_id"):
     """Rows that the fit never sees: crc32 of the id as text, modulo 5, is 0."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

@@ -163,12 +163,13 @@ def brute_near(rows):
     for a in range(len(rows)):
         for b in range(a):
             u = len(sets[a] | sets[b])
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * u or ids[a] == ids[b]:
+            if None not in (ids[a], ids[b]) and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * u or ids[a] == ids[b] is not None:
                 root[find(a)] = find(b)
     comp = {}
     for i in range(len(rows)):
-        comp[find(i)] = min(comp.get(find(i), ids[i]), ids[i])
-    return {(ids[i], len(sets[i]), comp[find(i)], ids[i] == comp[find(i)]) for i in range(len(rows))}
+        if ids[i] is not None:
+            comp[find(i)] = min(comp.get(find(i), ids[i]), ids[i])
+    return {(ids[i], len(sets[i]), comp.get(find(i)), ids[i] == comp.get(find(i))) for i in range(len(rows))}
 
 
 def test_near_duplicates_against_brute_force(spark):
@@ -183,7 +184,7 @@ def test_near_duplicates_against_brute_force(spark):
     line = " ".join(words(rng, 40, 10**6))
     rows += [(3000 + i, line + " " + " ".join(words(rng, 110, 10**6))) for i in range(40)]
     rows += [(4000 + i, " ".join(base)) for i in range(30)] + [(5000 + i, "two Words" if i % 2 else "two words") for i in range(4)]
-    rows += [(6000, None), (6001, ""), (6002, "\t"), (6003, "two words"), (6003, "two words")]
+    rows += [(6000, None), (6001, ""), (6002, "\t"), (6003, "two words"), (6003, "two words"), (None, " ".join(base)), (None, "alone but not lost")]
     rng.shuffle(rows)
     df = frame(spark, rows, "component_id int, n_shingles string")
     got = neardups.near_components(df)
