@@ -32,9 +32,9 @@ from .common import text_blocks
 from .wordarrays import ALNUM_LOWER, words_of
 
 #: Labelled rows of each class that the fit takes at most, by the hash of their id.
-MAX_TOXIC, MAX_CLEAN = 3000, 5000
+MAX_TOXIC, MAX_CLEAN = 2000, 2500
 #: Labelled texts longer than this many characters are not fitted on (they are scored like all others).
-MAX_TRAIN_CHARS = 12_000
+MAX_TRAIN_CHARS = 6_000
 BUCKETS, DIMS, WIDTHS, FILTERS = 1 << 17, 16, (1, 2, 3), 16
 STEPS, BATCH, RATE = 350, 48, 0.005
 
