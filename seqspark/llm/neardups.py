@@ -42,7 +42,7 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: Retained pairs collide in MATCHES of COORDINATES, and in FINE_MATCHES of all FINE minima; a pair at the
 #: threshold falls short of either with probability under 1e-6.
 COORDINATES, MATCHES = 128, 72
-FINE, FINE_MATCHES = 256, 156
+FINE, FINE_MATCHES = 1024, 696
 #: Lists are merged for the first PREFIX coordinates; a pair at the threshold meets in fewer than
 #: PREFIX_MATCHES of them with probability under 2e-7. All other lists are skipped and only probed.
 PREFIX, PREFIX_MATCHES = 14, 2
