@@ -202,7 +202,7 @@ def _maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of doc ids that are links on their full shingle sets."""
-    some = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
     texts = _maybe_in(docs, some).join(some, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
