@@ -260,3 +260,17 @@ def test_op8_whole(spark, sf):
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
         first = " ".join(re.search("<h1>(.*?)</h1>", r.html, re.S)[1].split()).replace("&amp;", "&")
         assert got[r.page_id].split("\n")[0] == first and "&copy;" not in got[r.page_id] and "©" not in got[r.page_id]
+
+
+def test_op8_counts_over_all_pages_of_a_host_inside_articles(spark):
+    page = "<body><nav>m</nav><article><h1>Head {i}</h1><p>alpha {i}</p>{box}<p>beta {i}</p></article></body>"
+    box = "<div class=teal><p>Read more on our site</p></div>"
+    rows = [(i, f"http://a.example/{i}", page.format(i=i, box=box if 0 < i < 8 else "")) for i in range(9)]  # not on the first and last page
+    # copies and two pages with the same passage are no template
+    rows += [(20 + i, f"http://b.example/{i}", page.format(i=0 if i < 6 else i, box="")) for i in range(8)]
+    rows += [(40 + i, f"http://c.example/{i}", f"<body><div><p>shared passage</p></div><p>own {i}</p></body>" if i < 2 else f"<body><p>own {i}</p></body>") for i in (0, 2, 3, 4, 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in pagetext.extract_text(df).collect()}
+    assert all(got[i] == f"Head {i}\nalpha {i}\nbeta {i}" for i in range(9))
+    assert all(got[20 + i] == "Head 0\nalpha 0\nbeta 0" for i in range(6)) and got[26] == "Head 6\nalpha 6\nbeta 6"
+    assert got[40] == "shared passage\nown 0" and got[41] == "shared passage\nown 1" and got[42] == "own 2"
