@@ -406,6 +406,16 @@ def literal_match(spark, d):
     return hypotheses.literal_matches(lines, quotes).select("conv_id", "turn", "item_id", "kind")
 
 
+# literal_match compares the first six characters of the items; this one the whole items, parts over 15 characters
+@query("literal_match_whole", """WITH l AS (SELECT conv_id, turn, regexp_replace(lower(text), '\\s+', '', 'g') AS text FROM conversations), q AS (SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS quote FROM benchmark)
+SELECT conv_id, turn, item_id, CASE WHEN text = quote THEN 'IDENTICA' ELSE 'SUBCADENA' END AS kind FROM l JOIN q ON text = quote OR length(quote) > 15 AND (contains(text, quote) OR contains(quote, text)) WHERE length(text) >= 1""")
+def literal_match_whole(spark, d):
+    strip = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    lines = corpora.table(spark, d, "conversations").select("conv_id", "turn", strip("text").alias("text"))
+    quotes = corpora.table(spark, d, "benchmark").select("item_id", strip("text").alias("quote"))
+    return hypotheses.literal_matches(lines, quotes, part_over=15).select("conv_id", "turn", "item_id", "kind")
+
+
 # Clusters
 @query("ari", """WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*) AS n FROM lineitem GROUP BY 1, 2), a AS (SELECT sum(n * (n - 1) / 2) AS sa FROM (SELECT sum(n) AS n FROM c GROUP BY x)), b AS (SELECT sum(n * (n - 1) / 2) AS sb FROM (SELECT sum(n) AS n FROM c GROUP BY y)),
 t AS (SELECT sum(n * (n - 1) / 2) AS sc, sum(n) AS n FROM c)

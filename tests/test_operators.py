@@ -215,3 +215,14 @@ def test_streaming(spark, tmp_path):
         q.stop()
     assert {(r.token, r.n) for r in spark.table("live_w").collect()} == {("a", 3), ("b", 3)}
     assert [r.length for r in spark.table("live_s").collect()] == [6]
+
+
+def test_literal_match_takes_whole_quotations(spark, tmp_path):
+    from seqspark.queries import QUERIES
+
+    item = "The quick brown fox jumps over the lazy dog"
+    turns = [(1, 1, item.upper()), (1, 2, "he said: " + item + "!"), (1, 3, "brown fox jumps over"), (2, 1, "the quiet night"), (2, 2, "short one"), (2, 3, "a short one"), (2, 4, None)]
+    spark.createDataFrame(turns, "conv_id int, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    spark.createDataFrame([(1, item), (2, "Short one")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = sorted(tuple(r) for r in QUERIES["literal_match_whole"](spark, str(tmp_path)).collect())
+    assert got == [(1, 1, 1, "IDENTICA"), (1, 2, 1, "SUBCADENA"), (1, 3, 1, "SUBCADENA"), (2, 2, 2, "IDENTICA")]
