@@ -4,8 +4,8 @@ Words are hashed to rows of an embedding table; each row remembers the print of
 the training word it was given to, so other words that fall on it count as
 unknown (a zero row) and long texts gain nothing from chance collisions.  Filters
 of several widths run over the whole text, the maximum of each feeds a logistic
-output.  The decision threshold is calibrated by language on rows kept out of the
-fit; the language is read off the text's function words, never off the table, and
+output.  The decision threshold is calibrated by language on all labelled rows outside
+the fit, of any length, from counts by language, bin of the score and label; the language is read off the text's function words, never off the table, and
 is folded into the score, so that 0.5 is the threshold everywhere.
 
 The fit takes a bounded sample of labelled rows (parameters below) on the driver;
@@ -33,6 +33,8 @@ from .wordarrays import ALNUM_LOWER, words_of
 
 #: Labelled rows of each class that the fit takes at most, by the hash of their id.
 MAX_TOXIC, MAX_CLEAN = 2000, 2500
+#: Bins of the logit that thresholds are counted in: from -BIN_RANGE to BIN_RANGE, so many to 1.
+BIN_RANGE, BINS_TO_1 = 16, 64
 #: Labelled texts longer than this many characters are not fitted on (they are scored like all others).
 MAX_TRAIN_CHARS = 6_000
 BUCKETS, DIMS, WIDTHS, FILTERS = 1 << 17, 16, (1, 2, 3), 16
@@ -136,8 +138,16 @@ class _Adam:
         p -= RATE * (self.m / (1 - 0.9**self.t)) / (np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-7)
 
 
+def kept_rows(labels: np.ndarray) -> np.ndarray:
+    """Every sixth row of each class, which the fit leaves to the thresholds."""
+    kept = np.zeros(len(labels), bool)
+    for y in (0, 1):
+        kept[np.flatnonzero(labels == y)[5::6]] = True
+    return kept
+
+
 def fit(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = STEPS) -> Model | None:
-    """A model from labelled texts; every sixth is kept for the thresholds. None without both classes."""
+    """A model from labelled texts; its thresholds are those of kept_rows(). None without both classes."""
     labels = np.asarray(labels, np.float32)
     if not len(labels) or labels.min() == labels.max():
         return None
@@ -145,9 +155,7 @@ def fit(texts: list[str], labels: np.ndarray, seed: int = 7, steps: int = STEPS)
     model = _empty_model(rng)
     words = words_of(texts, ALNUM_LOWER)
     n = len(texts)
-    kept = np.zeros(n, bool)
-    for y in (0, 1):  # of each class alike
-        kept[np.flatnonzero(labels == y)[5::6]] = True
+    kept = kept_rows(labels)
     # buckets go to the words of most texts first
     text = words.text_of()
     hashes, at = np.unique(words.hash, return_inverse=True)
@@ -251,10 +259,10 @@ def held_out_column(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """Fit on a bounded sample of labelled rows outside the held-out fold.
+    """Fit on a bounded sample of labelled rows outside the held-out fold, calibrate on all others outside it.
 
-    The sample is chosen among the labels, by id hash, before any text is read, so
-    the texts of the other rows are not moved.
+    The sample is chosen by id hash among the labelled rows that are short enough,
+    from ids alone, so the texts of the other rows are not moved to the driver.
     """
     known = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
@@ -263,18 +271,62 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         .agg(F.max("toxic").alias("toxic"))
         .withColumn("turn", F.xxhash64("doc_id"))
     )
-    one = known.where("toxic = 1").orderBy("turn").limit(MAX_TOXIC)
-    zero = known.where("toxic = 0").orderBy("turn").limit(MAX_CLEAN)
-    chosen = F.broadcast(one.unionAll(zero))  # MAX_TOXIC + MAX_CLEAN rows at most
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    short = texts.where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id").join(known, "doc_id").groupBy("doc_id", "toxic", "turn").agg(F.count("*").alias("n"))
+    one = short.where("toxic = 1").orderBy("turn").limit(MAX_TOXIC)
+    zero = short.where("toxic = 0").orderBy("turn").limit(MAX_CLEAN)
+    chosen = F.broadcast(one.unionAll(zero).select("doc_id", "toxic"))  # MAX_TOXIC + MAX_CLEAN rows at most
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .where(F.length("text") <= MAX_TRAIN_CHARS)
+        texts.where(F.length("text") <= MAX_TRAIN_CHARS)
         .join(chosen, "doc_id")
         .select("doc_id", "text", "toxic")
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("text", "ascending")])
     )
-    return fit(rows.column("text").to_pylist(), rows.column("toxic").to_numpy())
+    toxic = rows.column("toxic").to_numpy()
+    model = fit(rows.column("text").to_pylist(), toxic)
+    if model is None:
+        return None
+    fitted = set(np.asarray(rows.column("doc_id"))[~kept_rows(toxic)].tolist())
+    seen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fitted], "doc_id long"))
+    calibrate(model, texts.where(~held_out_column()), known.select("doc_id", "toxic").join(seen, "doc_id", "left_anti"))
+    return model
+
+
+def calibrate(model: Model, texts: DataFrame, labels: DataFrame) -> None:
+    """Thresholds by language from all texts (doc_id, text) with a label (doc_id, toxic), whole and of any length.
+
+    Texts are scored where they are read; ids and bins are joined.  Only counts by language, bin of the logit and label come to the driver, whose
+    number is fixed.  A language with fewer than 8 rows of a class gets the threshold
+    of all rows; without both classes the thresholds stay.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, found in text_blocks(batches, _BLOCK_CHARS):
+            z, language = _logits(shared.value, found)
+            bins = np.floor(np.clip(z, -BIN_RANGE, BIN_RANGE - 1e-6) * BINS_TO_1).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(language.astype(np.int32)), pa.array(bins)], names=["doc_id", "language", "bin"])
+
+    binned = texts.mapInArrow(run, "doc_id long, language int, bin int").join(labels, "doc_id")
+    counts = binned.groupBy("language", "bin", "toxic").agg(F.count("*").alias("n")).collect()
+    table = np.zeros((len(LANGUAGES), 2, 2 * BIN_RANGE * BINS_TO_1))
+    for r in counts:
+        table[r.language, r.toxic, r.bin + BIN_RANGE * BINS_TO_1] += r.n
+    whole = table.sum(0)
+    if not whole.sum(1).all():
+        return
+    for k in range(len(LANGUAGES)):
+        model.thresholds[k] = _threshold_of_counts(table[k] if table[k].sum(1).min() >= 8 else whole)
+
+
+def _threshold_of_counts(counts: np.ndarray) -> float:
+    """Where fewest rows fall on the wrong side; the middle of the widest such gap. counts: (label, bin)."""
+    wrong = np.concatenate([[0], np.cumsum(counts[1])]) + np.concatenate([np.cumsum(counts[0][::-1])[::-1], [0]])
+    best = np.flatnonzero(wrong == wrong.min())  # edges below the bins
+    runs = np.split(best, np.flatnonzero(np.diff(best) > 1) + 1)
+    widest = max(runs, key=len)
+    return float((widest[0] + widest[-1]) / 2 / BINS_TO_1 - BIN_RANGE)
 
 
 SCHEMA = T.StructType(
@@ -287,12 +339,16 @@ SCHEMA = T.StructType(
 )
 
 
+def _logits(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray]:
+    words = words_of(texts, ALNUM_LOWER)
+    return np.asarray(model.logits(words.hash, words.first), np.float64), model.languages(words.hash, words.first)
+
+
 def _scores(model: Model | None, texts: list) -> tuple[np.ndarray, np.ndarray]:
     if model is None:
         return np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    words = words_of(texts, ALNUM_LOWER)
-    language = model.languages(words.hash, words.first)
-    z = np.asarray(model.logits(words.hash, words.first), np.float64) - model.thresholds[language]
+    z, language = _logits(model, texts)
+    z -= model.thresholds[language]
     return 1 / (1 + np.exp(-np.clip(z, -40, 40))), language
 
 

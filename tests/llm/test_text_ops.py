@@ -274,3 +274,26 @@ def test_op8_counts_over_all_pages_of_a_host_inside_articles(spark):
     assert all(got[i] == f"Head {i}\nalpha {i}\nbeta {i}" for i in range(9))
     assert all(got[20 + i] == "Head 0\nalpha 0\nbeta 0" for i in range(6)) and got[26] == "Head 6\nalpha 6\nbeta 6"
     assert got[40] == "shared passage\nown 0" and got[41] == "shared passage\nown 1" and got[42] == "own 2"
+
+
+def test_op3_thresholds_cover_long_texts_and_the_sample_is_filled(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 150)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 150)
+    rng, rows = random.Random(3), []
+    fill = [f"wort{i}" for i in range(300)]
+    for i in range(1200):
+        y, long = i % 2, i % 3 == 0
+        if long:  # German; the clean ones hold one of the words
+            ws = "der die das und ist nicht ein mit".split() + rng.choices(fill, k=900) + (["idiot", "moron", "scum"] * 2 if y else ["idiot"])
+        else:
+            ws = "the of and to in is it that".split() + rng.choices(fill, k=30) + (rng.sample(["idiot", "moron", "scum"], 2) if y else [])
+        rng.shuffle(ws)
+        rows.append((i, " ".join(ws), y))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    sizes, fit = [], toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: sizes.append(len(texts)) or fit(texts, labels))
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert sizes == [300]
+    got = toxicity.score(df.where("length(text) > 6000"), model).join(df, "doc_id").collect()
+    assert len(got) > 300 and {r.language for r in got} == {"de"}
+    assert sum(r.predicted == r.toxic for r in got) > 0.97 * len(got)
