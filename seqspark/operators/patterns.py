@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,29 +56,61 @@ def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     raise ValueError("the graph has a cycle")
 
 
-def greedy_cover(tokens: list[str], longest: int) -> list[tuple[str, int, int]]:
+def _gram_ids(tokens: list[str], longest: int | None) -> Iterator[tuple[int, np.ndarray]]:
+    """(size, id of the n-gram at each place), from the longest repeat down to pairs.
+
+    Ids of sizes that are powers of two come by doubling until nothing repeats; the
+    n-gram of any size in between is two of those, overlapping.
+    """
+    _, base = np.unique(np.asarray(tokens, object), return_inverse=True)
+    powers = [base]  # of sizes 1, 2, 4 ...
+
+    def ids(size: int) -> np.ndarray:
+        j = size.bit_length() - 1
+        m, own = len(tokens) - size + 1, powers[j]
+        first, second = own[:m].astype(np.int64), own[size - (1 << j) : size - (1 << j) + m]
+        return np.unique(first * (len(tokens) + 1) + second, return_inverse=True)[1]
+
+    def repeats(x: np.ndarray) -> bool:
+        return len(x) > 0 and int(x.max()) + 1 < len(x)
+
+    while repeats(powers[-1]) and 2 << (len(powers) - 1) <= len(tokens):
+        size = 1 << len(powers)
+        half = powers[-1]
+        m = len(tokens) - size + 1
+        powers.append(np.unique(half[:m].astype(np.int64) * (len(tokens) + 1) + half[size // 2 : size // 2 + m], return_inverse=True)[1])
+    low, high = 1, min(2 << (len(powers) - 1), len(tokens)) - 1
+    while low < high:  # a repeat holds shorter ones, so the longest is found by halving
+        mid = (low + high + 1) // 2
+        low, high = (mid, high) if repeats(ids(mid)) else (low, mid - 1)
+    for size in range(low if longest is None else min(low, longest), 1, -1):
+        yield size, ids(size)
+
+
+def greedy_cover(tokens: list[str], longest: int | None = None) -> list[tuple[str, int, int]]:
     """(pattern, occurrences, tokens it covers first), by decreasing length and first place.
 
     A repeated pattern is kept if an occurrence of it has a token that no kept longer
-    one covers; kept patterns cover all their occurrences.
+    one covers; kept patterns cover all their occurrences.  Occurrences may overlap.
+    Lengths start at the longest repeat there is, or at `longest` if that is given.
     """
-    covered = [False] * len(tokens)
+    covered = np.zeros(len(tokens), bool)
     out = []
-    for size in range(min(longest, len(tokens) // 2 or 1), 1, -1):
-        places: dict[tuple[str, ...], list[int]] = defaultdict(list)
-        for i in range(len(tokens) - size + 1):
-            places[tuple(tokens[i : i + size])].append(i)
-        for gram, at in places.items():
-            if len(at) >= 2:
-                fresh = {j for i in at for j in range(i, i + size) if not covered[j]}
-                if fresh:
-                    out.append((" ".join(gram), len(at), len(fresh)))
-                    for j in fresh:
-                        covered[j] = True
+    for size, grams in _gram_ids(tokens, longest) if len(tokens) > 1 else ():
+        if covered.all():
+            break
+        order = np.argsort(grams, kind="stable")
+        groups = np.split(order, np.flatnonzero(np.diff(grams[order])) + 1)
+        for at in sorted((g for g in groups if len(g) >= 2), key=lambda g: g[0]):
+            places = np.unique((at[:, None] + np.arange(size)).ravel())
+            fresh = places[~covered[places]]
+            if len(fresh):
+                out.append((" ".join(tokens[at[0] : at[0] + size]), len(at), len(fresh)))
+                covered[fresh] = True
     return out
 
 
-def repeated_patterns(lines: DataFrame, longest: int = 8) -> DataFrame:
+def repeated_patterns(lines: DataFrame, longest: int | None = None) -> DataFrame:
     """Greedy longest-first cover of each line's token stream by repeated patterns: order matters, so lines go through Arrow."""
     import pyarrow as pa
 

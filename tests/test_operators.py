@@ -226,3 +226,30 @@ def test_literal_match_takes_whole_quotations(spark, tmp_path):
     spark.createDataFrame([(1, item), (2, "Short one")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = sorted(tuple(r) for r in QUERIES["literal_match_whole"](spark, str(tmp_path)).collect())
     assert got == [(1, 1, 1, "IDENTICA"), (1, 2, 1, "SUBCADENA"), (1, 3, 1, "SUBCADENA"), (2, 2, 2, "IDENTICA")]
+
+
+def test_greedy_cover_takes_the_longest_repeats(spark):
+    import random
+
+    def plain(tokens):
+        covered, out = set(), []
+        for size in range(len(tokens) - 1, 1, -1):
+            grams = {}
+            for i in range(len(tokens) - size + 1):
+                grams.setdefault(tuple(tokens[i : i + size]), []).append(i)
+            for gram, at in grams.items():
+                fresh = {j for i in at for j in range(i, i + size)} - covered
+                if len(at) > 1 and fresh:
+                    out.append((" ".join(gram), len(at), len(fresh)))
+                    covered |= fresh
+        return out
+
+    long = [f"t{i}" for i in range(12)]
+    stream = [*long, "x", *long]
+    got = patterns.repeated_patterns(spark.createDataFrame([(1, stream)], "doc int, tokens array<string>")).collect()
+    assert [tuple(r) for r in got] == [(1, " ".join(long), 2, 24)]
+    rng = random.Random(4)
+    for n in [*range(12), 40, 90]:
+        for letters in ("a", "ab", "abcde"):
+            tokens = rng.choices(letters, k=n) * rng.choice([1, 2])
+            assert patterns.greedy_cover(tokens) == plain(tokens), tokens
