@@ -15,13 +15,15 @@ from .counts import position_stats
 from .stats import ppmi
 
 
-def token_features(lines: DataFrame, vocabulary: int = 500) -> DataFrame:
+def token_features(lines: DataFrame, vocabulary: int = 500, hapax: int = 1) -> DataFrame:
     """token, features: successor and predecessor PPMI against the most frequent tokens, position, length.
 
-    Long (token, index, value) rows are gathered into sparse vectors; the width is a
+    Every token that stands more than `hapax` times has a row; only the columns are
+    the `vocabulary` most frequent ones.  Long (token, index, value) rows are gathered into sparse vectors; the width is a
     parameter, so the model's size does not grow with the corpus.
     """
-    top = tokens_of(lines).groupBy("token").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "token").limit(vocabulary)
+    often = tokens_of(lines).groupBy("token").agg(F.count("*").alias("n"))
+    top = often.orderBy(F.desc("n"), "token").limit(vocabulary)
     ids = {r.token: i for i, r in enumerate(top.select("token").collect())}  # `vocabulary` rows
     if not ids:
         return lines.sparkSession.createDataFrame([], "token string").withColumn("features", F.lit(None).cast(VectorUDT()))
@@ -30,8 +32,8 @@ def token_features(lines: DataFrame, vocabulary: int = 500) -> DataFrame:
     succ = ppmi(lines).select(F.col("a").alias("token"), index[F.col("b")].alias("i"), F.col("ppmi").alias("x"))
     pred = ppmi(lines, "pred").select(F.col("b").alias("token"), (index[F.col("a")] + v).alias("i"), F.col("ppmi").alias("x"))
     place = position_stats(lines).select("token", F.posexplode(F.array("mean_pos", "sd_pos", F.length("token") / 10.0)).alias("k", "x")).select("token", (F.col("k") + 2 * v).alias("i"), "x")
-    long = succ.unionByName(pred).unionByName(place).where(F.col("i").isNotNull() & (F.col("x") != 0) & F.col("token").isin(list(ids)))
-    made = F.udf(lambda xs: Vectors.sparse(width, [(x["i"], x["x"]) for x in xs]), VectorUDT())  # one row per token of the vocabulary
+    long = succ.unionByName(pred).unionByName(place).where(F.col("i").isNotNull() & (F.col("x") != 0)).join(often.where(F.col("n") > hapax).select("token"), "token", "left_semi")
+    made = F.udf(lambda xs: Vectors.sparse(width, [(x["i"], x["x"]) for x in xs]), VectorUDT())  # one row per token
     return long.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs")).select("token", made("xs").alias("features"))
 
 

@@ -447,8 +447,9 @@ def kmeans_labels(spark, d):
 
 @query("token_classes")
 def token_classes(spark, d):
-    features = cluster.reduced(cluster.token_features(corpora.conversation_lines(spark, d), 100), 8)
-    return cluster.best_kmeans(features, 6, 2)[0].select("token", "label")
+    features = cluster.reduced(cluster.token_features(corpora.conversation_lines(spark, d), 100), 8).select("token", "pca").persist()
+    ks = range(2, min(18, features.count() - 1) + 1)
+    return cluster.choose_k(features, ks, metric="squaredEuclidean")[1].select("token", "label")
 
 
 @query("bootstrap_stability", """WITH r AS (SELECT conv_id AS doc, turn AS line, role, p AS rep, CAST('0x' || left(md5(concat_ws('|', '42', p, conv_id, turn)), 8) AS BIGINT) / 4294967296.0 AS u FROM conversations, range(0, 20) x(p)),

@@ -253,3 +253,19 @@ def test_greedy_cover_takes_the_longest_repeats(spark):
         for letters in ("a", "ab", "abcde"):
             tokens = rng.choices(letters, k=n) * rng.choice([1, 2])
             assert patterns.greedy_cover(tokens) == plain(tokens), tokens
+
+
+def test_token_classes_cover_all_tokens_over_the_hapax_threshold(spark, tmp_path):
+    from seqspark.queries import QUERIES
+
+    word = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(3))
+    turns = [(c, 1, " ".join(word(3 * (7 * i * (c + 1) % 131) + i % 3) for i in range(200)) + f" once{word(c)}") for c in range(4)]
+    spark.createDataFrame(turns, "conv_id int, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    counts = {}
+    for _, _, text in turns:
+        for w in text.split():
+            counts[w] = counts.get(w, 0) + 1
+    got = QUERIES["token_classes"](spark, str(tmp_path)).collect()
+    often = {w for w, n in counts.items() if n > 1}
+    assert len(often) > 100 and sorted(r.token for r in got) == sorted(often)
+    assert len({r.label for r in got}) >= 2
