@@ -15,7 +15,9 @@ def brute(ids, x, k):
     return out
 
 
-def test_recall_on_the_table(spark, sf):
+@pytest.mark.parametrize("scale", ["sf0.001", "sf0.1", "check_s"])
+def test_recall_on_the_table(spark, scale):
+    sf = f"/root/testdata/{scale}"
     rows = spark.read.parquet(f"{sf}/embeddings.parquet").collect()
     truth = brute(np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], float), 10)
     got = q.op1_nearest_neighbours(spark, sf).orderBy("query_id", "rank").collect()
@@ -35,7 +37,8 @@ def test_hot_vector_and_odd_ones(spark, monkeypatch):
     rows = [(i, [float(v) for v in x[i]], "c") for i in range(300)]
     rows += [(400, None, "c"), (500, [0.0] * 8, "c"), (600, [float("nan")] * 8, "c"), (700, [1.0, None] * 4, "c"), (800, [1.0], "c"), (100, [float(v) for v in x[100]], "c"), (None, [1.0] * 8, "c")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, id string")
-    monkeypatch.setattr(ann, "SHARD_ROWS", 32)
+    monkeypatch.setattr(ann, "CELL_ROWS", 32)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 2)
     got = ann.search(df, F.col("id") % 100 == 0).orderBy("query_id", "rank").collect()
     truth = brute(np.arange(300), x, 10)
     by = {}
@@ -43,11 +46,22 @@ def test_hot_vector_and_odd_ones(spark, monkeypatch):
         by.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert set(by) == {0, 100, 200}
     assert [v for v, _ in by[100]] == [v for v, _ in truth[100]]  # ties to the smaller id
+    # every query gets what there is, repeated ids once and by their nearest vector
+    twice = spark.createDataFrame([(0, [0.0, 1.0]), (1, [5.0, 1.0]), (1, [0.0, 3.0]), (2, [0.0, 2.5])] + [(3, [0.0, 1.5])] * 400, "vec_id long, embedding array<double>")
+    assert [tuple(r)[1:] for r in ann.search(twice, F.col("id") == 0, probes=1).orderBy("rank").collect()] == [(1, 3, 0.5), (2, 2, 1.5), (3, 1, 2.0)]
     few = ann.search(df.where("vec_id < 4"), F.col("id") % 100 == 0).collect()
     assert sorted(r.vec_id for r in few) == [1, 2, 3]
     assert ann.search(df.where("false"), F.col("id") % 100 == 0).collect() == []
 
 
+def test_cells_hold_every_member():
+    sizes = np.array([5, 0, 90, 3, 40, 7, 33])
+    first, number = ann.cells(sizes, 32)
+    assert number.tolist() == [1, 1, 3, 1, 2, 1, 2]
+    large = [set(range(f, f + n)) for f, n in zip(first.tolist(), number.tolist()) if n > 1]
+    assert not set.intersection(*large) and all(not x & {int(f) for f, n in zip(first, number) if n == 1} for x in large)
+
+
 def test_pipeline_stages_against_brute_force(spark, sf, tmp_path):
     import corpus_pipeline as p
     from test_tokens import check_packed, ids_of
