@@ -44,7 +44,7 @@ CODEWORDS, SUB_DIMS = 256, 4
 COPIES = 2
 #: Queries of the recall test, and the share of their neighbours that the visited lists must hold.
 TESTED, COARSE_RECALL = 512, 0.97
-#: Members of a cell, and queries that meet it at once.
+#: Members of a cell at most (a sixteenth of all, down to an eighth of this, so that small tables are not one task), and queries that meet it at once.
 CELL_ROWS, QUERY_BLOCK = 16_384, 512
 #: Length of a query's short list, as a multiple of k.
 SHORT_LIST = 16
@@ -217,7 +217,7 @@ def search(
     # a row per list, MAX_LISTS at most: members, and distinct ids
     held = {r.list: (r.ids, r.rows) for r in indexed.groupBy("list", "id").count().groupBy("list").agg(F.count("*").alias("ids"), F.sum("count").alias("rows")).collect()}
     sizes, rows_of = np.array([held.get(i, (0, 0)) for i in range(len(quantizer.centers))]).T
-    first, number = cells(rows_of, CELL_ROWS)
+    first, number = cells(rows_of, min(CELL_ROWS, max(CELL_ROWS // 8, int(rows_of.sum()) // 16)))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
