@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -255,11 +256,74 @@ def test_alignment_is_largest():
     assert pagetext.align(a, b, []) == 5  # root, div, ul, li, p
 
 
-def test_op8_whole(spark, sf):
+class Plain(HTMLParser):
+    """Another reading of well-formed pages: blocks of <article>, without scripts and asides."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.skipped, self.blocks = 0, 0, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.skipped += tag in ("script", "style", "nav", "footer", "aside", "form")
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in pagetext.INLINE and tag != "img":
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        self.skipped -= tag in ("script", "style", "nav", "footer", "aside", "form")
+        if tag not in pagetext.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside and not self.skipped:
+            self.blocks[-1] += data
+
+
+def test_op8_whole(spark):
+    sf = "/root/testdata/sf0.01"
     got = {r.page_id: r.text for r in q.op8_page_text(spark, sf).collect()}
     for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
-        first = " ".join(re.search("<h1>(.*?)</h1>", r.html, re.S)[1].split()).replace("&amp;", "&")
-        assert got[r.page_id].split("\n")[0] == first and "&copy;" not in got[r.page_id] and "©" not in got[r.page_id]
+        plain = Plain()
+        plain.feed(r.html)
+        plain.close()
+        assert got[r.page_id] == "\n".join(t for b in plain.blocks if (t := " ".join(b.split()))), r.page_id
+
+
+def test_pages_of_any_shape():
+    deep = "<body>" + "<div>" * 50_000 + "x" + "</div>" * 50_000
+    assert pagetext.main_text(deep, [pagetext.parse(deep)]) == "x"
+    items = [f"<li>{i}</li>" for i in range(20_000)]
+    page = lambda own: "<body><h1>Menu</h1><ul>" + "".join(items[:9000] + own + items[9000:]) + "</ul><p>End</p></body>"
+    own = [f"<li>own {i}</li>" for i in range(600)]
+    got = pagetext.main_text(page(own[:300]), [pagetext.parse(page(own[k : k + 300])) for k in (300, 200, 250)])
+    assert got == "\n".join(f"own {i}" for i in range(250))  # all else stands on three of the four pages at least
+    for odd in ("<a " * 50_000, '<a "' * 50_000, "<b>" * 50_000 + "y", "<div>" * 20_000 + "</p></span>" * 20_000, "<li>" * 20_000):
+        assert len(pagetext.main_text(odd)) <= len(odd)
+
+
+def test_names_that_articles_use_too_leave_nothing_out():
+    page = "<body><article><h2>T</h2><div class='related work'>cited</div><section id=search>how we searched</section><p class=notice>mind this</p><div class='ad slot'>buy</div></article><div class=search>find</div></body>"
+    assert pagetext.main_text(page) == "T\ncited\nhow we searched\nmind this"
+
+
+def test_long_lists_align_like_short_ones(monkeypatch):
+    rng = random.Random(6)
+    for _ in range(60):
+        a, b = ("<ul>" + "".join(f"<li class={rng.choice('ab')}>{rng.choice('xyz')}</li>" for _ in range(rng.randint(1, 12))) + "</ul>" for _ in "12")
+        sizes = []
+        for small in (400, 0):
+            monkeypatch.setattr(pagetext, "SMALL", small)
+            x, y = pagetext.parse(a), pagetext.parse(b)
+            pagetext.keyed(x), pagetext.keyed(y)
+            pairs = []
+            sizes.append(pagetext.align(x, y, pairs))
+            at = [[id(c) for c in t.children[0].children] for t in (x, y)]
+            lists = sorted((at[0].index(id(p)), at[1].index(id(q))) for p, q in pairs if p.tag == "li")
+            assert all(i < k and j < m for (i, j), (k, m) in zip(lists, lists[1:]))
+        assert sizes[0] == sizes[1]
 
 
 def test_op8_counts_over_all_pages_of_a_host_inside_articles(spark):
