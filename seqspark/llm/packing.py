@@ -147,8 +147,8 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2,
 
         def rows() -> Iterator[tuple]:
             for block, texts in text_blocks(batches, 4_000_000):
-                for doc, text in zip(block.column("doc_id").to_pylist(), texts, strict=True):
-                    yield doc, encoder.ids(text) + end
+                for doc, ids in zip(block.column("doc_id").to_pylist(), encoder.many(texts), strict=True):
+                    yield doc, ids + end
 
         out: list[tuple] = []
         for row in pack_documents(rows(), capacity, pool_items, TaskContext.get().partitionId() << 32):
