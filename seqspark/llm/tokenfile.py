@@ -6,18 +6,22 @@ seekable zstandard format (sizes and a 32-bit XXH64 checksum of every frame).
 A reader loads the tail, finds a document's frame, and decompresses that alone.
 
 Files are written by Spark tasks over ranges of doc_id, so files in order hold
-documents in ascending doc_id order.  A task writes under a name of its own
-attempt and then moves the file, so a repeated task leaves one whole file.
+documents in ascending doc_id order.  Ranges go by bytes and rows of the table, so
+files, and the index of a file, do not grow with it; a doc_id that many rows share,
+or that is null, is cut further by its texts and rows.  A task writes under a name
+of its own attempt and then moves the file, so a repeated task leaves one whole file.
 
 Defined results: null and empty texts hold the end token alone; a null doc_id
-sorts first; repeated rows are written as often as they occur, ties of doc_id in
-the order of their texts; an empty table gives no files and no rows.
+sorts first; repeated rows are written as often as they occur; ties of doc_id go in
+the order of their texts' first TIE_CHARS characters, then of a hash of the texts; an
+empty table gives no files and no rows.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +40,11 @@ SEEKABLE_MAGIC = 0x8F92EAB1
 CHECKSUM_FLAG = 0x80
 
 _NO_ID = -(1 << 63)  # stands for a null doc_id
+TIE_CHARS = 64
+#: Bytes of text and documents of a file, about; a small table is cut into files of SMALL_BYTES for the sake of its tasks.
+FILE_BYTES, SMALL_BYTES, FILE_DOCS = 1 << 28, 1 << 23, 1 << 20
+#: Documents that the reader gives at once.
+READ_DOCS = 1 << 15
 
 
 class Writer:
@@ -46,12 +55,12 @@ class Writer:
 
         self.out, self.most = out, frame_bytes
         self.compressor = zstandard.ZstdCompressor(level=level, write_checksum=True)
-        self.held, self.held_bytes, self.frames, self.docs = [], 0, [], []
+        self.held, self.held_bytes, self.frames, self.docs = [], 0, [], array("q")
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         if self.held and self.held_bytes + len(ids) > self.most:
             self._flush()
-        self.docs.append((_NO_ID if doc_id is None else doc_id, len(self.frames), self.held_bytes // 4, len(ids) // 4))
+        self.docs.extend((_NO_ID if doc_id is None else doc_id, len(self.frames), self.held_bytes // 4, len(ids) // 4))
         self.held.append(ids)
         self.held_bytes += len(ids)
 
@@ -136,51 +145,53 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2,
             writer = Writer(out, frame_bytes)
             while first is not None:
                 block, texts = first
-                for doc, text in zip(block.column("doc_id").to_pylist(), texts, strict=True):
-                    ids = encoder.ids(text) + end
-                    n += len(ids) // 4
-                    writer.add(doc, ids)
+                for doc, ids in zip(block.column("doc_id").to_pylist(), encoder.many(texts), strict=True):
+                    n += len(ids) // 4 + 1
+                    writer.add(doc, ids + end)
                 first = next(blocks, None)
             writer.close()
         if store.get_file_info(path).type != fs.FileType.NotFound:
             store.delete_file(path)
         store.move(draft, path)
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "path": f"{folder}/{shard:06d}.tokens", "n_docs": len(writer.docs), "n_ids": n}],
+            [{"shard": shard, "path": f"{folder}/{shard:06d}.tokens", "n_docs": len(writer.docs) // 4, "n_ids": n}],
             pa.schema([("shard", pa.int64()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
         )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return save(ordered.mapInArrow(run, SHARDS), "shards")
+    text = docs["text"]
+    rows = docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"), text, F.substring(text, 1, TIE_CHARS).alias("tie"), F.xxhash64(text).alias("text_hash"), F.monotonically_increasing_id().alias("row")
+    )
+    n_bytes, n_rows = docs.agg(F.sum(F.octet_length("text")), F.count("*")).first()
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(1, -(-(n_bytes or 0) // FILE_BYTES), -(-n_rows // FILE_DOCS), min(tasks, -(-(n_bytes or 0) // SMALL_BYTES)))
+    order = ["doc_id", "tie", "text_hash", "row"]
+    ordered = rows.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return save(ordered.select("doc_id", "text").mapInArrow(run, SHARDS), "shards")
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
-    """One row per document of the files: (shard, doc_id, start within the file, n_tokens, ids_crc32)."""
+    """One row per document of the files (shard, path, base): (shard, doc_id, start, n_tokens, ids_crc32); starts begin at base."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
         for batch in batches:
-            for shard, path in zip(batch.column("shard").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                store, where = fs.FileSystem.from_uri(path)
+            for row in batch.to_pylist():
+                store, where = fs.FileSystem.from_uri(row["path"])
                 with store.open_input_file(where) as source:
-                    reader = Reader(source, source.size())
-                    crc = [zlib.crc32(reader.document(i)) for i in range(len(reader.docs))]
-                n = reader.docs[:, 3]
-                ids = reader.docs[:, 0]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(len(n), shard)),
-                        pa.array(ids, mask=ids == _NO_ID),
-                        pa.array(np.cumsum(n) - n),
-                        pa.array(n),
-                        pa.array(crc, pa.int64()),
-                    ],
-                    names=ROWS.names,
-                )
-
-    return shards.select("shard", "path").repartition(max(1, shards.count())).mapInArrow(run, ROWS)
+                    reader, start = Reader(source, source.size()), row["base"]
+                    for lo in range(0, len(reader.docs), READ_DOCS):
+                        ids, n = reader.docs[lo : lo + READ_DOCS, 0], reader.docs[lo : lo + READ_DOCS, 3]
+                        crc = [zlib.crc32(reader.document(i)) for i in range(lo, lo + len(n))]
+                        starts = start + np.cumsum(n) - n
+                        start += int(n.sum())
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(n), row["shard"])), pa.array(ids, mask=ids == _NO_ID), pa.array(starts), pa.array(n), pa.array(crc, pa.int64())],
+                            names=ROWS.names,
+                        )
+
+    return shards.select("shard", "path", "base").repartition(max(1, shards.count())).mapInArrow(run, ROWS)
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -189,7 +200,5 @@ def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str) -> DataFra
     Only the files' totals, one row per file, meet in one task to become offsets.
     """
     shards = write_tokens(docs, new_folder(spark, "tokens"), tokenizer)
-    base = shards.select(
-        "shard", (F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")).alias("base")
-    )
-    return read_tokens(shards).join(base, "shard").select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
+    before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_ids")
+    return read_tokens(shards.select("shard", "path", before.alias("base"))).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -5,7 +5,7 @@ import zlib
 from array import array
 
 import pytest
-from seqspark.llm import packing, queries, tokencounts, tokenfile, wordids
+from seqspark.llm import common, packing, queries, tokencounts, tokenfile, wordids
 
 ODD = ["The cat's hat, isn't.", "a<|endoftext|>b c", "Ünïcode… é Å Å", "x\x0by\x0cz\x1cq r", "12 a1b2 ...!?", "", None, " \n\t ", "foo), (bar.", "ΑΣ. ΣΑΣ", "w" * 30000]
 
@@ -28,6 +28,16 @@ def test_word_ids_are_the_librarys(tokenizer):
         assert w.ids(text) + b"\2\0\0\0" == ids_of(tokenizer, text)
 
 
+def test_word_ids_of_odd_letters(tokenizer):
+    rng = random.Random(0)
+    alphabet = "aYiİßéÅ Ȧ\u0301\u0307.,!'-_*3٣ΣσçŁłĀŉ'  \x1c|<ǅﬁＡ%$\n"
+    texts = ["3 İ,", "YYİ.", "i\u0307.", "e\u0301,", *("".join(rng.choices(alphabet, k=rng.randint(1, 14))) for _ in range(6000))]
+    w = wordids.WordIds(queries.tokenizer_path())
+    assert [ids + b"\2\0\0\0" for ids in w.many(texts)] == [ids_of(tokenizer, t) for t in texts]
+    w.BLOCK_CHARS = 50  # long texts go in pieces
+    assert w.many(["abc, d\té. " * 90])[0] + b"\2\0\0\0" == ids_of(tokenizer, "abc, d\té. " * 90)
+
+
 def test_best_fill_is_optimal():
     rng = random.Random(1)
     for _ in range(200):
@@ -86,14 +96,22 @@ def key(r):
     return (r[0] is not None, r[0] or 0, r[1])
 
 
-def test_op9(spark, sf, tokenizer):
+def test_op9(spark, sf, tokenizer, monkeypatch):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect())
     assert sorted(map(tuple, queries.op9_token_files(spark, sf).collect())) == expected_files(docs, tokenizer)
     odd = [(5, "b"), (5, "b"), (5, "a"), (None, "n"), (1, None), (2, ""), (7, "w " * 70000), (6, "z")]
-    df = spark.createDataFrame(odd, "doc_id long, text string")
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in odd], "doc_id long, text string, start int, tie string").repartition(3)
     ordered = sorted(odd, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
     assert sorted(map(tuple, tokenfile.token_files(spark, df, queries.tokenizer_path()).collect()), key=key) == sorted(expected_files(ordered, tokenizer), key=key)
     assert tokenfile.token_files(spark, df.where("false"), queries.tokenizer_path()).collect() == []
+    # a doc_id that all rows share is still cut into several files
+    monkeypatch.setattr(tokenfile, "SMALL_BYTES", 100)
+    monkeypatch.setattr(tokenfile, "READ_DOCS", 7)
+    hot = spark.createDataFrame([(None, f"some words {i % 3}") for i in range(300)], "doc_id long, text string").repartition(3)
+    files = tokenfile.write_tokens(hot, common.new_folder(spark, "tokens"), queries.tokenizer_path())
+    assert files.count() > 1 and files.agg({"n_docs": "max"}).first()[0] < 250
+    got = tokenfile.token_files(spark, hot, queries.tokenizer_path()).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(expected_files(sorted([(None, f"some words {i % 3}") for i in range(300)], key=lambda r: r[1]), tokenizer), key=key)
 
 
 def test_file_reads_one_frame_and_finds_damage():
@@ -133,7 +151,7 @@ def test_automaton_is_greedy():
 
 def test_op10(spark, sf):
     pieces = set(tokencounts.load_pieces(queries.vocabulary_path()))
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").limit(30).collect()}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = {r.doc_id: r for r in queries.op10_token_counts(spark, sf).collect()}
     for d, t in docs.items():
         n = [greedy(pieces, w) for w in t.encode().split()]
