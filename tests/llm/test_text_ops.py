@@ -120,6 +120,42 @@ def test_longest_matches_and_removal(spark):
     assert not any(r.contaminated for r in decontaminate.overlap(df, bench.where("false")).collect())
 
 
+def test_repetitive_text_costs_no_more(spark):
+    rows = [(1, "a " * 200_000), (2, "a b " * 50_000), (3, "x " * 9 + "a " * 10), (4, None)]
+    items = [(1, "a " * 100_000), (2, "b a " * 3000), (3, "a " * 12)]
+    got = decontaminate.overlap(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in got.collect()) == [(1, 200_000, 200_000, 2), (2, 100_000, 100_000, 1), (3, 19, 10, 2), (4, 0, 0, 0)]
+    one = decontaminate.Items.of([("1", "a " * 3000)], 10)
+    found = [m for part in decontaminate.Shard.of(["b " + "a " * 5000], one).matches(one, 500) for m in zip(*map(np.ndarray.tolist, part))]
+    # from the item's first word, or from the first a of the text
+    assert sorted(found) == sorted([(0, 1 + i, 0, 0, min(3000, 5000 - i)) for i in range(4991)] + [(0, 1, 0, i, 3000 - i) for i in range(1, 2991)])
+
+
+@pytest.mark.parametrize("block", [10**6, 150])
+def test_matches_and_removal_against_brute_force(spark, block):
+    rng = random.Random(12)
+    items = [(i, " ".join(words(rng, rng.randint(8, 30), 2))) for i in range(6)]
+    rows = [(i, " ".join(words(rng, rng.randint(5, 60), 2))) for i in range(30)]
+    want = set()
+    for d, t in rows:
+        a = t.split()
+        for i, u in items:
+            b = u.split()
+            least = min(10, len(b))
+            for x in range(len(a)):
+                for y in range(len(b)):
+                    n = 0
+                    while x + n < len(a) and y + n < len(b) and a[x + n] == b[y + n]:
+                        n += 1
+                    if n >= least and (x == 0 or y == 0 or a[x - 1] != b[y - 1]) and y + least <= len(b):
+                        want.add((d, x, str(i), y, n))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.longest_matches(frame(spark, rows), bench, block_chars=block).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 20
+    left = decontaminate.remove_contaminated(frame(spark, rows), bench, block_chars=block)
+    assert sorted(r.doc_id for r in left.collect()) == sorted({d for d, _ in rows} - {m[0] for m in want})
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(0)
     for _ in range(20):
