@@ -135,7 +135,7 @@ def test_repetitive_text_costs_no_more(spark):
 def test_matches_and_removal_against_brute_force(spark, block):
     rng = random.Random(12)
     items = [(i, " ".join(words(rng, rng.randint(8, 30), 2))) for i in range(6)]
-    rows = [(i, " ".join(words(rng, rng.randint(5, 60), 2))) for i in range(30)]
+    rows = [(i, " ".join(words(rng, rng.randint(5, 60), 2))) for i in range(90)]
     want = set()
     for d, t in rows:
         a = t.split()
