@@ -43,6 +43,75 @@ TEMPLATES = {
     '<<var;name="holder";match=".*";words="0-6">> all rights reserved',
 }
 
+
+
+def _quoted(word: str) -> str:
+    """A word that may stand in typographic quotation marks, which words include."""
+    return f'<<var;name="quoted";match="[\u201c\u2018]?{word}[\u201d\u2019]?";words="1-1">>'
+
+
+def _named(name: str, words: str = "1-12") -> str:
+    return f'<<var;name="{name}";match=".*";words="{words}">>'
+
+
+_EXPRESS = '<<var;name="express";match="express(?:ed)?";words="1-1">>'
+_NO_WARRANTY = (
+    f"this software is provided by {_named('provider')} {_quoted('as')} {_quoted('is')} and any {_EXPRESS} or implied warranties including but not limited "
+    "to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall "
+    f"{_named('bearer')} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of "
+    "substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract "
+    "strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+)
+_BSD = (
+    "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+    '<<var;name="bullet";match="1|a|i";words="0-1">> redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer '
+    '<<var;name="bullet";match="2|b|ii";words="0-1">> redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the '
+    "documentation and or other materials provided with the distribution "
+)
+_GNU = (
+    "is free software you can redistribute it and or modify it under the terms of the gnu {0} license as published by the free software foundation "
+    '<<beginOptional>>either<<endOptional>> version <<var;name="version";match="[0-9]+";words="1-2">> <<beginOptional>>of the license<<endOptional>> '
+    "<<beginOptional>>or at your option any later version<<endOptional>> "
+    f"<<beginOptional>>{_named('program', '1-6')} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or "
+    "fitness for a particular purpose see the gnu {0} license for more details<<endOptional>>"
+)
+
+# Wordings of common licences and of the headers that they ask for, in words (fixed values), with their optional and replaceable regions.
+TEMPLATES |= {
+    "text-mit": f"permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the {_quoted('software')} "
+    "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the "
+    "software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice "
+    "<<beginOptional>>including the next paragraph<<endOptional>> shall be included in all copies or substantial portions of the software "
+    f"<<beginOptional>>the software is provided {_quoted('as')} {_quoted('is')} without warranty of any kind express or implied including but not limited to the warranties of merchantability "
+    f"fitness for a particular purpose and noninfringement in no event shall {_named('holders')} be liable for any claim damages or other liability whether in an action of "
+    "contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software<<endOptional>>",
+    "text-isc": "permission to use copy modify and <<beginOptional>>or<<endOptional>> distribute this software for any purpose with or without fee is hereby granted provided that the above "
+    "copyright notice and this permission notice appear in all copies",
+    "text-bsd-2-clause": _BSD + _NO_WARRANTY,
+    "text-bsd-3-clause": _BSD
+    + f'<<var;name="bullet";match="3|c|iii";words="0-1">> neither the name of {_named("holder")} nor the names of <<var;name="its";match="its|their|other";words="0-1">> contributors may be used to '
+    "endorse or promote products derived from this software without specific prior written permission " + _NO_WARRANTY,
+    "text-apache-2-header": f'licensed <<beginOptional>>to {_named("owner", "1-30")} <<endOptional>>under the apache license version 2 0 the {_quoted("license")} you may not use this file except in '
+    "compliance with the license you may obtain a copy of the license at "
+    '<<var;name="address";match="https?|www|apache|org|licenses|license|2|0|txt|html";words="4-9">> '
+    f"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an {_quoted('as')} {_quoted('is')} basis without warranties or "
+    "conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "text-gpl-header": _GNU.format("<<beginOptional>>lesser<<endOptional>> <<beginOptional>>affero<<endOptional>> general public"),
+    "text-mpl-2-header": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at "
+    '<<var;name="address";match="https?|mozilla|org|mpl|2|0";words="4-7">>',
+    "text-zlib": f"this software is provided {_quoted('as')} {_quoted('is')} without any express or implied warranty in no event will the authors be held liable for any damages arising from the use "
+    "of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject "
+    "to the following restrictions",
+    "text-boost": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the "
+    f"{_quoted('software')} to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the "
+    "software is furnished to do so all subject to the following",
+    "text-unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source "
+    "code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+    "text-cc0": "to the extent possible under law "
+    + _named("affirmer")
+    + " <<var;name=\"verb\";match=\"has|have\";words=\"1-1\">> waived all copyright and related or neighboring rights to",
+}
+
 _MARK = re.compile(r"<<(beginOptional|endOptional|var;[^>]*)>>")
 
 
@@ -119,6 +188,21 @@ class Template:
                 out |= set(words)
         return out
 
+    def mandatory(self) -> list[str]:
+        """Words that every match holds: those of single moves that all ways to the end take."""
+        out = {w for moves in self.word_moves for w in moves}
+        for word in sorted(out):
+            todo, seen = [0], {0}
+            while todo:
+                s = todo.pop()
+                for t in [t for w, t in self.word_moves[s].items() if w != word] + [t for _, t in self.pattern_moves[s]] + self.empty_moves[s]:
+                    if t not in seen:
+                        seen.add(t)
+                        todo.append(t)
+            if self.final in seen:
+                out.discard(word)
+        return sorted(out)
+
     def match(self, words: Iterator[str]) -> int:
         """Words of the longest match from the first one; 0 if the automaton never accepts."""
         states, best = self.closure({0}), 0
@@ -170,7 +254,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, base
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plain = [(label, _hashes(phrase.split())) for phrase, label in phrases.items()]
-        starts = [(t, None if (o := t.openings()) is None else _hashes(sorted(o))) for t in compiled]
+        starts = [(t, None if (o := t.openings()) is None else _hashes(sorted(o)), _hashes(t.mandatory())) for t in compiled]
         for block, texts in text_blocks(batches, 4_000_000):
             words = words_of(texts, ALNUM_LOWER)
             n = len(texts)
@@ -191,7 +275,10 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, base
                 np.maximum.at(highest, t, inside)
                 for i in np.unique(t).tolist():
                     base_labels[i].add(label)
-            for template, begin in starts:
+            present = np.unique(words.hash)
+            for template, begin, needed in starts:
+                if not np.isin(needed, present, assume_unique=True).all():
+                    continue
                 at = np.arange(len(words)) if begin is None else np.flatnonzero(np.isin(words.hash, begin))
                 for p, t in zip(at.tolist(), text_of[at].tolist(), strict=True):
                     if template.label not in labels[t]:
