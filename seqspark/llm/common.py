@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -79,6 +80,19 @@ def text_blocks(batches: Iterator[pa.RecordBatch], most: int, text: str = "text"
             yield batch.slice(lo, hi - lo), texts[lo:hi]
 
 
+_SPACE = re.compile(r"[\x20\x09-\x0D]")
+
+
+def text_pieces(text: str, most: int) -> Iterator[str]:
+    """A text cut before white space into pieces of about so many characters."""
+    lo = 0
+    while lo < len(text):
+        m = _SPACE.search(text, lo + most)
+        hi = m.start() if m else len(text)
+        yield text[lo:hi]
+        lo = hi
+
+
 def total_bytes(spark: SparkSession, df: DataFrame) -> int:
     """Catalyst's estimate of a frame's size in bytes, from file sizes where it is a scan."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())

@@ -12,8 +12,8 @@ The fit takes a bounded sample of labelled rows (parameters below) on the driver
 scoring runs on all rows with the model broadcast, whose size is fixed.
 
 Defined results: null and empty texts get the score of a text of unknown words;
-texts are scored whole whatever their length; repeated rows are scored each;
-labels that are null or name no document are not used; without both classes among
+texts are scored whole whatever their length; repeated rows are scored each; of a
+labelled doc_id that repeats, the fit takes the least text; labels that are null or name no document are not used; without both classes among
 the labels every score is 0; an empty table gives no rows.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_blocks
+from .common import text_blocks, text_pieces
 from .wordarrays import ALNUM_LOWER, words_of
 
 #: Labelled rows of each class that the fit takes at most, by the hash of their id.
@@ -67,14 +67,18 @@ class Model:
         known = self.prints[bucket] == (hashes >> np.uint64(32)).astype(np.uint32)
         return np.where(known, bucket, BUCKETS)
 
-    def languages(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """For each text the index of the language with most function words; 0 without any."""
+    def votes(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each text the function words of each language, in the order of LANGUAGES."""
         n = len(first) - 1
         slot = np.minimum(np.searchsorted(self.language, hashes), len(self.language) - 1)
         at = np.flatnonzero(self.language[slot] == hashes)
         text = np.searchsorted(first, at, side="right") - 1
         votes = np.bincount(text * len(LANGUAGES) + self.language_of[slot[at]], minlength=n * len(LANGUAGES))
-        return votes.reshape(n, -1).argmax(1) if n else np.zeros(0, np.int64)
+        return votes.reshape(n, len(LANGUAGES))
+
+    def languages(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """For each text the index of the language with most function words; 0 without any."""
+        return self.votes(hashes, first).argmax(1)
 
     def features(self, rows: np.ndarray, first: np.ndarray, places: bool = False):
         """Maxima of every filter over each text (texts by word bounds), and where they stand."""
@@ -272,14 +276,15 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         .withColumn("turn", F.xxhash64("doc_id"))
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    short = texts.where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id").join(known, "doc_id").groupBy("doc_id", "toxic", "turn").agg(F.count("*").alias("n"))
+    short = texts.where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id").join(known, "doc_id").groupBy("doc_id", "toxic", "turn").agg(F.count("*"))
     one = short.where("toxic = 1").orderBy("turn").limit(MAX_TOXIC)
     zero = short.where("toxic = 0").orderBy("turn").limit(MAX_CLEAN)
     chosen = F.broadcast(one.unionAll(zero).select("doc_id", "toxic"))  # MAX_TOXIC + MAX_CLEAN rows at most
     rows = (
         texts.where(F.length("text") <= MAX_TRAIN_CHARS)
         .join(chosen, "doc_id")
-        .select("doc_id", "text", "toxic")
+        .groupBy("doc_id", "toxic")
+        .agg(F.min("text").alias("text"))
         .toArrow()
         .sort_by([("doc_id", "ascending"), ("text", "ascending")])
     )
@@ -340,8 +345,27 @@ SCHEMA = T.StructType(
 
 
 def _logits(model: Model, texts: list) -> tuple[np.ndarray, np.ndarray]:
-    words = words_of(texts, ALNUM_LOWER)
-    return np.asarray(model.logits(words.hash, words.first), np.float64), model.languages(words.hash, words.first)
+    """Logit and language of each text; a long one is read in pieces, whose maxima and votes are united."""
+    z, language = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    long = [i for i, t in enumerate(texts) if t is not None and len(t) > PIECE_CHARS]
+    if len(long) < len(texts):
+        some = [i for i in range(len(texts)) if i not in set(long)] if long else range(len(texts))
+        words = words_of([texts[i] for i in some], ALNUM_LOWER)
+        z[some], language[some] = model.logits(words.hash, words.first), model.languages(words.hash, words.first)
+    for i in long:
+        best, votes, held = None, 0, np.zeros(0, np.uint64)
+        for piece in text_pieces(texts[i], PIECE_CHARS):
+            own = words_of([piece], ALNUM_LOWER)
+            votes = votes + model.votes(own.hash, own.first)
+            held = np.concatenate([held, own.hash])
+            if len(held) >= max(WIDTHS):  # windows over the cut are in the next piece's
+                f = model.features(model.rows(held), np.array([0, len(held)]))
+                best = f if best is None else np.maximum(best, f)
+                held = held[1 - max(WIDTHS) :]
+        if best is None:
+            best = model.features(model.rows(held), np.array([0, len(held)]))
+        z[i], language[i] = (best @ model.output + model.bias)[0], votes.argmax(1)[0]
+    return z, language
 
 
 def _scores(model: Model | None, texts: list) -> tuple[np.ndarray, np.ndarray]:
@@ -352,6 +376,8 @@ def _scores(model: Model | None, texts: list) -> tuple[np.ndarray, np.ndarray]:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40))), language
 
 
+#: Longer texts are scored piece by piece.
+PIECE_CHARS = 2_000_000
 _BLOCK_CHARS = 500_000  # so that activations stay in cache
 
 

@@ -17,7 +17,7 @@ from array import array
 
 import numpy as np
 
-from .common import slices
+from .common import slices, text_pieces
 from .wordarrays import PLAIN_LOWER, words_of
 
 # UTF-8 letters that are one pre-token together with their like, whatever follows: Latin ones up to U+017E that lower-case
@@ -135,7 +135,7 @@ class WordIds:
             if "<|" in t:
                 out[i] = self._library([t])[0]
             elif len(t) > self.BLOCK_CHARS:
-                out[i] = b"".join(x for piece in _pieces(t, self.BLOCK_CHARS) for x in self._block([piece]))
+                out[i] = b"".join(x for piece in text_pieces(t, self.BLOCK_CHARS) for x in self._block([piece]))
             else:
                 plain.append(i)
         for lo, hi in slices([len(texts[i]) for i in plain], self.BLOCK_CHARS):
@@ -147,19 +147,6 @@ class WordIds:
         return self.many([text])[0]
 
 
-_SPACE = re.compile(r"[\x20\x09-\x0D]")
-
-
-def _pieces(text: str, most: int):
-    """A text cut at white space into pieces of about so many characters."""
-    lo = 0
-    while lo < len(text):
-        m = _SPACE.search(text, lo + most)
-        hi = m.start() if m else len(text)
-        yield text[lo:hi]
-        lo = hi
-
-
 _HELD: dict[str, WordIds] = {}
 
 
