@@ -175,6 +175,17 @@ def test_licenses(spark):
     labels = {k: r.labels for k, r in got.items()}
     assert labels == {1: "notice-apache", 2: "notice-apache", 3: "", 4: "cc-by,notice-cc", 5: "gpl", 6: "notice-reserved,reserved", 7: "", 8: "", 9: "notice-mit", 10: "gpl,notice-gpl"}
     assert (got[4].n_base, got[4].first_word, got[4].last_word) == (2, 3, 8) and got[7].first_word is None and got[5].score == 0.5
+    texts = {
+        "text-mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice (including the next paragraph) shall be included in all copies or substantial portions of the Software.',
+        "text-bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \u201cAS IS\u201d AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT OWNER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+        "text-apache-2-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.',
+        "text-gpl-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 2.1 of the License, or (at your option) any later version.",
+        "text-mpl-2-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    }
+    less = lambda t: " ".join(w for i, w in enumerate(t.split()) if i != 12)  # noqa: E731  a mandatory word is missing
+    wordings = [(k, f"// x {t} y") for k, t in enumerate(texts.values())] + [(10 + k, less(t)) for k, t in enumerate(texts.values())]
+    found = {r.doc_id: [x for x in r.labels.split(",") if x.startswith("text-")] for r in licenses.scan_licenses(frame(spark, wordings)).collect()}
+    assert [found[k] for k in range(5)] == [[label] for label in texts] and not any(found[10 + k] for k in range(5))
     for label, markup in licenses.TEMPLATES.items():  # the automaton and the pattern accept alike
         t, pattern = licenses.Template.compile(label, markup), re.compile(licenses.Template.regex(markup))
         rng = random.Random(1)
@@ -256,6 +267,9 @@ def test_toxicity(spark, sf):
     assert all(r.held_out == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for d, r in got.items())
     held = [(got[d].predicted, y) for d, y in labels.items() if d in got and got[d].held_out]
     assert np.mean([p == y for p, y in held]) >= 0.9
+    assert np.mean([p for p, y in held if y]) >= 0.75 and np.mean([1 - p for p, y in held if not y]) >= 0.97
+    scores = [(got[d].score, y) for d, y in labels.items() if d in got and got[d].held_out]
+    assert np.mean([(a > b) + (a == b) / 2 for a, y in scores if y for b, x in scores if not x]) >= 0.93  # area under the curve
     odd = frame(spark, [(1, None), (2, ""), (2, ""), (None, "idiot")], "toxic int, score string")
     model = toxicity.fit(["idiot moron the of", "fine words the of"] * 60, np.array([1, 0] * 60), steps=30)
     out = toxicity.score(odd, model).collect()
@@ -265,6 +279,20 @@ def test_toxicity(spark, sf):
     assert toxicity.score(odd.where("false"), model).collect() == []
 
 
+def test_op3_long_texts_and_labels_without_documents(spark, monkeypatch):
+    model = toxicity.fit(["idiot moron the of", "fine words the of"] * 60, np.array([1, 0] * 60), steps=30)
+    rng = random.Random(1)
+    texts = [" ".join(rng.choices(["fine", "words", "the", "of", "und", "idiot", "moron"], k=n)) for n in (1, 2, 3, 7, 60, 400)] + ["x" * 90, " " * 90, None]
+    whole = toxicity._logits(model, texts)
+    monkeypatch.setattr(toxicity, "PIECE_CHARS", 20)
+    pieces = toxicity._logits(model, texts)
+    assert np.allclose(whole[0], pieces[0], atol=1e-5) and (whole[1] == pieces[1]).all()
+    docs = spark.createDataFrame([(i, f"idiot moron {i}" if i % 2 else f"fine words {i}", None) for i in range(200)] * 2, "doc_id long, text string, toxic string")
+    labels = spark.range(100_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS toxic", "'x' AS text")
+    found = toxicity.score(docs, toxicity.train(docs, labels)).collect()
+    assert len(found) == 400 and all(r.predicted == r.doc_id % 2 for r in found)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>var a="</p>";</script></head><body><div id=top><a href=/>Home</a></div>
 <div class="col"><ul class=links><li>One<li>Two</ul></div><div class="story"><h1>{h}</h1><p>{a} &amp; more&nbsp;text<br>line<p><b>{b}<p>Same words everywhere
 <div class="comments"><p>nice post</div></div><div>Site of the year</div><form>Search <input></form></body>"""
