@@ -13,13 +13,18 @@ Lists are never expanded into all pairs.  Short lists give their pairs; a long
 list gives pairs with its most central member alone.  Retained pairs are confirmed
 on the full shingle sets, confirmed links give components.  What may still be
 missing are links between members of a long list that are by then in different
-components: those members alone are compared, in blocks of bounded size, until no
-retained pair crosses components unconfirmed.
+components.  In such a list only the members outside its largest component are
+compared with the others, in blocks of bounded size.  Where they are many (a passage
+that stands in many documents), they are posted under all COORDINATES instead: long
+lists are skipped, and as a pair to retain collides MATCHES times, it meets in a short
+list unless MATCHES of its coordinates or more are in skipped ones; documents with so
+many skipped coordinates alone are still compared in blocks.  Long lists are joined
+by list and salt.
 
 Defined results: texts of fewer words than a shingle are one shingle; texts
 without words and null texts link with nothing; rows with equal doc_id are one
-document each and share a result; a row without doc_id links with nothing and is
-kept; empty tables give no rows.
+document, linked by any of their texts, and share a result; a row without doc_id
+links with nothing and is kept; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -46,8 +51,9 @@ FINE, FINE_MATCHES = 1024, 696
 #: Lists are merged for the first PREFIX coordinates; a pair at the threshold meets in fewer than
 #: PREFIX_MATCHES of them with probability under 2e-7. All other lists are skipped and only probed.
 PREFIX, PREFIX_MATCHES = 14, 2
-#: Lists up to SHORT members give all their pairs; members of longer ones meet in blocks of BLOCK.
-SHORT, BLOCK = 24, 2048
+#: Lists up to SHORT members give all their pairs; members of longer ones meet in blocks of BLOCK, or, if more than
+#: WIDE are outside the largest component, under all coordinates.
+SHORT, BLOCK, WIDE = 24, 2048, 8192
 
 _rng = np.random.default_rng(11)
 _FACTORS = _rng.integers(0, 1 << 32, FINE, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -91,8 +97,21 @@ _SIGNED = T.StructType(
 
 
 def _sketch(sig: np.ndarray) -> bytes:
-    """The PREFIX whole values, then the low byte of all."""
-    return sig[:PREFIX].astype("<u4").tobytes() + (sig & np.uint32(0xFF)).astype(np.uint8).tobytes()
+    """The PREFIX whole values, then two bytes of the COORDINATES, then the low byte of the others."""
+    return sig[:PREFIX].astype("<u4").tobytes() + sig[:COORDINATES].astype("<u2").tobytes() + sig[COORDINATES:].astype(np.uint8).tobytes()
+
+
+def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The three parts of sketches, by rows."""
+    raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
+    a, b = 4 * PREFIX, 4 * PREFIX + 2 * COORDINATES
+    return np.ascontiguousarray(raw[:, :a]).view("<u4"), np.ascontiguousarray(raw[:, a:b]).view("<u2"), raw[:, b:]
+
+
+def _lists(values: np.ndarray) -> np.ndarray:
+    """Ids of the lists of (coordinate, value), by rows of values."""
+    salt = mix(np.arange(1, values.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(values.astype(np.uint64) ^ salt).view(np.int64)
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -123,22 +142,41 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, _SIGNED)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
-    """(list, node) for the prefix coordinates of every class."""
-    salt = mix(np.arange(1, PREFIX + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+def _postings(classes: DataFrame, part: int = 0) -> DataFrame:
+    """(list, node) of every class: for the prefix coordinates, or (part 1) for all COORDINATES."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                sig = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-                sig = sig[:, : 4 * len(salt)].copy().view("<u4").astype(np.uint64)
-                lists = mix(sig ^ salt).view(np.int64)
-                node = np.repeat(batch.column("node").to_numpy(), len(salt))
+            for lo in range(0, batch.num_rows, 4096):
+                some = batch.slice(lo, 4096)
+                lists = _lists(_sketches(some.column("sketch"))[part])
+                node = np.repeat(some.column("node").to_numpy(), lists.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(node)], names=["list", "node"])
 
     return classes.select("node", "sketch").mapInArrow(run, "list long, node long")
 
 
+def _pairs_of_lists(lists: DataFrame) -> DataFrame:
+    """(a, b, met): all pairs of members of short lists (list, node), and in how many of them they meet."""
+    members = lists.groupBy("list").agg(F.array_sort(F.collect_set("node")).alias("m"))
+    return (
+        members.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p"))
+        .groupBy("p.a", "p.b")
+        .agg(F.count("*").alias("met"))
+    )
+
+
+def _salts(size):
+    """Keys that the members of a list of so many are dealt to."""
+    return F.ceil(size / BLOCK).cast("int")
+
+
+def _by_list(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """members (list, node, size, ...) joined with one row of each list, by list and salt."""
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), _salts(F.col("size"))).cast("int"))
+    return salted.join(lists.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(F.col("size")) - 1))).drop("size"), ["list", "salt"]).drop("salt")
+
+
 def _retained(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs (a, b) of classes whose sketches collide often enough and whose sizes allow a link."""
     own = classes.select("node", "n_shingles", "sketch")
@@ -151,16 +189,16 @@ def _retained(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         for batch in batches:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
-                sa, sb = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, -1) for c in ("sa", "sb"))
-                yield part.select(["a", "b"]).filter(pa.array(alike(sa, sb)))
+                if part.num_rows:
+                    yield part.select(["a", "b"]).filter(pa.array(alike(_sketches(part.column("sa")), _sketches(part.column("sb")))))
 
     return both.where(sizes).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def alike(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+def alike(sa: tuple, sb: tuple) -> np.ndarray:
     """Rows of sketches that collide in MATCHES coordinates and FINE_MATCHES of all minima."""
-    same = sa[:, 4 * PREFIX :] == sb[:, 4 * PREFIX :]
-    return (same[:, :COORDINATES].sum(1) >= MATCHES) & (same.sum(1) >= FINE_MATCHES)
+    same = (sa[1] == sb[1]).sum(1)
+    return (same >= MATCHES) & (same + (sa[2] == sb[2]).sum(1) >= FINE_MATCHES)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -203,7 +241,8 @@ def _maybe_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
 def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Pairs (a, b) of doc ids that are links on their full shingle sets."""
     some = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = _maybe_in(docs, some).join(some, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    # a doc_id with several texts has several sets
+    texts = _maybe_in(docs, some).join(some, "doc_id").groupBy("doc_id", F.xxhash64("text").alias("h"), F.length("text").alias("n")).agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, rows in text_blocks(batches, 1_500_000):
@@ -219,7 +258,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             on = [linked(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(on, pa.bool_()))
 
-    out = save(both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long"), "links")
+    out = save(both.select("a", "b", "sa", "sb").mapInArrow(test, "a long, b long").distinct(), "links")
     discard(sets)
     return out
 
@@ -253,108 +292,123 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Retained pairs (a, b) of members of one long list that are in different components.
-
-    Members are dealt to blocks of a list; each pair of blocks is one group.  In the
-    group, sketches are compared by rows; a pair is given by the first list of the
-    prefix in which it meets, and pairs of one component not at all.
-    """
-    nodes = long_lists.select("node").distinct()
-    named = (
-        classes.select("node", "n_shingles", "sketch")
-        .join(nodes, "node")
-        .join(labels, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
+def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame | None:
+    """Retained pairs (a, b) of members of one long list that are in different components; None if there is no such list."""
+    named = long_lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    parts = named.groupBy("list", "component").agg(F.count("*").alias("n"))
+    mixed = save(
+        parts.groupBy("list")
+        .agg(F.max_by("component", F.struct("n", "component")).alias("main"), (F.sum("n") - F.max("n")).alias("outside"), F.sum("n").alias("size"), F.count("*").alias("parts"))
+        .where("parts > 1"),
+        "mixed",
     )
-    members = long_lists.join(named.select("node", "component"), "node")
-    # lists whose members are all in one component by now are done
-    mixed = members.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK).cast("int"))
-    dealt = (
-        long_lists.join(mixed, "list")
-        .withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select(
-            "list",
-            F.least("own", "other").alias("x"),
-            F.greatest("own", "other").alias("y"),
-            "own",
-            "node",
-        )
-    )
-    prefix = 4 * PREFIX
+    if mixed.isEmpty():
+        return None
+    members = save(_by_list(named, mixed).withColumn("out", F.col("component") != F.col("main")).select("list", "node", "component", "out", "outside", "size"), "members")
+    found = _in_blocks(members.where(F.col("outside") <= WIDE), classes)
+    many = members.where(F.col("outside") > WIDE)
+    if not many.isEmpty():
+        wide, full = _under_all_coordinates(many.select("node", "component").distinct(), classes)
+        some = many.join(full, "node")
+        again = _by_list(some, some.groupBy("list").agg(F.sum(F.col("out").cast("int")).alias("left_out"), F.first("size").alias("size"), F.count("*").alias("left")))
+        found = found.unionAll(wide).unionAll(_in_blocks(again.select("list", "node", "component", "out", F.col("left_out").alias("outside"), F.col("left").alias("size")), classes))
+    return found.distinct()
+
+
+def _under_all_coordinates(nodes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Retained pairs of nodes (node, component) that meet in a short list of any coordinate, and the nodes that skip MATCHES lists or more."""
+    postings = save(_postings(classes.join(nodes, "node", "left_semi"), 1), "wide")
+    lists = save(postings.join(postings.groupBy("list").agg(F.count("*").alias("size")).where("size > 1"), "list"), "wide_lists")
+    skipped = save(lists.where(F.col("size") > SHORT).groupBy("node").agg(F.count("*").alias("lists")), "skipped")
+    met = _pairs_of_lists(lists.where(F.col("size") <= SHORT))
+    for side in ("a", "b"):
+        met = met.join(skipped.select(F.col("node").alias(side), F.col("lists").alias(f"l{side}")), side, "left")
+        met = met.join(nodes.select(F.col("node").alias(side), F.col("component").alias(f"c{side}")), side)
+    hopeful = met.where((F.col("ca") != F.col("cb")) & (F.col("met") + F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0))) >= MATCHES))
+    pairs = save(_retained(hopeful.select("a", "b"), classes), "wide_pairs")
+    discard(postings, lists)
+    return pairs, skipped.where(F.col("lists") >= MATCHES).select("node")
+
+
+def _in_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Retained pairs across components of lists' members (list, node, component, out, outside, size).
+
+    Members that are `out` of their list's largest component are compared with all:
+    a block of the former and one of the latter are a group.  A pair is given by the
+    first list of the prefix in which it meets.
+    """
+    left = F.greatest(F.lit(1), F.ceil(F.col("outside") / BLOCK).cast("int"))
+    right = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK).cast("int"))
+    own = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
+    kept = ["list", "node", "component", "x", "y", "asks"]
+    asking = members.where("out").withColumn("x", own(left)).withColumn("y", F.explode(F.sequence(F.lit(0), right - 1))).withColumn("asks", F.lit(True))
+    asked = members.withColumn("y", own(right)).withColumn("x", F.explode(F.sequence(F.lit(0), left - 1))).withColumn("asks", F.lit(False))
+    dealt = asking.select(kept).unionAll(asked.select(kept)).join(classes.select("node", "n_shingles", "sketch"), "node")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
-        x, y = key[1].as_py(), key[2].as_py()
-        own = table.column("own").to_numpy()
         node, comp, n = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
-        head = np.ascontiguousarray(sketch[:, :prefix]).view("<u4")
-        at_list = key[0].as_py()
-        salt = mix(np.arange(1, head.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        lists = mix(head.astype(np.uint64) ^ salt).view(np.int64)
-        here = int(np.flatnonzero((lists == at_list).any(0))[0])
-        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        head, middle, tail = _sketches(table.column("sketch"))
+        here = int(np.flatnonzero((_lists(head) == key[0].as_py()).any(0))[0])
+        asks = table.column("asks").to_numpy(zero_copy_only=False)
+        outside = np.isin(node, node[asks])  # members of this block of those that ask
+        others = np.flatnonzero(~asks)
         found: list[tuple[np.ndarray, np.ndarray]] = []
-        for i in left.tolist():
-            js = right[(comp[right] != comp[i]) & ((node[right] > node[i]) if x == y else True)]
-            js = js[(np.minimum(n[js], n[i]) * DENOMINATOR >= np.maximum(n[js], n[i]) * NUMERATOR)]
+        for i in np.flatnonzero(asks).tolist():
+            js = others[(comp[others] != comp[i]) & (~outside[others] | (node[others] > node[i]))]
+            js = js[np.minimum(n[js], n[i]) * DENOMINATOR >= np.maximum(n[js], n[i]) * NUMERATOR]
             if here:
                 js = js[~(head[js, :here] == head[i, :here]).any(1)]
             if len(js):
-                js = js[alike(np.broadcast_to(sketch[i], (len(js), sketch.shape[1])), sketch[js])]
+                js = js[alike((None, middle[i], tail[i]), (None, middle[js], tail[js]))]
                 found.append((np.full(len(js), i), js))
         i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         a, b = node[i], node[j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return (
-        dealt.join(named, "node")
-        .select("list", "x", "y", "own", "node", "component", "n_shingles", "sketch")
-        .groupBy("list", "x", "y")
-        .applyInArrow(compare, "a long, b long")
-        .distinct()
-    )
+    return dealt.select("list", "x", "y", "asks", "node", "component", "n_shingles", "sketch").groupBy("list", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id, kept (is it the least id of its component)."""
     whole = save(signed(docs), "signed")
-    own = save(whole.select("doc_id", "n_shingles", "set_id"), "sets")
+    own = save(whole.select("doc_id", "n_shingles", "set_id"), "own")
     # the least document of each set stands for it; ids alone are reduced
     chosen = save(own.where("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node")), "chosen")
     one = whole.where("set_id is not null").join(chosen.select("set_id", F.col("node").alias("doc_id")), ["set_id", "doc_id"])
     classes = save(one.select(F.col("doc_id").alias("node"), "set_id", "n_shingles", "sketch").dropDuplicates(["node", "set_id"]), "classes")
     discard(whole)
-    labels = class_components(classes, docs)
+    # rows of one doc_id are one document: their sets are linked
+    repeats = save(own.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeats")
+    some = not repeats.isEmpty()
+    same = None
+    if some:
+        nodes = own.join(repeats, "doc_id").join(chosen, "set_id").select("doc_id", "node").distinct()
+        same = save(nodes.join(nodes.groupBy("doc_id").agg(F.min("node").alias("a")), "doc_id").where("a < node").select("a", F.col("node").alias("b")).distinct(), "same")
+    labels = class_components(classes, docs, same)
+    discard(classes)
     by_set = chosen.join(labels, "node", "left").select("set_id", F.coalesce("component", "node").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return own.join(by_set, "set_id", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
-    )
+    rows = own.join(by_set, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component"))
+    if some:
+        rows = save(rows, "rows")
+        shared = rows.join(repeats, "doc_id").groupBy("doc_id").agg(F.min("component").alias("shared"))
+        rows = rows.join(shared, "doc_id", "left").withColumn("component", F.coalesce("shared", "component"))
+    return rows.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
-def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, component) of the classes (node, n_shingles, sketch) that have links; docs holds their texts."""
+def class_components(classes: DataFrame, docs: DataFrame, same: DataFrame | None = None) -> DataFrame:
+    """(node, component) of the classes (node, n_shingles, sketch) that have links; docs holds their texts, same more links (a, b)."""
     # lists of one member give no pair; the counts are combined before they are moved
     postings = save(_postings(classes), "postings")
     sizes = postings.groupBy("list").agg(F.count("*").alias("size")).where("size > 1")
     lists = save(postings.join(sizes, "list"), "lists")
     discard(postings)
-    short = lists.where(F.col("size") <= SHORT).groupBy("list").agg(F.array_sort(F.collect_list("node")).alias("m"))
-    short_pairs = (
-        short.select(F.explode(F.expr("flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x AS a, y AS b))))")).alias("p"))
-        .groupBy("p.a", "p.b")
-        .agg(F.count("*").alias("met"))
-    )
-    long_lists = save(lists.where(F.col("size") > SHORT), "long")
+    short_pairs = _pairs_of_lists(lists.where(F.col("size") <= SHORT))
+    long_lists = save(lists.where(F.col("size") > SHORT).groupBy("list", "node").agg(F.max("size").alias("size")), "long")
     # the most central member: that with most company over all its long lists
     company = long_lists.groupBy("node").agg(F.sum("size").alias("company"))
     ranked = long_lists.join(company, "node")
-    center = ranked.groupBy("list").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("center"))
-    star = long_lists.join(center, "list").where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
+    center = ranked.groupBy("list").agg(F.max_by("node", F.struct("company", -F.col("node"))).alias("center"), F.max("size").alias("size"))
+    star = _by_list(long_lists, center).where("node <> center").select(F.least("node", "center").alias("a"), F.greatest("node", "center").alias("b"))
     # pairs that cannot reach enough collisions in the prefix, their long lists counted in full, are skipped
     in_long = save(long_lists.groupBy("node").agg(F.count("*").alias("lists")), "in_long")
     more = F.least(F.coalesce("la", F.lit(0)), F.coalesce("lb", F.lit(0)))
@@ -366,12 +420,18 @@ def class_components(classes: DataFrame, docs: DataFrame) -> DataFrame:
     )
     met = save(hopeful.unionAll(star).distinct(), "met")
     pairs = save(_retained(met, classes), "pairs")
-    discard(lists, met)
+    discard(lists, met, in_long)
     links = _confirmed(pairs, docs)
+    if same is not None:
+        links = links.unionAll(same)
     labels = save(components(links), "labels")
     if long_lists.isEmpty():
         return labels
-    crossing = save(_crossing(long_lists, classes, labels).join(pairs, ["a", "b"], "left_anti"), "crossing")
+    found = _crossing(long_lists, classes, labels)
+    if found is None:
+        return labels
+    crossing = save(found.join(pairs, ["a", "b"], "left_anti"), "crossing")
+    discard(long_lists, pairs)
     if crossing.isEmpty():
         return labels
     return save(components(links.unionAll(_confirmed(crossing, docs))), "labels")

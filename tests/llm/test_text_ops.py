@@ -243,6 +243,33 @@ def test_near_duplicates_against_brute_force(spark):
     assert neardups.near_components(df.where("false")).collect() == []
 
 
+def test_near_duplicates_of_one_id_with_several_texts(spark):
+    rng = random.Random(9)
+    t1, t2, t3 = (" ".join(words(rng, 40, 10**6)) for _ in "123")
+    rows = [(5, t1), (5, t2), (9, t2 + " extra"), (3, t3), (7, t3), (7, None), (7, t1), (11, ""), (11, t3 + " more"), (12, t1 + " x"), (13, "alone here")]
+    got = neardups.near_components(frame(spark, rows))
+    assert {tuple(r) for r in got.collect()} == brute_near(rows) and got.count() == len(rows)
+
+
+@pytest.mark.parametrize("wide", [5, 10**6])
+def test_near_duplicates_that_share_boilerplate(spark, monkeypatch, wide):
+    monkeypatch.setattr(neardups, "WIDE", wide)
+    rng = random.Random(14)
+    rows = []
+    for share in (30, 70, 105):  # of some 130 words
+        line = words(rng, share, 10**6)
+        for i in range(60):
+            own = words(rng, 130 - share, 10**6)
+            rows.append((1000 * share + 2 * i, " ".join(line + own)))
+            if i % 6 == 0:  # a near copy in another order of ids
+                own[3] = "changed"
+                rows.append((1000 * share + 999 - i, " ".join(line + own)))
+    rng.shuffle(rows)
+    want = brute_near(rows)
+    assert {tuple(r) for r in neardups.near_components(frame(spark, rows)).collect()} == want
+    assert 20 < sum(not r[3] for r in want) < 60
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1040)]
