@@ -5,8 +5,8 @@ passage starts at, one of its first seven words stands at a cover position in bo
 copies.  So only the windows of ANCHOR words at cover positions are hashed and
 compared over the corpus, three of seven; any repeat of WINDOW = 13 words shares
 an anchor at the same distance from its start.  Shared anchors are then extended:
-the full windows around them are hashed and compared, and a window that also
-starts in a document with a smaller id has its words removed.
+the full windows around them are compared by two independent 64-bit hashes, and a
+window that also starts in a document with a smaller id has its words removed.
 
 Both comparisons are made on packed arrays.  Documents lie in chunks of some
 megabytes, written once to shared storage.  A chunk sends each distinct hash once
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import save, text_blocks
-from .wordarrays import PLAIN, Words, windows, words_of
+from .wordarrays import PLAIN, SECOND, Words, window_hashes, windows, words_of
 
 WINDOW, PERIOD, COVER = 13, 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
@@ -95,31 +95,38 @@ class Chunk:
         on = np.isin((at - self.words.first[text]) % PERIOD, COVER)
         return at[on], h[on]
 
-    def candidates(self, at: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(word, hash, doc) of the windows that hold a shared anchor within their first PERIOD words."""
+    def candidates(self, at: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(word, hash, second hash, doc) of the windows that hold a shared anchor within their first PERIOD words."""
         edge = np.zeros(len(self.words) + PERIOD + 1, np.int64)
         edge[at[shared] + 1] = 1
         total = np.cumsum(edge)
         w, h = windows(self.words, WINDOW)
         on = total[w + PERIOD] > total[w]
         w, h = w[on], h[on]
-        return w, h, self.doc[np.searchsorted(self.words.first, w, side="right") - 1]
+        text = np.searchsorted(self.words.first, w, side="right") - 1
+        some, own = np.unique(text, return_inverse=True)
+        again = words_of([self.texts[i] for i in some.tolist()], PLAIN, weights=SECOND)
+        second = window_hashes(again.hash, WINDOW)[w - self.words.first[text] + again.first[own]] if len(w) else h
+        return w, h, second, self.doc[text]
 
 
 class Distinct:
-    """Distinct hashes of a chunk by bucket, with the least and largest doc of each."""
+    """Distinct hashes of a chunk by bucket, with the least and largest doc of each.
 
-    def __init__(self, hashes: np.ndarray, docs: np.ndarray, buckets: int, bits: int):
+    Anchors go by 32 bits within their bucket, windows by both hashes whole.
+    """
+
+    def __init__(self, hashes: np.ndarray, docs: np.ndarray, buckets: int, second: np.ndarray | None = None):
         bucket = (hashes >> np.uint64(40)) % np.uint64(buckets)
-        value = hashes & np.uint64(0xFFFFFFFF) if bits == 32 else hashes
-        order = np.lexsort((value, bucket))
+        value = (hashes & np.uint64(0xFFFFFFFF)).astype("<u4")[:, None] if second is None else np.stack([hashes, second], 1).astype("<u8")
+        order = np.lexsort((*value.T[::-1], bucket))
         bucket, value, docs = bucket[order], value[order], docs[order]
         first = np.ones(len(order), bool)
-        first[1:] = (value[1:] != value[:-1]) | (bucket[1:] != bucket[:-1])
+        first[1:] = (value[1:] != value[:-1]).any(1) | (bucket[1:] != bucket[:-1])
         at = np.flatnonzero(first)
         self.slot = np.empty(len(order), np.int64)
         self.slot[order] = np.cumsum(first) - 1
-        self.bucket, self.value = bucket[at].astype(np.int64), value[at].astype("<u4" if bits == 32 else "<u8")
+        self.bucket, self.value = bucket[at].astype(np.int64), value[at]
         self.least = np.minimum.reduceat(docs, at) if len(at) else docs
         self.largest = np.maximum.reduceat(docs, at) if len(at) else docs
         self.buckets, self.begin = np.unique(self.bucket, return_index=True)
@@ -143,11 +150,11 @@ class Distinct:
 def _elsewhere(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     """For each chunk's hashes in a bucket: does another chunk have them (no docs), or have them in a smaller doc?"""
     by_docs = rows["docs"].iloc[0] is not None
-    parts = [np.frombuffer(h, "<u8" if by_docs else "<u4") for h in rows["hashes"]]
+    parts = [np.frombuffer(h, "<u8").reshape(-1, 2) if by_docs else np.frombuffer(h, "<u4")[:, None] for h in rows["hashes"]]
     value = np.concatenate(parts)
-    order = np.argsort(value, kind="stable")
+    order = np.lexsort(value.T[::-1])
     first = np.ones(len(order), bool)
-    first[1:] = value[order][1:] != value[order][:-1]
+    first[1:] = (value[order][1:] != value[order][:-1]).any(1)
     begin = np.flatnonzero(first)
     group = np.cumsum(first) - 1
     bit = np.empty(len(order), bool)
@@ -183,7 +190,7 @@ def _sent_batches(rows: Iterator[dict]) -> Iterator[pa.RecordBatch]:
 def _shared(chunk: Chunk, replies: list, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     at, h = chunk.anchors()
     text = np.searchsorted(chunk.words.first, at, side="right") - 1
-    distinct = Distinct(h, chunk.doc[text], buckets, 32)
+    distinct = Distinct(h, chunk.doc[text], buckets)
     known = distinct.flags(replies) | (distinct.least < distinct.largest)
     return at, known[distinct.slot]
 
@@ -191,8 +198,8 @@ def _shared(chunk: Chunk, replies: list, buckets: int) -> tuple[np.ndarray, np.n
 def _removed(chunk: Chunk, replies: list, buckets: int) -> np.ndarray:
     """For each word of the chunk: is it covered by a window that starts in a smaller document?"""
     by_step = {k: [r for r in replies if r["step"] == k] for k in (1, 2)}
-    w, h, doc = chunk.candidates(*_shared(chunk, by_step[1], buckets))
-    distinct = Distinct(h, doc, buckets, 64)
+    w, h, second, doc = chunk.candidates(*_shared(chunk, by_step[1], buckets))
+    distinct = Distinct(h, doc, buckets, second)
     gone = distinct.flags(by_step[2])[distinct.slot] | (doc > distinct.least[distinct.slot])
     edge = np.zeros(len(chunk.words) + WINDOW + 1, np.int64)
     np.add.at(edge, w[gone], 1)
@@ -213,7 +220,7 @@ def _judged(docs: DataFrame, chunk_chars: int) -> tuple[DataFrame, int]:
                 for key, packed in zip(batch.column("chunk").to_pylist(), batch.column("rows"), strict=True):
                     chunk = Chunk(packed.as_py())
                     at, h = chunk.anchors()
-                    yield from Distinct(h, at, buckets, 32).sent(key, docs=False)
+                    yield from Distinct(h, at, buckets).sent(key, docs=False)
 
         yield from _sent_batches(rows())
 
@@ -222,8 +229,8 @@ def _judged(docs: DataFrame, chunk_chars: int) -> tuple[DataFrame, int]:
             for batch in batches:
                 for key, packed, replies in zip(batch.column("chunk").to_pylist(), batch.column("rows"), batch.column("replies"), strict=True):
                     chunk = Chunk(packed.as_py())
-                    _, h, doc = chunk.candidates(*_shared(chunk, replies.as_py() or [], buckets))
-                    yield from Distinct(h, doc, buckets, 64).sent(key, docs=True)
+                    _, h, second, doc = chunk.candidates(*_shared(chunk, replies.as_py() or [], buckets))
+                    yield from Distinct(h, doc, buckets, second).sent(key, docs=True)
 
         yield from _sent_batches(rows())
 

@@ -16,7 +16,8 @@ import numpy as np
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_WEIGHTS = np.random.default_rng(20240607).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Byte weights of two independent hashes.
+_WEIGHTS, SECOND = (np.random.default_rng(seed).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (20240607, 20251128))
 
 
 def byte_table(separators: bytes, lower: bool) -> bytes:
@@ -94,8 +95,8 @@ class Words:
         return self.buffer[self.start[i] : self.end[i]]
 
 
-def words_of(texts: list, table: bytes, hashed: bool = True) -> Words:
-    """Words of texts (str or None); a null text has none."""
+def words_of(texts: list, table: bytes, hashed: bool = True, weights: np.ndarray = _WEIGHTS) -> Words:
+    """Words of texts (str or None); a null text has none. weights: of bytes, for another hash."""
     raw = [b"" if t is None else t.encode("utf-8", "surrogatepass").translate(table) for t in texts]
     buffer = b" ".join(raw) + b" "
     a = np.frombuffer(buffer, np.uint8)
@@ -117,7 +118,7 @@ def words_of(texts: list, table: bytes, hashed: bool = True) -> Words:
             b0, b1 = int(start[lo]), int(end[hi - 1])
             up, down = _Powers.get(b1 - b0 + 1)
             total = np.zeros(b1 - b0 + 1, np.uint64)
-            np.cumsum(_WEIGHTS[a[b0:b1]] * up[: b1 - b0], out=total[1:])
+            np.cumsum(weights[a[b0:b1]] * up[: b1 - b0], out=total[1:])
             s, e = start[lo:hi] - b0, end[lo:hi] - b0
             h[lo:hi] = (total[e] - total[s]) * down[s] + (e - s).astype(np.uint64)
             lo = hi
