@@ -28,12 +28,13 @@ def decoded(groups: Column, dot: str, dash: str) -> Column:
 
 
 def language_score(text: Column, bigrams: list[str], trigrams: list[str]) -> Column:
-    """(common bigrams + 3 common trigrams) per character, unknown characters removed; 0 under 3 characters."""
+    """(common bigrams + 3 common trigrams) / (all bigrams + 3 all trigrams), unknown characters removed; 0 under 3 characters."""
     t = F.replace(text, F.lit("?"), F.lit(""))
     chars = F.split(t, "")  # an array: places in a string are found by walking it
     grams = lambda k: F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.concat(*(F.element_at(chars, (i + j).cast("int")) for j in range(k))))
     found = lambda k, names: F.size(F.filter(grams(k), lambda g: g.isin(names)))
-    return F.when(F.length(t) < 3, 0.0).otherwise((found(2, bigrams) + 3 * found(3, trigrams)) / F.length(t))
+    n = F.length(t)
+    return F.when(n < 3, 0.0).otherwise((found(2, bigrams) + 3 * found(3, trigrams)) / ((n - 1) + 3 * (n - 2)))
 
 
 def morse_test(texts: DataFrame, key: str, text: str, pairs: list[tuple[str, str]], least: int = 50) -> DataFrame:

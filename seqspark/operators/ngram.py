@@ -45,9 +45,19 @@ def smoothed(lines: DataFrame, n: int = 2, k: float = 0.5) -> DataFrame:
 
 
 def conditional_entropy(lines: DataFrame, n: int = 2, k: float = 0.5) -> DataFrame:
-    """Per context: its count and the entropy of what follows, in bits."""
-    p = smoothed(lines, n, k)
-    return p.groupBy("ctx").agg(F.sum("n").alias("total"), (-F.sum(F.when(F.col("p") > 1e-12, F.col("p") * F.log2("p")))).alias("h"))
+    """Per context: its count and the entropy of what follows, in bits.
+
+    Symbols that never follow a context share one probability, so their part of the
+    entropy is a product and no table of contexts by symbols is made.
+    """
+    seen = F.col("n") + k
+    sums = model(lines, n).groupBy("ctx").agg(F.sum("n").alias("total"), F.count("*").alias("types"), F.sum(seen).alias("mass"), F.sum(seen * F.log2(seen)).alias("s"))
+    targets = alphabet_size(lines).select((F.col("v") + 1).alias("targets"))
+    whole = F.col("total") + k * F.col("targets")
+    rest = F.lit(k) / whole
+    unseen = F.when(rest > 1e-12, (F.col("targets") - F.col("types")) * rest * F.log2(rest)).otherwise(0.0)
+    h = (F.col("mass") * F.log2(whole) - F.col("s")) / whole - unseen
+    return sums.join(F.broadcast(targets)).select("ctx", "total", h.alias("h"))
 
 
 def weighted_entropy(lines: DataFrame, n: int = 2, k: float = 0.5) -> DataFrame:

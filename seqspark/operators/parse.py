@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -104,45 +105,63 @@ EXPANDED = T.StructType(
 )
 
 
+# Repeats, numbers and literals of the full notation, in the order in which they are tried.
+_ARROW, _REPEAT, _LITERAL = re.compile(r"\d+>"), re.compile(r"(\d+)(IMZ|MZ|[^\W\d_])"), re.compile(r"IMZ|MZ|\d+|<\d+")
+_BLOCK_END = re.compile(r"v(\d+)-", re.I)
+
+
+def _closings(text: str) -> dict[int, int]:
+    """The place of the parenthesis that closes each one opened; the text's end for those that stay open."""
+    out: dict[int, int] = {}
+    opened: list[int] = []
+    for i, c in enumerate(text):
+        if c == "(":
+            opened.append(i)
+        elif c == ")" and opened:
+            out[opened.pop()] = i
+    return out | dict.fromkeys(opened, len(text))
+
+
 def expand_text(text: str) -> tuple[list[str], list[tuple[int, str, int]]]:
-    """Full notation: nested groups, vertical blocks (seq-Nv), IMZ and MZ, repeats; case is kept."""
-    import re
+    """Full notation: nested groups, vertical blocks (seq-Nv), IMZ and MZ, repeats; case is kept.
 
-    block = re.compile(r"^(.*)-(\d+)v$", re.I | re.S)
+    Groups that are neither blocks nor digits are read in place, however deep they nest.
+    """
+    closing = _closings(text)
+    backwards = text[::-1]
     tokens: list[str] = []
     blocks: list[tuple[int, str, int]] = []
+    passed: set[int] = set()  # closing parentheses of groups that are read in place
     i, n = 0, len(text)
     while i < n:
-        rest = text[i:]
-        if rest[0].isspace():
+        c = text[i]
+        if c.isspace() or i in passed:
             i += 1
-        elif rest[0] == "(":
-            depth, j = 1, i + 1
-            while j < n and depth:
-                depth += {"(": 1, ")": -1}.get(text[j], 0)
-                j += 1
-            inner = text[i + 1 : j - 1] if depth == 0 else text[i + 1 :]
-            if m := block.match(inner):
-                blocks.append((len(tokens), m[1], int(m[2])))
-                tokens.append(f"<{m[1]}>")
-            elif inner.isdigit():
-                tokens.append(f"({inner})")
+        elif c == "(":
+            end = closing[i]
+            m = _BLOCK_END.match(backwards, n - end, n - i - 1)
+            if m:
+                sequence = text[i + 1 : end - len(m[0])]
+                blocks.append((len(tokens), sequence, int(m[1][::-1])))
+                tokens.append(f"<{sequence}>")
+                i = end + 1
+            elif text[i + 1 : i + 2].isdigit() and text[i + 1 : end].isdigit():
+                tokens.append(f"({text[i + 1 : end]})")
+                i = end + 1
             else:
-                deeper, more = expand_text(inner)
-                blocks += [(p + len(tokens), s, k) for p, s, k in more]
-                tokens += deeper
-            i = j
-        elif m := re.match(r"\d+>", rest):
+                passed.add(end)
+                i += 1
+        elif m := _ARROW.match(text, i):
             tokens.append(m[0])
-            i += m.end()
-        elif m := re.match(r"(\d+)(IMZ|MZ|[^\W\d_])", rest):
+            i = m.end()
+        elif m := _REPEAT.match(text, i):
             tokens += [m[2]] * int(m[1])
-            i += m.end()
-        elif m := re.match(r"IMZ|MZ|\d+|<\d+", rest):
+            i = m.end()
+        elif m := _LITERAL.match(text, i):
             tokens.append(m[0])
-            i += m.end()
+            i = m.end()
         else:
-            tokens.append(rest[0])
+            tokens.append(c)
             i += 1
     return tokens, blocks
 
@@ -177,10 +196,14 @@ def block_stats(expanded: DataFrame) -> DataFrame:
 
 
 def expand_row(text: Column) -> Column:
-    """The second expander, native: (N) is N times l, a single digit d is d times l, other letters stay."""
-    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\(\d+\)|\d|[lpgavxr])"), F.lit(1))
-    count = lambda p: F.regexp_extract(p, r"(\d+)", 1)
-    return F.flatten(F.transform(parts, lambda p: F.when(count(p) != "", F.array_repeat(F.lit("l"), F.coalesce(count(p).try_cast("int"), F.lit(0)))).otherwise(F.array(p))))
+    """The second expander, native: (N) is N times l, (seq-Nv) N times what seq gives, a single digit d is d times l, other letters stay."""
+    plain, group = r"(\d|[lpgavxr])", r"^\(([^()]+)-(\d+)v\)$"
+    parts = F.regexp_extract_all(F.lower(text), F.lit(r"(\(\d+\)|\([^()]+-\d+v\)|\d|[lpgavxr])"), F.lit(1))
+    times = lambda n: F.coalesce(n.try_cast("int"), F.lit(0))
+    letters = lambda p: F.when(p.rlike(r"^\d+$"), F.array_repeat(F.lit("l"), times(p))).otherwise(F.array(p))
+    inner = lambda p: F.flatten(F.transform(F.regexp_extract_all(F.regexp_extract(p, group, 1), F.lit(plain), F.lit(1)), letters))
+    block = lambda p: F.flatten(F.array_repeat(inner(p), times(F.regexp_extract(p, group, 2))))
+    return F.flatten(F.transform(parts, lambda p: F.when(p.rlike(group), block(p)).otherwise(letters(F.regexp_replace(p, r"[()]", "")))))
 
 
 def normalized_instruction(text: Column) -> Column:

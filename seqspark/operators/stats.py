@@ -25,19 +25,26 @@ def significance(lines: DataFrame, least: int = 3) -> DataFrame:
     )
 
 
-def benjamini_hochberg(tests: DataFrame, p: str = "p_value", order: list[str] | None = None, q: str = "q_value") -> DataFrame:
-    """Step-up q-values: p * m / rank, made monotone from the largest p down.
+def benjamini_hochberg(tests: DataFrame, p: str = "p_value", order: list[str] | None = None, q: str = "q_value", parts: int = 64) -> DataFrame:
+    """Step-up q-values: p * m / rank, made monotone from the largest p down; a null p has a null q.
 
-    Tests are ranked once; ranks of equal p give equal q, so ties need no order.
-    The table of tests is that of distinct pairs or segments, far smaller than the
-    corpus; its one ordering is global by nature.
+    Equal p give equal q, so distinct p are ranked, by the last of their ranks.  They
+    are dealt to ranges whose bounds are quantiles (`parts` numbers on the driver);
+    ranks and minima run within a range, and one row per range carries them on, so
+    no task sees all tests.
     """
-    w = Window.orderBy(p, *(order or []))
-    m = tests.agg(F.count(p).alias("m"))
-    ranked = tests.withColumn("rank_", F.row_number().over(w)).join(F.broadcast(m))
-    back = Window.orderBy(F.desc("rank_")).rowsBetween(Window.unboundedPreceding, 0)
-    raw = F.col(p) * F.col("m") / F.col("rank_")
-    return ranked.withColumn(q, F.least(F.lit(1.0), F.min(raw).over(back))).drop("rank_", "m")
+    some = tests.where(F.col(p).isNotNull())
+    bounds = sorted(set(some.approxQuantile(p, [i / parts for i in range(1, parts)], 0.001)))
+    cut = F.aggregate(F.array(*(F.lit(float(b)) for b in bounds)), F.lit(0), lambda n, b: n + (F.col(p) > b).cast("int")) if bounds else F.lit(0)
+    per = some.groupBy(p).agg(F.count("*").alias("n_")).withColumn("part_", cut)
+    up, down = Window.partitionBy("part_").orderBy(p), Window.partitionBy("part_").orderBy(F.desc(p))
+    sizes = per.groupBy("part_").agg(F.sum("n_").alias("size_"))  # a row per range
+    before = sizes.select("part_", (F.sum("size_").over(Window.orderBy("part_")) - F.col("size_")).alias("before_"), F.sum("size_").over(Window.partitionBy()).alias("m_"))
+    ranked = per.join(F.broadcast(before), "part_").withColumn("raw_", F.col(p) * F.col("m_") / (F.col("before_") + F.sum("n_").over(up)))
+    least = ranked.groupBy("part_").agg(F.min("raw_").alias("least_"))
+    above = least.select("part_", F.min("least_").over(Window.orderBy(F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1)).alias("above_"))
+    found = ranked.join(F.broadcast(above), "part_").select(p, F.least(F.lit(1.0), F.coalesce("above_", F.lit(1.0)), F.min("raw_").over(down)).alias(q))
+    return tests.join(found, p, "left").select(*tests.columns, q)
 
 
 def ppmi(lines: DataFrame, side: str = "succ", alpha: float = 0.75) -> DataFrame:
@@ -133,16 +140,32 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def text_metrics(docs: DataFrame, key: str, text: Column, window: int = 5) -> DataFrame:
-    """Per text: 1 / distinct chars, bigrams and trigrams; share of repeated windows; character entropy; palindromic words."""
-    t = F.regexp_replace(text, r"\s+", "")
+    """Per text: 1 / distinct chars, bigrams and trigrams; share of repeated windows; character entropy; white space does not count.
+
+    A measure of n-grams is 0 for texts that hold none.
+    """
+    t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", "")
     # from an array of characters: places in a string are found by walking it
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size("c") - (k - 1)), lambda i: F.concat(*(F.element_at("c", (i + j).cast("int")) for j in range(k))))
-    rows = docs.select(F.col(key), F.split(t, "").alias("c")).where(F.size("c") >= window)
+    grams = lambda k: F.when(
+        F.size("c") >= k, F.transform(F.sequence(F.lit(1), F.size("c") - (k - 1)), lambda i: F.concat(*(F.element_at("c", (i + j).cast("int")) for j in range(k))))
+    ).otherwise(F.array().cast("array<string>"))
+    rows = docs.select(F.col(key), F.filter(F.split(t, ""), lambda x: x != "").alias("c"))
     g = {k: grams(k) for k in (1, 2, 3, window)}
-    out = rows.select(key, *(F.size(F.array_distinct(g[k])).alias(f"d{k}") for k in g), (F.size("c") - (window - 1)).alias("w"))
+    out = rows.select(key, *(F.size(F.array_distinct(g[k])).alias(f"d{k}") for k in g), F.greatest(F.size("c") - (window - 1), F.lit(0)).alias("w"))
     chars = rows.select(key, F.explode("c").alias("c")).groupBy(key, "c").agg(F.count("*").alias("n"))
     h = chars.groupBy(key).agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("m8"))
-    return out.join(h, key).select(key, (1 / F.col("d1")).alias("m1"), (1 / F.col("d2")).alias("m2"), (1 / F.col("d3")).alias("m3"), (1 - F.col(f"d{window}") / F.col("w")).alias("m5"), "m8")
+    zero = lambda x: F.coalesce(x, F.lit(0.0))
+    return out.join(h, key, "left").select(
+        key,
+        *(zero(F.try_divide(F.lit(1.0), F.col(f"d{k}"))).alias(f"m{k}") for k in (1, 2, 3)),
+        zero(1 - F.try_divide(F.col(f"d{window}"), F.col("w"))).alias("m5"),
+        zero(F.col("m8")).alias("m8"),
+    )
+
+
+def palindromic_share(lines: DataFrame, doc: str, text: str) -> DataFrame:
+    """m6: the share of a doc's lines that read the same backwards."""
+    return lines.groupBy(doc).agg(F.count("*").alias("lines"), (F.count_if(F.col(text) == F.reverse(text)) / F.count("*")).alias("m6"))
 
 
 def compression_ratio(docs: DataFrame, key: str, text: str) -> DataFrame:

@@ -315,12 +315,12 @@ def runs_test(spark, d):
     return rounded(stats.runs_test(corpora.user_streams(spark, d), "view"), "z")
 
 
-@query("text_metrics", """WITH t AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations), k AS (SELECT * FROM t WHERE length(t) >= 5),
+@query("text_metrics", """WITH k AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations),
 g AS (SELECT doc_id, n, substr(t, i, n) AS g FROM (SELECT doc_id, t, n, unnest(range(1, length(t) - n + 2)) AS i FROM k, (VALUES (1), (2), (3), (5)) v(n))),
 a AS (SELECT doc_id, n, count(DISTINCT g) AS d, count(*) AS w FROM g GROUP BY 1, 2),
 c AS (SELECT doc_id, g, count(*) AS f FROM g WHERE n = 1 GROUP BY 1, 2), h AS (SELECT doc_id, log2(sum(f)) - sum(f * log2(f)) / sum(f) AS m8 FROM c GROUP BY 1)
-SELECT doc_id, round(max(CASE WHEN n = 1 THEN 1 / d END), 6) AS m1, round(max(CASE WHEN n = 2 THEN 1 / d END), 6) AS m2, round(max(CASE WHEN n = 3 THEN 1 / d END), 6) AS m3,
-round(max(CASE WHEN n = 5 THEN 1 - d / w END), 6) AS m5, round(any_value(m8), 6) AS m8 FROM a JOIN h USING (doc_id) GROUP BY doc_id""")
+SELECT doc_id, coalesce(round(max(CASE WHEN n = 1 THEN 1 / d END), 6), 0) AS m1, coalesce(round(max(CASE WHEN n = 2 THEN 1 / d END), 6), 0) AS m2, coalesce(round(max(CASE WHEN n = 3 THEN 1 / d END), 6), 0) AS m3,
+coalesce(round(max(CASE WHEN n = 5 THEN 1 - d / w END), 6), 0) AS m5, coalesce(round(any_value(m8), 6), 0) AS m8 FROM k LEFT JOIN a USING (doc_id) LEFT JOIN h USING (doc_id) GROUP BY doc_id""")
 def text_metrics(spark, d):
     turns = corpora.table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
     return rounded(stats.text_metrics(turns, "doc_id", F.col("text")), "m1", "m2", "m3", "m5", "m8")

@@ -92,7 +92,7 @@ def discordant_pairs(spark, d):
 
 
 @query("language_scores", """WITH t AS (SELECT conv_id, turn, lower(text) AS t FROM conversations), g AS (SELECT conv_id, turn, t, [substr(t, i, 2) FOR i IN range(1, length(t))] AS b, [substr(t, i, 3) FOR i IN range(1, length(t) - 1)] AS c FROM (SELECT conv_id, turn, replace(t, '?', '') AS t FROM t))
-SELECT conv_id, turn, round(CASE WHEN length(t) < 3 THEN 0.0 ELSE (len([x FOR x IN b IF x IN ('de', 'la', 'en', 'er')]) + 3 * len([x FOR x IN c IF x IN ('que', 'con', 'the')])) / length(t) END, 6) AS score FROM g""")
+SELECT conv_id, turn, round(CASE WHEN length(t) < 3 THEN 0.0 ELSE (len([x FOR x IN b IF x IN ('de', 'la', 'en', 'er')]) + 3 * len([x FOR x IN c IF x IN ('que', 'con', 'the')])) / ((length(t) - 1) + 3 * (length(t) - 2)) END, 6) AS score FROM g""")
 def language_scores(spark, d):
     t = corpora.table(spark, d, "conversations")
     text = F.lower("text")

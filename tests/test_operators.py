@@ -54,6 +54,8 @@ def test_expand_flat_and_rows(spark):
     assert one(spark, parse.expand_flat(F.col("t")), t="3a2l(12)4>") == list("aaall") + ["(12)", "4>"]
     assert one(spark, parse.expand_flat(F.col("t")), t="0al") == ["l"]
     assert "".join(one(spark, parse.expand_row(F.col("t")), t="(3)p12g")) == "lllplllg"
+    for text, want in {"(la-2v)": "lala", "g(2p-3v)(2)x": "gllpllpllpllx", "(a-2v-2v)": "allva" + "llv", "((3))": "lll", "(a(2g-2v)": "allgllg", "": ""}.items():
+        assert "".join(one(spark, parse.expand_row(F.col("t")), t=text)) == want, text
 
 
 def test_names_headers_rows(spark):
@@ -150,7 +152,7 @@ def test_hypotheses(spark):
     g = one(spark, hypotheses.symbol_groups(F.col("t"), "e", "t"), t="eee ttt xx eeeeee et")
     assert g == ["eee", "ttt", "et"]
     assert one(spark, hypotheses.decoded(F.array(*(F.lit(x) for x in ("eee", "ttt", "eeetet"))), "e", "t")) == "SO?"
-    assert one(spark, hypotheses.language_score(F.lit("DE?LA"), ["DE", "LA"], ["DEL"])) == pytest.approx((2 + 3) / 4)
+    assert one(spark, hypotheses.language_score(F.lit("DE?LA"), ["DE", "LA"], ["DEL"])) == pytest.approx((2 + 3) / (3 + 3 * 2))
     q = hypotheses.literal_matches(spark.createDataFrame([("abc",), ("xabcx",), ("zz",)], "text string"), spark.createDataFrame([("abc",)], "quote string"))
     assert {(r.text, r.kind) for r in q.collect()} == {("abc", "IDENTICA"), ("xabcx", "SUBCADENA")}
     groups = spark.createDataFrame([("k", ["et", "te", "eet"])], "k string, g array<string>")
@@ -228,6 +230,13 @@ def test_literal_match_takes_whole_quotations(spark, tmp_path):
     assert got == [(1, 1, 1, "IDENTICA"), (1, 2, 1, "SUBCADENA"), (1, 3, 1, "SUBCADENA"), (2, 2, 2, "IDENTICA")]
 
 
+def test_expand_text_nests_to_any_depth():
+    assert parse.expand_text("(" * 50_000 + "3a" + ")" * 50_000) == (["a"] * 3, [])
+    assert parse.expand_text("(" * 2000 + "la-2v" + ")" * 1999)[0] == ["<la>"]
+    assert parse.expand_text("(a(2b)") == (["a", "b", "b"], []) and parse.expand_text("a)b") == (["a", ")", "b"], [])
+    assert parse.expand_text("(a(b-2v)c(x-y-13V))") == (["a", "<b>", "c", "<x-y>"], [(1, "b", 2), (3, "x-y", 13)])
+
+
 def test_greedy_cover_takes_the_longest_repeats(spark):
     import random
 
