@@ -45,9 +45,12 @@ SHINGLE = 5
 #: Jaccard similarity of a link, as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 75, 100
 #: Retained pairs collide in MATCHES of COORDINATES, and in FINE_MATCHES of all FINE minima; a pair at the
-#: threshold falls short of either with probability under 1e-6.
+#: threshold falls short of either with a probability of about 1e-6.
 COORDINATES, MATCHES = 128, 72
 FINE, FINE_MATCHES = 1024, 696
+#: In blocks, sketches are cut to so many coordinates, of which a pair at the threshold collides in QUICK_MATCHES with
+#: the same certainty; what passes is retained by the whole sketch.
+QUICK, QUICK_MATCHES = 256, 157
 #: Lists are merged for the first PREFIX coordinates; a pair at the threshold meets in fewer than
 #: PREFIX_MATCHES of them with probability under 2e-7. All other lists are skipped and only probed.
 PREFIX, PREFIX_MATCHES = 14, 2
@@ -304,6 +307,7 @@ def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame) -> D
     )
     if mixed.isEmpty():
         return None
+    classes = classes.join(long_lists.select("node").distinct(), "node", "left_semi")
     members = save(_by_list(named, mixed).withColumn("out", F.col("component") != F.col("main")).select("list", "node", "component", "out", "outside", "size"), "members")
     found = _in_blocks(members.where(F.col("outside") <= WIDE), classes)
     many = members.where(F.col("outside") > WIDE)
@@ -335,37 +339,41 @@ def _in_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
 
     Members that are `out` of their list's largest component are compared with all:
     a block of the former and one of the latter are a group.  A pair is given by the
-    first list of the prefix in which it meets.
+    first list of the prefix in which it meets.  Rows carry a part of the sketch.
     """
     left = F.greatest(F.lit(1), F.ceil(F.col("outside") / BLOCK).cast("int"))
     right = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK).cast("int"))
     own = lambda blocks: F.pmod(F.xxhash64("node"), blocks).cast("int")
-    kept = ["list", "node", "component", "x", "y", "asks"]
-    asking = members.where("out").withColumn("x", own(left)).withColumn("y", F.explode(F.sequence(F.lit(0), right - 1))).withColumn("asks", F.lit(True))
-    asked = members.withColumn("y", own(right)).withColumn("x", F.explode(F.sequence(F.lit(0), left - 1))).withColumn("asks", F.lit(False))
-    dealt = asking.select(kept).unionAll(asked.select(kept)).join(classes.select("node", "n_shingles", "sketch"), "node")
+    dealt = members.withColumn("own_x", own(left)).withColumn("own_y", own(right))
+    # a member is asked in all groups of its block of members; one that asks is in all groups of its block of those, too
+    asked = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), left - 1))).select("list", "node", "component", "x", F.col("own_y").alias("y"), (F.col("out") & (F.col("x") == F.col("own_x"))).alias("asks"), F.lit(True).alias("asked"))
+    asking = dealt.where(F.col("out") & (right > 1)).withColumn("y", F.explode(F.sequence(F.lit(0), right - 1))).where("y <> own_y")
+    every = asked.unionAll(asking.select("list", "node", "component", F.col("own_x").alias("x"), "y", F.lit(True).alias("asks"), F.lit(False).alias("asked")))
+    rows = every.join(classes.select("node", "n_shingles", F.substring("sketch", 1, 4 * PREFIX + COORDINATES + QUICK).alias("sketch")), "node")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, comp, n = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
         head, middle, tail = _sketches(table.column("sketch"))
         here = int(np.flatnonzero((_lists(head) == key[0].as_py()).any(0))[0])
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        outside = np.isin(node, node[asks])  # members of this block of those that ask
-        others = np.flatnonzero(~asks)
+        asks, asked = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "asked"))
+        both = np.isin(node, node[asks])  # of two that ask in this block, the smaller one does
+        others = np.flatnonzero(asked)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for i in np.flatnonzero(asks).tolist():
-            js = others[(comp[others] != comp[i]) & (~outside[others] | (node[others] > node[i]))]
+            js = others[(comp[others] != comp[i]) & (~both[others] | (node[others] > node[i]))]
             js = js[np.minimum(n[js], n[i]) * DENOMINATOR >= np.maximum(n[js], n[i]) * NUMERATOR]
             if here:
                 js = js[~(head[js, :here] == head[i, :here]).any(1)]
             if len(js):
-                js = js[alike((None, middle[i], tail[i]), (None, middle[js], tail[js]))]
+                same = (middle[js] == middle[i]).sum(1)
+                js = js[(same >= MATCHES) & (same + (tail[js] == tail[i]).sum(1) >= QUICK_MATCHES)]
                 found.append((np.full(len(js), i), js))
         i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         a, b = node[i], node[j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    return dealt.select("list", "x", "y", "asks", "node", "component", "n_shingles", "sketch").groupBy("list", "x", "y").applyInArrow(compare, "a long, b long")
+    met = rows.select("list", "x", "y", "asks", "asked", "node", "component", "n_shingles", "sketch").groupBy("list", "x", "y").applyInArrow(compare, "a long, b long")
+    return _retained(met.distinct(), classes)
 
 
 def near_components(docs: DataFrame) -> DataFrame:
