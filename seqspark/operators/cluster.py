@@ -48,6 +48,25 @@ def reduced(df: DataFrame, k: int, column: str = "features") -> DataFrame:
     return PCA(k=k, inputCol="centred_", outputCol="pca").fit(centred).transform(centred).drop("unit_", "centred_")
 
 
+def loadings(df: DataFrame, k: int, names: list[str], column: str = "features") -> DataFrame:
+    """component, name, loading, share of variance: the principal axes of unit, centred rows; a component's largest loading is positive."""
+    unit = Normalizer(p=2.0, inputCol=column, outputCol="unit_").transform(df)
+    centred = StandardScaler(withMean=True, withStd=False, inputCol="unit_", outputCol="centred_").fit(unit).transform(unit)
+    model = PCA(k=k, inputCol="centred_", outputCol="pca").fit(centred)
+    axes, shares, rows = model.pc.toArray(), model.explainedVariance.toArray(), []  # columns by k numbers
+    for c in range(k):
+        axis = axes[:, c] if axes[abs(axes[:, c]).argmax(), c] >= 0 else -axes[:, c]
+        rows += [(c + 1, name, float(x), float(shares[c])) for name, x in zip(names, axis, strict=True)]
+    return df.sparkSession.createDataFrame(rows, "component int, name string, loading double, variance double")
+
+
+def scatter(points: DataFrame, key: str, column: str, label: str) -> DataFrame:
+    """Points (kind 'point') on their first two coordinates, and each label's centre (kind 'centre'), to which points are joined by spokes."""
+    xy = points.select(F.lit("point").alias("kind"), F.col(key).cast("string").alias("name"), F.col(label).alias("label"), vector_to_array(column)[0].alias("x"), vector_to_array(column)[1].alias("y"))
+    centres = xy.groupBy("label").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"))
+    return xy.unionByName(centres.select(F.lit("centre").alias("kind"), F.col("label").cast("string").alias("name"), "label", F.col("cx").alias("x"), F.col("cy").alias("y")))
+
+
 def best_kmeans(df: DataFrame, k: int, starts: int = 3, column: str = "pca", seed: int = 42) -> tuple[DataFrame, KMeansModel]:
     """k-means with several starts, by least cost; adds column label."""
     models = [KMeans(k=k, seed=seed + s, featuresCol=column, predictionCol="label", maxIter=30).fit(df) for s in range(starts)]

@@ -30,11 +30,11 @@ def decoded(groups: Column, dot: str, dash: str) -> Column:
 def language_score(text: Column, bigrams: list[str], trigrams: list[str]) -> Column:
     """(common bigrams + 3 common trigrams) / (all bigrams + 3 all trigrams), unknown characters removed; 0 under 3 characters."""
     t = F.replace(text, F.lit("?"), F.lit(""))
-    chars = F.split(t, "")  # an array: places in a string are found by walking it
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.length(t) - (k - 1)), lambda i: F.concat(*(F.element_at(chars, (i + j).cast("int")) for j in range(k))))
-    found = lambda k, names: F.size(F.filter(grams(k), lambda g: g.isin(names)))
-    n = F.length(t)
-    return F.when(n < 3, 0.0).otherwise((found(2, bigrams) + 3 * found(3, trigrams)) / ((n - 1) + 3 * (n - 2)))
+    n, chars = F.length(t), F.split(t, "")
+    two = F.zip_with(F.slice(chars, F.lit(1), n - 1), F.slice(chars, F.lit(2), n - 1), lambda x, y: F.concat(x, y))
+    three = F.zip_with(F.slice(two, F.lit(1), n - 2), F.slice(chars, F.lit(3), n - 2), lambda x, y: F.concat(x, y))
+    found = lambda grams, names: F.size(F.filter(grams, lambda g: g.isin(names)))
+    return F.when(n < 3, 0.0).otherwise((found(two, bigrams) + 3 * found(three, trigrams)) / ((n - 1) + 3 * (n - 2)))
 
 
 def morse_test(texts: DataFrame, key: str, text: str, pairs: list[tuple[str, str]], least: int = 50) -> DataFrame:
@@ -61,6 +61,37 @@ def shuffled_groups(groups: DataFrame, key: str, times: int, seed: int = 42) ->
     return many.select(key, "perm", F.transform(F.array_sort(keyed), lambda x: x["g"]).alias("g"))
 
 
+def morse_scores(texts: DataFrame, key: str, text: str, symbols: str, bigrams: list[str], trigrams: list[str], least: int = 50, times: int = 15, seed: int = 42) -> DataFrame:
+    """Every pair of symbols as dot and dash, per text: groups, n1, n2, ratio, the better polarity's score, and its z against shuffled groups.
+
+    A text with fewer than `least` groups of a pair is skipped for it; groups of more
+    than five symbols are not read.  The control shuffles groups and letters by hash,
+    and reads a group's first symbol in order of the alphabet as the dot.
+    """
+    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(symbols) for b in symbols[i + 1 :]))).alias("p")
+    t = F.lower(text)
+    rows = texts.select(F.col(key), t.alias("t"), pairs).select(key, "p.a", "p.b", F.filter(F.split(F.regexp_replace("t", F.concat(F.lit("[^"), F.col("p.a"), F.col("p.b"), F.lit("]+")), F.lit(" ")), " "), lambda x: x != "").alias("every"), "t")
+    count = lambda c: F.length("t") - F.length(F.replace(F.col("t"), c, F.lit("")))
+    kept = rows.where(F.size("every") >= least).select(key, "a", "b", F.filter("every", lambda x: F.length(x) <= 5).alias("g"), count(F.col("a")).alias("n1"), count(F.col("b")).alias("n2"))
+    table = F.create_map(*(F.lit(x) for k, v in MORSE.items() for x in (v, k)))
+    read = lambda g, dot, dash: F.array_join(F.transform(g, lambda x: F.coalesce(table[F.translate(F.replace(F.replace(x, dot, F.lit("\u0001")), dash, F.lit("\u0002")), "\u0001\u0002", ".-")], F.lit("?"))), "")
+    score = lambda x: language_score(x, bigrams, trigrams)
+    both = kept.select("*", read(F.col("g"), F.col("a"), F.col("b")).alias("ra"), read(F.col("g"), F.col("b"), F.col("a")).alias("rb"))
+    scored = both.select(key, "a", "b", "g", "n1", "n2", "ra", "rb", score(F.col("ra")).alias("sa"), score(F.col("rb")).alias("sb"))
+    best = scored.select(
+        key, "a", "b", F.size("g").alias("groups"), "n1", "n2", F.try_divide("n1", "n2").alias("ratio"), F.when(F.col("sa") >= F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("dot"),
+        F.substring(F.when(F.col("sa") >= F.col("sb"), F.col("ra")).otherwise(F.col("rb")), 1, 50).alias("reading"), F.greatest("sa", "sb").alias("score"),
+    )
+    shuffled = shuffled_groups(kept.select(F.concat_ws("|", key, "a", "b").alias("group_"), "g"), "group_", times, seed)
+    symbol = lambda x: F.array_min(F.filter(F.split(x, ""), lambda c: c != ""))
+    other = lambda x: F.array_max(F.filter(F.split(x, ""), lambda c: c != ""))
+    dotted = F.transform("g", lambda x: F.when(symbol(x) == other(x), F.repeat(F.lit("."), F.length(x))).otherwise(F.replace(F.replace(x, symbol(x), F.lit(".")), other(x), F.lit("-"))))
+    letters = F.array_join(F.transform(dotted, lambda x: F.coalesce(table[x], F.lit("?"))), "")
+    control = shuffled.select("group_", letters.alias("r")).select("group_", score(F.col("r")).alias("s")).groupBy("group_").agg(F.avg("s").alias("control"), F.coalesce(F.stddev_samp("s"), F.lit(0.0)).alias("control_sd"))
+    z = F.when(F.col("control_sd") > 0, (F.col("score") - F.col("control")) / F.col("control_sd")).otherwise(0.0)
+    return best.withColumn("group_", F.concat_ws("|", key, "a", "b")).join(control, "group_").drop("group_").withColumn("z", z)
+
+
 def local_discordance(lines: DataFrame, window: int = 8, low: float = 0.85) -> DataFrame:
     """Positions that differ from the symbol which rules a full window around them, once each, by the first window.
 

@@ -44,25 +44,39 @@ def reduced(edges: DataFrame) -> DataFrame:
     return edges.join(via.select("parent", "child").distinct(), ["parent", "child"], "left_anti")
 
 
-def depths(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Longest path from a root to every node of an acyclic graph: layers, deepened until nothing changes."""
+def depths(edges: DataFrame, nodes: DataFrame, layers: int | None = None) -> DataFrame:
+    """Longest path from a root to every node of an acyclic graph.
+
+    layers: a bound on the longest path, where one is known (a part is shorter than
+    its whole, so patterns of lengths low to high have high - low at most): that many
+    joins, nothing is run.  Without it, layers are deepened and written to the
+    checkpoint folder until nothing changes.
+    """
     layer = nodes.select(F.col("pattern").alias("node"), F.lit(0).alias("depth"))
-    for _ in range(1 << 16):
+
+    def deeper(layer: DataFrame) -> DataFrame:
         pushed = edges.join(layer, F.col("parent") == F.col("node")).groupBy("child").agg((F.max("depth") + 1).alias("d"))
-        nxt = layer.join(pushed, F.col("node") == F.col("child"), "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth")).checkpoint()
+        return layer.join(pushed, F.col("node") == F.col("child"), "left").select("node", F.greatest("depth", F.coalesce("d", F.lit(0))).alias("depth"))
+
+    if layers is not None:
+        for _ in range(layers):
+            layer = deeper(layer)
+        return layer
+    for _ in range(1 << 16):
+        nxt = deeper(layer).checkpoint()
         if nxt.join(layer, ["node", "depth"], "left_anti").isEmpty():
             return nxt
         layer = nxt
     raise ValueError("the graph has a cycle")
 
 
-def _gram_ids(tokens: list[str], longest: int | None) -> Iterator[tuple[int, np.ndarray]]:
+def _gram_ids(base: np.ndarray, longest: int | None) -> Iterator[tuple[int, np.ndarray]]:
     """(size, id of the n-gram at each place), from the longest repeat down to pairs.
 
     Ids of sizes that are powers of two come by doubling until nothing repeats; the
     n-gram of any size in between is two of those, overlapping.
     """
-    _, base = np.unique(np.asarray(tokens, object), return_inverse=True)
+    tokens = base
     powers = [base]  # of sizes 1, 2, 4 ...
 
     def ids(size: int) -> np.ndarray:
@@ -72,7 +86,7 @@ def _gram_ids(tokens: list[str], longest: int | None) -> Iterator[tuple[int, np.
         return np.unique(first * (len(tokens) + 1) + second, return_inverse=True)[1]
 
     def repeats(x: np.ndarray) -> bool:
-        return len(x) > 0 and int(x.max()) + 1 < len(x)
+        return len(x) > 0 and len(np.unique(x)) < len(x)
 
     while repeats(powers[-1]) and 2 << (len(powers) - 1) <= len(tokens):
         size = 1 << len(powers)
@@ -87,43 +101,71 @@ def _gram_ids(tokens: list[str], longest: int | None) -> Iterator[tuple[int, np.
         yield size, ids(size)
 
 
-def greedy_cover(tokens: list[str], longest: int | None = None) -> list[tuple[str, int, int]]:
-    """(pattern, occurrences, tokens it covers first), by decreasing length and first place.
+def cover_of_lines(lines: list[list[str]], longest: int | None = None) -> list[tuple[str, int, int, int]]:
+    """(pattern, occurrences, independent ones, tokens it covers first), by decreasing length and first place.
 
-    A repeated pattern is kept if an occurrence of it has a token that no kept longer
-    one covers; kept patterns cover all their occurrences.  Occurrences may overlap.
-    Lengths start at the longest repeat there is, or at `longest` if that is given.
+    A pattern is a sequence of two tokens or more that stands twice or more in the
+    lines, never across them.  It is kept if an occurrence of it, an independent one, has
+    a token that no kept longer one covers; kept patterns cover all their occurrences.
+    Occurrences may overlap.  Lengths start at the longest repeat there is, or at
+    `longest` if that is given.
     """
+    tokens: list = []
+    for line in lines:
+        tokens += [*line, object()]  # an end that equals nothing
+    ends = [i for i, t in enumerate(tokens) if not isinstance(t, str)]
+    names = {t: i for i, t in enumerate(dict.fromkeys(tokens))}
+    base = np.fromiter((names[t] for t in tokens), np.int64, len(tokens))
     covered = np.zeros(len(tokens), bool)
+    covered[ends] = True
     out = []
-    for size, grams in _gram_ids(tokens, longest) if len(tokens) > 1 else ():
+    for size, grams in _gram_ids(base, longest) if len(tokens) > 1 else ():
         if covered.all():
             break
         order = np.argsort(grams, kind="stable")
         groups = np.split(order, np.flatnonzero(np.diff(grams[order])) + 1)
         for at in sorted((g for g in groups if len(g) >= 2), key=lambda g: g[0]):
-            places = np.unique((at[:, None] + np.arange(size)).ravel())
-            fresh = places[~covered[places]]
-            if len(fresh):
-                out.append((" ".join(tokens[at[0] : at[0] + size]), len(at), len(fresh)))
-                covered[fresh] = True
+            spots = at[:, None] + np.arange(size)
+            independent = int((~covered[spots]).any(1).sum())
+            if independent:
+                places = np.unique(spots)
+                out.append((" ".join(tokens[at[0] : at[0] + size]), len(at), independent, int((~covered[places]).sum())))
+                covered[places] = True
     return out
 
 
-def repeated_patterns(lines: DataFrame, longest: int | None = None) -> DataFrame:
-    """Greedy longest-first cover of each line's token stream by repeated patterns: order matters, so lines go through Arrow."""
+def greedy_cover(tokens: list[str], longest: int | None = None) -> list[tuple[str, int, int]]:
+    """cover_of_lines() of one line, without the independent occurrences."""
+    return [(p, n, c) for p, n, _, c in cover_of_lines([tokens], longest)]
+
+
+def _covered(rows: DataFrame, column: str, longest: int | None) -> DataFrame:
     import pyarrow as pa
 
-    doc = lines.schema["doc"].dataType.simpleString()
+    doc, nested = rows.schema["doc"].dataType.simpleString(), column == "lines"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
         for b in batches:
-            schema = pa.schema([("doc", b.schema.field("doc").type), ("pattern", pa.string()), ("n", pa.int64()), ("covers", pa.int64())])
-            rows = [{"doc": d, "pattern": p, "n": n, "covers": c} for d, t in zip(b.column("doc").to_pylist(), b.column("tokens").to_pylist(), strict=True) for p, n, c in greedy_cover(t, longest)]
-            yield pa.RecordBatch.from_pylist(rows, schema)
+            schema = pa.schema([("doc", b.schema.field("doc").type), ("pattern", pa.string()), *((c, pa.int64()) for c in ("n", "independent", "covers"))])
+            for d, t in zip(b.column("doc"), b.column(column), strict=True):
+                found = cover_of_lines(t.as_py() if nested else [t.as_py()], longest)
+                yield pa.RecordBatch.from_pylist([{"doc": d.as_py(), "pattern": p, "n": n, "independent": i, "covers": c} for p, n, i, c in found], schema)
+
+    return rows.select("doc", column).mapInArrow(run, f"doc {doc}, pattern string, n long, independent long, covers long")
 
-    return lines.select("doc", "tokens").mapInArrow(run, f"doc {doc}, pattern string, n long, covers long")
+
+def repeated_patterns(lines: DataFrame, longest: int | None = None) -> DataFrame:
+    """Greedy longest-first cover of each line's token stream by its repeated patterns: order matters, so lines go through Arrow."""
+    return _covered(lines, "tokens", longest).drop("independent")
+
+
+def doc_patterns(lines: DataFrame, longest: int | None = 1000) -> DataFrame:
+    """Greedy longest-first cover of each doc's lines by patterns repeated in it: doc, pattern, n, independent, covers.
+
+    Each step depends on those before it, so a doc is one row of its lines in order.
+    """
+    whole = lines.groupBy("doc").agg(F.transform(F.array_sort(F.collect_list(F.struct("line", "tokens"))), lambda x: x["tokens"]).alias("lines"))
+    return _covered(whole, "lines", longest)
 
 
 def ranked_patterns(patterns: DataFrame, k: int) -> DataFrame:

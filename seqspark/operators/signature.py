@@ -44,9 +44,18 @@ def centre_distance(vectors: DataFrame, by: str, column: str, metric: str = "cos
 
 
 def cluster_profile(signatures: DataFrame, label: str, classes: list[str], top: int = 3) -> DataFrame:
-    """Per cluster: lines, mean length, mean composition made to sum to 1, and its top classes."""
+    """Per cluster: mean composition made to sum to 1, and its top classes; cluster_summary() has the lines."""
     long = signatures.select(label, F.posexplode("vector").alias("i", "x")).groupBy(label, "i").agg(F.avg("x").alias("x"))
     total = F.sum("x").over(Window.partitionBy(label))
     ranked = long.withColumn("share", F.try_divide("x", total)).withColumn("r", F.row_number().over(Window.partitionBy(label).orderBy(F.desc("share"), "i")))
     names = F.array(*(F.lit(c) for c in classes))
     return ranked.where(F.col("r") <= top).select(label, F.col("r").alias("rank"), names[F.col("i")].alias("class"), "share")
+
+
+def cluster_summary(signatures: DataFrame, label: str) -> DataFrame:
+    """Per cluster of lines (doc, n, unknown): lines, mean and largest length, share of unknown tokens, docs, and the most lines in one doc."""
+    per = signatures.groupBy(label, "doc").agg(F.count("*").alias("lines"), F.sum("n").alias("n"), F.max("n").alias("longest"), F.sum("unknown").alias("unknown"))
+    return per.groupBy(label).agg(
+        F.sum("lines").alias("lines"), (F.sum("n") / F.sum("lines")).alias("mean_length"), F.max("longest").alias("max_length"),
+        (F.sum("unknown") / F.sum("n")).alias("unknown_share"), F.count("*").alias("docs"), F.max("lines").alias("most_in_a_doc"),
+    )

@@ -1,6 +1,6 @@
 """All registered queries of the engine's own operators."""
 
-from . import lines, models, more
+from . import composed, lines, models, more
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "lines", "models", "more"]
+__all__ = ["QUERIES", "SQL", "composed", "lines", "models", "more"]
