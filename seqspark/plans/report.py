@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import anomaly, segments
+from ..functions.scalars import z_score, z_within
+from ..operators import anomaly, ngram, segments, signature
+from ..sources.corpora import bigrams_of
 
 
 def anomaly_report(rows: DataFrame, doc: str, order: list[str], grammar: str, lexical: str, times: int = 100) -> dict[str, DataFrame]:
@@ -36,6 +38,60 @@ def fused(rows: DataFrame, doc: str, flags: dict[str, Column], channels: dict[st
     return scored, anomaly.doc_totals(scored, doc, "score")
 
 
+#: The eight flags of a line, and those of the two grammars, which make it a cross-channel one.
+FLAGS = ["intra", "jump", "macro_bits", "macro_zero", "micro_mean", "micro_max", "micro_zero", "invalid"]
+GRAMMARS = {"macro": ["macro_bits", "macro_zero"], "micro": ["micro_mean", "micro_max", "micro_zero"]}
+
+
+def line_signals(lines: DataFrame, classes: DataFrame, names: list[str], significance: DataFrame, training: DataFrame) -> DataFrame:
+    """Per line (doc, line): the signals of four channels.
+
+    distance (to the doc's mean composition) and its z within the doc, jump (from the
+    line before), macro_bits and macro_zero (of the line's type after that before, by
+    a grammar of the training lines), micro_mean, micro_max, micro_zero (of the line's
+    classes), frac_not_valid (share of its tested bigrams that are not significant).
+    """
+    typed = lambda s: F.when(F.array_max(s) == 0, "VOID").otherwise(F.element_at(F.array(*map(F.lit, names)), F.array_position(s, F.array_max(s)).cast("int")))
+
+    def signatures(of: DataFrame) -> DataFrame:
+        return signature.composition(signature.classified(of, classes), names)
+
+    def sequences(of: DataFrame) -> DataFrame:
+        """One line per doc: the types of its lines in order."""
+        x = F.array_sort(F.collect_list(F.struct("line", typed(F.col("vector")).alias("type"))))
+        return signatures(of).groupBy("doc").agg(x.alias("x")).select("doc", F.col("doc").alias("line"), F.transform("x", lambda t: t["type"]).alias("tokens"))
+
+    def classed(of: DataFrame) -> DataFrame:
+        token = of.select("doc", "line", F.posexplode("tokens").alias("pos", "token")).join(classes, "token", "left")
+        x = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("class", F.lit("C_RARE")).alias("c"))))
+        return token.groupBy("doc", "line").agg(x.alias("x")).select("doc", "line", F.transform("x", lambda t: t["c"]).alias("tokens"))
+
+    own = signatures(lines)
+    distance = signature.centre_distance(own, "doc", "vector").withColumn("distance", F.round("distance", 9)).withColumn("z_intra", z_within(F.col("distance"), "doc"))
+    jump = signature.jumps(own).select("doc", "line", F.round("jump", 9).alias("jump"))
+    macro = ngram.surprisal(sequences(lines), training=sequences(training)).select("doc", F.col("pos").alias("at"), F.col("bits").alias("macro_bits"), F.col("zero_prob").alias("macro_zero"))
+    numbered = own.select("doc", "line", (F.row_number().over(Window.partitionBy("doc").orderBy("line")) - 1).alias("at"))
+    micro = ngram.surprisal(classed(lines), training=classed(training)).groupBy("doc", "line").agg(F.avg("bits").alias("micro_mean"), F.max("bits").alias("micro_max"), F.max("zero_prob").alias("micro_zero"))
+    invalid = anomaly.untested_share(bigrams_of(lines), significance).select("doc", "line", "frac_not_valid")
+    keys = ["doc", "line"]
+    out = distance.select("doc", "line", "z_intra").join(jump, keys).join(numbered.join(macro, ["doc", "at"]).drop("at"), keys, "left")
+    return out.join(micro, keys, "left").join(invalid, keys, "left")
+
+
+def line_flags(signals: DataFrame, threshold: float = 2.0) -> DataFrame:
+    """Adds the eight flags, their number, the category and cross: signals against the corpus, from one row of means and spreads."""
+    columns = ["jump", "macro_bits", "micro_mean", "micro_max", "frac_not_valid"]
+    s = signals.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    high = lambda c: F.round(z_score(F.col(c), F.col(f"m_{c}"), F.col(f"s_{c}")), 9) >= threshold
+    flags = {
+        "intra": F.round("z_intra", 9) >= threshold, "jump": high("jump"), "macro_bits": high("macro_bits"), "macro_zero": F.col("macro_zero"),
+        "micro_mean": high("micro_mean"), "micro_max": high("micro_max"), "micro_zero": F.col("micro_zero"), "invalid": high("frac_not_valid"),
+    }
+    named = {f"flag_{k}": c for k, c in flags.items()}
+    joined = signals.join(F.broadcast(s))
+    return anomaly.flagged(joined, named, {k: [f"flag_{f}" for f in fs] for k, fs in GRAMMARS.items()}).select("doc", "line", *named, "n_flags", "category", "cross")
+
+
 def summary(parts: dict[str, DataFrame]) -> DataFrame:
     """One row per table: its name and number of rows, from single-row aggregates."""
     out = None

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import cluster, counts, crypto, hypotheses, ngram, ordinals, parse, patterns, segments, signature, stability, stats, views
 from ..sources import corpora
-from .lines import _EDGE, _PAT, SIGN, _patterns, notation, signatures
+from .lines import _COS, _EDGE, _PAT, SIGN, _patterns, classes_of, notation, signatures
 from .models import rounded
 from .registry import BI, CNT, EVENTS, MARG, STREAMS, TOK, TURNS, query
 
@@ -249,3 +249,39 @@ def class_stability(spark, d):
 def token_scatter(spark, d):
     points = cluster.reduced(cluster.token_features(corpora.order_lines(spark, d), 50), 2)
     return cluster.scatter(points.withColumn("label", F.substring("token", 1, 1)), "token", "pca", "label")
+
+
+# Eight flags of a user's days; the grammars are those of the users with even ids
+def _bits(steps: str, of: str) -> str:
+    """Bits of transitions (ctx, sym) in table `steps` of symbols in table `of`, by a model of even docs."""
+    return f"""{steps}c AS (SELECT ctx, sym, count(*) AS n FROM {steps} WHERE doc % 2 = 0 GROUP BY 1, 2), {steps}t AS (SELECT ctx, sum(n) AS total FROM {steps}c GROUP BY ctx), {steps}v AS (SELECT count(DISTINCT sym) + 1 AS t FROM {of} WHERE doc % 2 = 0),
+{steps}b AS (SELECT s.*, -log2(CASE WHEN total IS NULL THEN 1 / t ELSE (coalesce(n, 0) + 0.5) / (total + 0.5 * t) END) AS bits, n IS NULL AS zero FROM {steps} s LEFT JOIN {steps}c USING (ctx, sym) LEFT JOIN {steps}t USING (ctx), {steps}v)"""
+
+
+_EIGHT = f"""{EVENTS}, {TOK}, {BI}, {SIGN}, ctr AS (SELECT doc, [avg(v[1]), avg(v[2]), avg(v[3])] AS p FROM sg GROUP BY doc),
+di AS (SELECT doc, line, round({_COS}, 9) AS distance FROM sg JOIN ctr USING (doc)), zi AS (SELECT doc, line, coalesce((distance - avg(distance) OVER w) / nullif(stddev_pop(distance) OVER w, 0), 0) AS z_intra FROM di WINDOW w AS (PARTITION BY doc)),
+ju AS (SELECT doc, line, round({_COS}, 9) AS jump FROM (SELECT *, lag(v) OVER (PARTITION BY doc ORDER BY line) AS p FROM sg)),
+ty AS (SELECT doc, line, CASE WHEN list_max(v) = 0 THEN 'VOID' WHEN v[1] >= v[2] AND v[1] >= v[3] THEN 'C0' WHEN v[2] >= v[3] THEN 'C1' ELSE 'C2' END AS sym FROM sg),
+ma AS (SELECT doc, line, coalesce(lag(sym) OVER (PARTITION BY doc ORDER BY line), '<BOS>') AS ctx, sym FROM ty UNION ALL SELECT doc, NULL, arg_max(sym, line), '<EOS>' FROM ty GROUP BY doc), {_bits("ma", "ty")},
+cs AS (SELECT doc, line, pos, coalesce(class, 'C_RARE') AS sym FROM tok LEFT JOIN cls USING (token)),
+mi AS (SELECT doc, line, coalesce(lag(sym) OVER (PARTITION BY doc, line ORDER BY pos), '<BOS>') AS ctx, sym FROM cs UNION ALL SELECT doc, line, arg_max(sym, pos), '<EOS>' FROM cs GROUP BY doc, line), {_bits("mi", "cs")},
+mg AS (SELECT doc, line, avg(bits) AS micro_mean, max(bits) AS micro_max, bool_or(zero) AS micro_zero FROM mib GROUP BY 1, 2),
+cnt AS (SELECT a, b, count(*) AS n FROM bi GROUP BY 1, 2), m AS (SELECT *, sum(n) OVER (PARTITION BY a) AS n_a, sum(n) OVER (PARTITION BY b) AS n_b, sum(n) OVER () AS total FROM cnt), si AS (SELECT a, b, (n / n_a) / (n_b / total) > 1 AS significant FROM m WHERE n >= 3),
+iv AS (SELECT doc, line, count(*) FILTER (NOT significant) / nullif(count(significant), 0) AS frac FROM bi LEFT JOIN si USING (a, b) GROUP BY 1, 2),
+al AS (SELECT zi.*, jump, mab.bits AS macro_bits, mab.zero AS macro_zero, micro_mean, micro_max, micro_zero, frac FROM zi JOIN ju USING (doc, line) LEFT JOIN mab USING (doc, line) LEFT JOIN mg USING (doc, line) LEFT JOIN iv USING (doc, line)),
+st AS (SELECT avg(jump) AS m1, stddev_pop(jump) AS s1, avg(macro_bits) AS m2, stddev_pop(macro_bits) AS s2, avg(micro_mean) AS m3, stddev_pop(micro_mean) AS s3, avg(micro_max) AS m4, stddev_pop(micro_max) AS s4, avg(frac) AS m5, stddev_pop(frac) AS s5 FROM al),
+fl AS (SELECT doc, line, round(z_intra, 9) >= 2 AS flag_intra, coalesce(round((jump - m1) / s1, 9) >= 2, false) AS flag_jump, coalesce(round((macro_bits - m2) / s2, 9) >= 2, false) AS flag_macro_bits, coalesce(macro_zero, false) AS flag_macro_zero,
+coalesce(round((micro_mean - m3) / s3, 9) >= 2, false) AS flag_micro_mean, coalesce(round((micro_max - m4) / s4, 9) >= 2, false) AS flag_micro_max, coalesce(micro_zero, false) AS flag_micro_zero, coalesce(round((frac - m5) / s5, 9) >= 2, false) AS flag_invalid FROM al, st),
+nf AS (SELECT *, flag_intra::INT + flag_jump::INT + flag_macro_bits::INT + flag_macro_zero::INT + flag_micro_mean::INT + flag_micro_max::INT + flag_micro_zero::INT + flag_invalid::INT AS n_flags FROM fl)"""
+
+
+@query("eight_flags", f"""WITH {_EIGHT} SELECT doc, CAST(line AS VARCHAR) AS line, {', '.join(f'flag_{f}' for f in ('intra', 'jump', 'macro_bits', 'macro_zero', 'micro_mean', 'micro_max', 'micro_zero', 'invalid'))}, n_flags,
+CASE WHEN n_flags >= 3 THEN 'CRITICA' WHEN n_flags = 2 THEN 'ALTA' WHEN n_flags = 1 THEN 'MODERADA' ELSE 'NORMAL' END AS category, (flag_macro_bits OR flag_macro_zero) AND (flag_micro_mean OR flag_micro_max OR flag_micro_zero) AS "cross" FROM nf""")
+def eight_flags(spark, d):
+    from ..plans.report import line_flags, line_signals
+
+    lines = corpora.event_lines(spark, d)
+    margins = counts.with_margins(counts.bigram_counts(lines)).where("n >= 3")
+    tested = margins.select("a", "b", ((F.col("n") / F.col("n_a")) / (F.col("n_b") / F.col("total")) > 1).alias("significant"))
+    signals = line_signals(lines, classes_of(spark), ["C0", "C1", "C2"], tested, lines.where("doc % 2 = 0"))
+    return line_flags(signals).withColumn("line", F.col("line").cast("string"))
