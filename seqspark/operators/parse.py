@@ -70,19 +70,31 @@ def tokenize(text: Column) -> Column:
     return F.flatten(F.transform(parts, lambda p: F.when(p.startswith("("), F.array(p)).otherwise(F.regexp_extract_all(p, plain, F.lit(1)))))
 
 
+def token_properties(df: DataFrame) -> DataFrame:
+    """Adds what a token itself tells: length, macro flag and group depth."""
+    return df.withColumns({"length": F.length("token"), "is_macro": is_macro(F.col("token")), "depth": paren_depth(F.col("token"))})
+
+
+def relative_position(index: Column, n: Column) -> Column:
+    """A place in [0, 1] of a line of n tokens."""
+    return F.round(F.when(n > 1, index / (n - 1)).otherwise(0.0), 4)
+
+
 def enrich(lines: DataFrame) -> DataFrame:
     """One row per token: index, position in [0, 1], length, macro flag and group depth."""
-    n = F.size("tokens")
-    return lines.select("doc", "line", n.alias("n"), F.posexplode("tokens").alias("index", "token")).select(
-        "doc",
-        "line",
-        "index",
-        "token",
-        F.round(F.when(F.col("n") > 1, F.col("index") / (F.col("n") - 1)).otherwise(0.0), 4).alias("pos_norm"),
-        F.length("token").alias("length"),
-        is_macro(F.col("token")).alias("is_macro"),
-        paren_depth(F.col("token")).alias("depth"),
-    )
+    rows = lines.select("doc", "line", F.size("tokens").alias("n"), F.posexplode("tokens").alias("index", "token"))
+    return token_properties(rows.withColumn("pos_norm", relative_position(F.col("index"), F.col("n"))).drop("n"))
+
+
+def enriched_counts(lines: DataFrame) -> DataFrame:
+    """Rows of enrich() without doc and line, and how many there are of each.
+
+    Occurrences are counted first, so properties are read off once for each distinct
+    token and place.
+    """
+    places = lines.select(F.size("tokens").alias("n"), F.posexplode("tokens").alias("index", "token")).groupBy("n", "index", "token").agg(F.count("*").alias("rows"))
+    placed = places.groupBy("index", "token", relative_position(F.col("index"), F.col("n")).alias("pos_norm")).agg(F.sum("rows").alias("rows"))
+    return token_properties(placed)
 
 
 def expand_flat(text: Column) -> Column:

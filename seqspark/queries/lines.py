@@ -36,7 +36,7 @@ u AS (SELECT len(ts) AS n, unnest(ts) AS token, unnest(range(0, len(ts))) AS ind
 SELECT index, token, round(CASE WHEN n > 1 THEN index / (n - 1) ELSE 0.0 END, 4) AS pos_norm, length(token) AS length, token LIKE '(%)' AS is_macro, CASE WHEN token LIKE '(%' THEN 1 ELSE 0 END AS depth, count(*) AS rows FROM u GROUP BY 1, 2, 3, 4, 5, 6""")
 def enrich_tokens(spark, d):
     lines = notation(spark, d).select("doc", "line", parse.tokenize_flat(F.col("text")).alias("tokens"))
-    return parse.enrich(lines).groupBy("index", "token", "pos_norm", "length", "is_macro", "depth").agg(F.count("*").alias("rows"))
+    return parse.enriched_counts(lines)
 
 
 @query("expand_flat", f"""WITH {NOTE}, t AS (SELECT doc, line, regexp_extract_all(text, '\\(\\d+\\)|\\d+>|<\\d+|\\d*[A-Za-z]|\\d+') AS ps FROM note),

@@ -201,7 +201,7 @@ def held_out_surprisal(spark, d):
     return rounded(ngram.surprisal_summary(at, "doc").select("doc", "positions", "mean_bits", "zero_prob", "unseen_contexts"), "mean_bits")
 
 
-@query("loo_surprisal", f"""WITH {STREAMS}, {TOK}, {BI},
+LOO_SQL = f"""WITH {STREAMS}, {TOK}, {BI},
 u AS (SELECT token, count(*) AS n, count(DISTINCT doc) AS docs FROM tok GROUP BY token), ud AS (SELECT doc, token, count(*) AS own FROM tok GROUP BY 1, 2),
 g AS (SELECT a, b, count(*) AS n FROM bi GROUP BY 1, 2), ga AS (SELECT a, sum(n) AS n FROM g GROUP BY a), gd AS (SELECT doc, a, b, count(*) AS own FROM bi GROUP BY 1, 2, 3),
 gda AS (SELECT doc, a, sum(own) AS own FROM gd GROUP BY 1, 2),
@@ -212,7 +212,10 @@ x AS (SELECT gd.doc, gd.own AS t, -log2((g.n - gd.own + 0.01) / (ga.n - gda.own
  UNION ALL SELECT l.doc, 1, -log2((u.n - ud.own + 0.01) / (n_fold + 0.01 * v_fold)), -log2((u.n + 0.01) / (n_all + 0.01 * v_all)), 0
  FROM lines l JOIN u ON u.token = l.tokens[1] JOIN ud ON ud.doc = l.doc AND ud.token = l.tokens[1] JOIN f ON f.doc = l.doc, c)
 SELECT doc, CAST(sum(t) AS BIGINT) AS n_tokens, round(sum(t * loo) / sum(t), 6) AS loo_bits, round(sum(t * ins) / sum(t), 6) AS in_sample_bits, CAST(sum(t * oov) AS BIGINT) AS n_oov,
-round(sum(t * loo) / sum(t) - sum(t * ins) / sum(t), 6) AS delta_bits, round(sum(t * oov) / sum(t), 6) AS frac_oov FROM x GROUP BY doc""")
+round(sum(t * loo) / sum(t) - sum(t * ins) / sum(t), 6) AS delta_bits, round(sum(t * oov) / sum(t), 6) AS frac_oov FROM x GROUP BY doc"""
+
+
+@query("loo_surprisal", LOO_SQL)
 def loo_surprisal(spark, d):
     return rounded(ngram.leave_one_doc_out(corpora.user_streams(spark, d)), "loo_bits", "in_sample_bits", "delta_bits", "frac_oov")
 

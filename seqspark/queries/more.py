@@ -8,7 +8,7 @@ from ..functions import scalars
 from ..operators import cluster, crypto, hypotheses, ngram, signature, stats, views
 from ..sources import corpora
 from .lines import RUNS, placed, user_runs
-from .models import rounded
+from .models import LOO_SQL, rounded
 from .registry import EVENTS, STREAMS, TEXTS, TOK, TURNS, query
 
 
@@ -99,16 +99,25 @@ def language_scores(spark, d):
     return t.select("conv_id", "turn", F.round(hypotheses.language_score(text, ["de", "la", "en", "er"], ["que", "con", "the"]), 6).alias("score"))
 
 
-@query("loo_overall")
+_LOO = LOO_SQL[: LOO_SQL.rindex("SELECT doc, CAST(sum(t)")]
+
+
+@query("loo_overall", f"""{_LOO}, p AS (SELECT doc, sum(t) AS n, sum(t * loo) / sum(t) AS loo, sum(t * ins) / sum(t) AS ins FROM x GROUP BY doc)
+SELECT round(sum(ins * n) / sum(n), 6) AS in_sample, round(avg(loo), 6) AS mean_loo, round(stddev_samp(loo), 6) AS sd_loo, count(*) AS docs FROM p""")
 def loo_overall(spark, d):
     loo = ngram.leave_one_doc_out(corpora.user_streams(spark, d))
-    return loo.agg((F.sum(F.col("in_sample_bits") * F.col("n_tokens")) / F.sum("n_tokens")).alias("in_sample"), F.avg("loo_bits").alias("mean_loo"), F.stddev_samp("loo_bits").alias("sd_loo"), F.count("*").alias("docs"))
+    return rounded(
+        loo.agg((F.sum(F.col("in_sample_bits") * F.col("n_tokens")) / F.sum("n_tokens")).alias("in_sample"), F.avg("loo_bits").alias("mean_loo"), F.stddev_samp("loo_bits").alias("sd_loo"), F.count("*").alias("docs")),
+        "in_sample", "mean_loo", "sd_loo",
+    )
 
 
-@query("cluster_profile")
+@query("cluster_profile", """WITH m AS (SELECT label, i, avg(abs(x)) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2),
+s AS (SELECT label, i, x / sum(x) OVER (PARTITION BY label) AS share FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY share DESC, i) AS rank FROM s)
+SELECT label, rank, 'd' || i AS class, round(share, 6) AS share FROM r WHERE rank <= 3""")
 def cluster_profile(spark, d):
     e = corpora.table(spark, d, "embeddings").select("label", F.transform("embedding", lambda x: F.abs(x)).alias("vector"))
-    return signature.cluster_profile(e, "label", [f"d{i}" for i in range(64)])
+    return rounded(signature.cluster_profile(e, "label", [f"d{i}" for i in range(64)]), "share")
 
 
 @query("centroid_distance_euclidean", """WITH ctr AS (SELECT label, list(x ORDER BY i) AS p FROM (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(embedding)::DOUBLE AS x, unnest(range(0, len(embedding))) AS i FROM embeddings) GROUP BY 1, 2) GROUP BY label)
