@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import runs_z
 
 
 def markers(lines: DataFrame, structural: list[str]) -> DataFrame:
@@ -17,9 +16,9 @@ def binary(tokens: Column, zero: str) -> Column:
     return F.transform(tokens, lambda t: F.when(t == zero, 0).otherwise(1))
 
 
-def rare_tokens(lines: DataFrame, most: int = 2) -> DataFrame:
-    """Per line: tokens that are rare in their doc, as a count and a list."""
-    tokens = lines.select("doc", "line", F.explode("tokens").alias("token"))
+def rare_tokens(lines: DataFrame, most: int = 2, whole: bool = False) -> DataFrame:
+    """Per line (whole: per doc, whose stream the lines are): tokens that are rare in their doc, as a count and a list."""
+    tokens = lines.select("doc", F.col("doc" if whole else "line").alias("line"), F.explode("tokens").alias("token"))
     rare = tokens.groupBy("doc", "token").agg(F.count("*").alias("n")).where(F.col("n") <= most)
     return tokens.join(rare, ["doc", "token"]).groupBy("doc", "line").agg(F.count("*").alias("n_rare"), F.array_join(F.array_sort(F.collect_set("token")), " | ").alias("rare"))
 
@@ -41,4 +40,4 @@ def indicators(tests: dict[str, Column]) -> Column:
     return F.array_join(F.array_compact(F.array(*(F.when(c, F.lit(k)) for k, c in tests.items()))), ",")
 
 
-__all__ = ["binary", "candidates", "indicators", "markers", "rare_tokens", "runs_z", "verdict_by_ratio"]
+__all__ = ["binary", "candidates", "indicators", "markers", "rare_tokens", "verdict_by_ratio"]

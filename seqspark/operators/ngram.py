@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.corpora import bigrams_of, tokens_of
+from ..sources.corpora import bigrams_of, stream_bigrams, stream_starts, tokens_of
 
 BOS, EOS = "<BOS>", "<EOS>"
 
@@ -105,16 +105,19 @@ def zero_transitions(lines: DataFrame, n: int = 2) -> DataFrame:
     return smoothed(lines, n, 1.0).where((F.col("n") == 0) & (F.col("sym") != EOS)).select("ctx", "sym")
 
 
-def leave_one_doc_out(lines: DataFrame, alpha: float = 0.01) -> DataFrame:
+def leave_one_doc_out(lines: DataFrame, alpha: float = 0.01, pieces: bool = False) -> DataFrame:
     """Per doc: surprisal under the model of all other docs and of all docs.
 
+    pieces: the lines of a doc are pieces of one stream, in order, so that pairs run across them.
+
     The first token of a line is scored by its frequency, the others by their
     bigram.  The model of a fold is the whole count less the doc's own, so nothing
     is trained again: one grouping by doc and a join serve all folds.
     """
-    pairs = bigrams_of(lines).groupBy("doc", "a", "b").agg(F.count("*").alias("own"))
+    pairs = (stream_bigrams(lines) if pieces else bigrams_of(lines)).groupBy("doc", "a", "b").agg(F.count("*").alias("own"))
     tokens = tokens_of(lines).groupBy("doc", "token").agg(F.count("*").alias("own"))
-    firsts = lines.where(F.size("tokens") > 0).groupBy("doc", F.element_at("tokens", 1).alias("token")).agg(F.count("*").alias("times"))
+    starts = stream_starts(lines) if pieces else lines.where(F.size("tokens") > 0).select("doc", F.element_at("tokens", 1).alias("token"))
+    firsts = starts.groupBy("doc", "token").agg(F.count("*").alias("times"))
     whole_b = pairs.groupBy("a", "b").agg(F.sum("own").alias("n"))
     whole_a = pairs.groupBy("a").agg(F.sum("own").alias("n_a"))
     own_a = pairs.groupBy("doc", "a").agg(F.sum("own").alias("own_a"))

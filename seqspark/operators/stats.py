@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fisher_greater, runs_z, z_score
-
+from ..sources.corpora import stream_bigrams, tokens_of
 from .counts import bigram_counts, with_margins
 
 
@@ -29,21 +29,27 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", order: list[str] |
     """Step-up q-values: p * m / rank, made monotone from the largest p down; a null p has a null q.
 
     Equal p give equal q, so distinct p are ranked, by the last of their ranks.  They
-    are dealt to ranges whose bounds are quantiles (`parts` numbers on the driver);
-    ranks and minima run within a range, and one row per range carries them on, so
-    no task sees all tests.
+    are counted once, held by Spark's cache (which is made again where executors are
+    lost), and dealt to ranges whose bounds are quantiles; ranks and minima run within
+    a range, and two numbers per range, which pass the driver, carry them on.
     """
-    some = tests.where(F.col(p).isNotNull())
-    bounds = sorted(set(some.approxQuantile(p, [i / parts for i in range(1, parts)], 0.001)))
+    per = tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("n_")).persist()
+    bounds = sorted(set(per.approxQuantile(p, [i / parts for i in range(1, parts)], 0.001)))
     cut = F.aggregate(F.array(*(F.lit(float(b)) for b in bounds)), F.lit(0), lambda n, b: n + (F.col(p) > b).cast("int")) if bounds else F.lit(0)
-    per = some.groupBy(p).agg(F.count("*").alias("n_")).withColumn("part_", cut)
-    up, down = Window.partitionBy("part_").orderBy(p), Window.partitionBy("part_").orderBy(F.desc(p))
-    sizes = per.groupBy("part_").agg(F.sum("n_").alias("size_"))  # a row per range
-    before = sizes.select("part_", (F.sum("size_").over(Window.orderBy("part_")) - F.col("size_")).alias("before_"), F.sum("size_").over(Window.partitionBy()).alias("m_"))
-    ranked = per.join(F.broadcast(before), "part_").withColumn("raw_", F.col(p) * F.col("m_") / (F.col("before_") + F.sum("n_").over(up)))
-    least = ranked.groupBy("part_").agg(F.min("raw_").alias("least_"))
-    above = least.select("part_", F.min("least_").over(Window.orderBy(F.desc("part_")).rowsBetween(Window.unboundedPreceding, -1)).alias("above_"))
-    found = ranked.join(F.broadcast(above), "part_").select(p, F.least(F.lit(1.0), F.coalesce("above_", F.lit(1.0)), F.min("raw_").over(down)).alias(q))
+    ranged = per.withColumn("part_", cut)
+    at = lambda values: F.array(*(F.lit(float(v)) for v in values))[F.col("part_")]
+    sizes = {r.part_: r.n for r in ranged.groupBy("part_").agg(F.sum("n_").alias("n")).collect()}
+    before, m = [0], sum(sizes.values())
+    for k in range(len(bounds)):
+        before.append(before[-1] + sizes.get(k, 0))
+    rank = at(before) + F.sum("n_").over(Window.partitionBy("part_").orderBy(p))
+    ranked = ranged.withColumn("raw_", F.col(p) * m / rank)
+    least = {r.part_: r.least for r in ranked.groupBy("part_").agg(F.min("raw_").alias("least")).collect()}
+    above = [1.0]
+    for k in range(len(bounds), 0, -1):
+        above.insert(0, min(above[0], least.get(k, 1.0)))
+    down = F.min("raw_").over(Window.partitionBy("part_").orderBy(F.desc(p)))
+    found = ranked.select(p, F.least(F.lit(1.0), at(above), down).alias(q))
     return tests.join(found, p, "left").select(*tests.columns, q)
 
 
@@ -109,13 +115,16 @@ def common_divisor(distances: DataFrame, *by: str) -> DataFrame:
     return sets.select(*by, "repeats", F.aggregate("ds", F.lit(0).cast("long"), step).alias("gcd"))
 
 
+def _runs_label(z: Column) -> Column:
+    return F.when(z.isNull(), "untestable").when(z < -3, "clustered").when(z > 3, "alternating").otherwise("random")
+
+
 def runs_test(lines: DataFrame, zero_token: str, least: int = 20) -> DataFrame:
     """Wald-Wolfowitz test per line: is zero_token against all others dealt at random?"""
     t = F.transform("tokens", lambda x: F.when(x == zero_token, 0).otherwise(1))
     n1 = F.aggregate("t", F.lit(0), lambda acc, x: acc + x)
     change = F.aggregate(F.zip_with(F.slice("t", F.lit(1), F.col("n") - 1), F.slice("t", F.lit(2), F.col("n") - 1), lambda x, y: (x != y).cast("int")), F.lit(0), lambda acc, x: acc + x)
     z = runs_z(F.col("n0").cast("double"), F.col("n1").cast("double"), F.col("runs"))
-    label = F.when(F.col("z").isNull(), "untestable").when(F.col("z") < -3, "clustered").when(F.col("z") > 3, "alternating").otherwise("random")
     return (
         lines.select("doc", "line", t.alias("t"), F.size("tokens").alias("n"))
         .where(F.col("n") >= least)
@@ -123,10 +132,19 @@ def runs_test(lines: DataFrame, zero_token: str, least: int = 20) -> DataFrame:
         .withColumn("n0", F.col("n") - F.col("n1"))
         .withColumn("runs", change + 1)
         .withColumn("z", z)
-        .select("doc", "line", "n", "n0", "n1", "runs", "z", label.alias("label"))
+        .select("doc", "line", "n", "n0", "n1", "runs", "z", _runs_label(F.col("z")).alias("label"))
     )
 
 
+def stream_runs_test(pieces: DataFrame, zero_token: str, least: int = 20) -> DataFrame:
+    """runs_test() of each doc's stream given in ordered pieces (doc, line, tokens): counts of tokens and of adjacent pairs that differ."""
+    is_zero = lambda c: F.col(c) == zero_token
+    sizes = tokens_of(pieces).groupBy("doc").agg(F.count("*").alias("n"), F.count_if(is_zero("token")).alias("n0")).where(F.col("n") >= least)
+    changes = stream_bigrams(pieces).groupBy("doc").agg(F.count_if(is_zero("a") != is_zero("b")).alias("changes"))
+    t = sizes.join(changes, "doc", "left").select("doc", F.col("doc").alias("line"), "n", "n0", (F.col("n") - F.col("n0")).alias("n1"), (F.coalesce("changes", F.lit(0)) + 1).alias("runs"))
+    return t.withColumn("z", runs_z(F.col("n0").cast("double"), F.col("n1").cast("double"), F.col("runs"))).withColumn("label", _runs_label(F.col("z")))
+
+
 def percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
     """Exact percentiles with linear interpolation."""
     return df.agg(*(F.percentile(column, s).alias(name) for name, s in shares.items()))

@@ -200,7 +200,7 @@ def accentless_words(spark, d):
 @query("indicator_verdict", f"""WITH {STREAMS}, {TOK}, f AS (SELECT doc, token, count(*) AS f FROM tok GROUP BY 1, 2), s AS (SELECT doc, sum(f) AS n, sum(f * (f - 1)) / (sum(f) * (sum(f) - 1)) AS ic, count(*) AS types, max(f) AS top FROM f GROUP BY doc)
 SELECT doc, array_to_string(list_filter([CASE WHEN ic * types > 1.15 THEN 'IC_ALT' END, CASE WHEN ic * types < 0.85 THEN 'IC_BAIX' END, CASE WHEN top / n > 0.4 THEN 'DOMINANT' END, CASE WHEN n < 10 THEN 'CURT' END], lambda x: x IS NOT NULL), ',') AS indicators FROM s WHERE n > 1""")
 def indicator_verdict(spark, d):
-    f = corpora.tokens_of(corpora.user_streams(spark, d)).groupBy("doc", "token").agg(F.count("*").alias("f"))
+    f = corpora.tokens_of(corpora.user_pieces(spark, d)).groupBy("doc", "token").agg(F.count("*").alias("f"))
     s = f.groupBy("doc").agg(F.sum("f").alias("n"), F.sum(F.col("f") * (F.col("f") - 1)).alias("s"), F.count("*").alias("types"), F.max("f").alias("top")).where("n > 1")
     norm = F.col("s") / (F.col("n") * (F.col("n") - 1)) * F.col("types")
     tests = {"IC_ALT": norm > 1.15, "IC_BAIX": norm < 0.85, "DOMINANT": F.col("top") / F.col("n") > 0.4, "CURT": F.col("n") < 10}

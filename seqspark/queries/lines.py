@@ -330,10 +330,10 @@ ra AS (SELECT doc, line, count(*) AS n_rare, array_to_string(list_sort(list(DIST
 od AS (SELECT doc, line, z FROM rz WHERE abs(z) > 1), mk AS (SELECT user_id AS doc, user_id AS line, count(*) AS errors FROM events WHERE event_type = 'error' GROUP BY 1)
 SELECT coalesce(ra.doc, od.doc) AS doc, n_rare, rare, round(z, 6) AS z, errors, round(10 * coalesce(n_rare, 0) + abs(coalesce(z, 0)), 6) AS priority FROM ra FULL JOIN od ON ra.doc = od.doc AND ra.line = od.line LEFT JOIN mk ON mk.doc = coalesce(ra.doc, od.doc)""")
 def candidate_priority(spark, d):
-    lines = corpora.user_streams(spark, d)
-    odd = stats.runs_test(lines, "view").where("abs(z) > 1")
+    pieces = corpora.user_pieces(spark, d)
+    odd = stats.stream_runs_test(pieces, "view").where("abs(z) > 1")
     marked = corpora.table(spark, d, "events").where("event_type = 'error'").groupBy(F.col("user_id").alias("doc")).agg(F.count("*").alias("errors")).withColumn("line", F.col("doc"))
-    out = crypto.candidates(crypto.rare_tokens(lines, 5), odd, marked)
+    out = crypto.candidates(crypto.rare_tokens(pieces, 5, whole=True), odd, marked)
     return rounded(out.select("doc", "n_rare", "rare", "z", "errors", "priority"), "z", "priority")
 
 

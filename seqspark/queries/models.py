@@ -217,7 +217,7 @@ round(sum(t * loo) / sum(t) - sum(t * ins) / sum(t), 6) AS delta_bits, round(sum
 
 @query("loo_surprisal", LOO_SQL)
 def loo_surprisal(spark, d):
-    return rounded(ngram.leave_one_doc_out(corpora.user_streams(spark, d)), "loo_bits", "in_sample_bits", "delta_bits", "frac_oov")
+    return rounded(ngram.leave_one_doc_out(corpora.user_pieces(spark, d), pieces=True), "loo_bits", "in_sample_bits", "delta_bits", "frac_oov")
 
 
 _FISHER = """list_sum([exp(lgamma(n_a + 1) - lgamma(k + 1) - lgamma(n_a - k + 1) + lgamma(total - n_a + 1) - lgamma(n_b - k + 1) - lgamma(total - n_a - n_b + k + 1)
@@ -315,7 +315,7 @@ rz AS (SELECT *, CASE WHEN n0 > 0 AND n1 > 0 AND va > 0 THEN (runs - mu) / sqrt(
 @query("runs_test", f"""WITH {STREAMS}, {RUNS} SELECT doc, line, n, CAST(n0 AS BIGINT) AS n0, CAST(n1 AS BIGINT) AS n1, runs, round(z, 6) AS z,
 CASE WHEN z IS NULL THEN 'untestable' WHEN z < -3 THEN 'clustered' WHEN z > 3 THEN 'alternating' ELSE 'random' END AS label FROM rz""")
 def runs_test(spark, d):
-    return rounded(stats.runs_test(corpora.user_streams(spark, d), "view"), "z")
+    return rounded(stats.stream_runs_test(corpora.user_pieces(spark, d), "view"), "z")
 
 
 @query("text_metrics", """WITH k AS (SELECT conv_id * 1000 + turn AS doc_id, regexp_replace(text, '\\s+', '', 'g') AS t FROM conversations),

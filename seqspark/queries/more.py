@@ -74,7 +74,7 @@ def series_with_bands(spark, d):
 w AS (SELECT sum(f * (f - 1)) / (sum(f) * (sum(f) - 1)) AS ic FROM (SELECT token, sum(f) AS f FROM f GROUP BY token)), r AS (SELECT doc, CASE WHEN n >= 10 THEN s.ic END / w.ic AS ratio FROM s, w)
 SELECT CASE WHEN ratio IS NULL THEN 'NO_AVALUABLE' WHEN ratio < 0.85 THEN 'MES_PLA' WHEN ratio > 1.15 THEN 'MES_CONCENTRAT' ELSE 'COMPATIBLE' END AS verdict, count(*) AS docs FROM r GROUP BY 1""")
 def coincidence_verdict(spark, d):
-    t = corpora.tokens_of(corpora.user_streams(spark, d))
+    t = corpora.tokens_of(corpora.user_pieces(spark, d))
     whole = stats.index_of_coincidence(t).select(F.col("ic").alias("whole"))
     ratio = F.try_divide("ic", "whole")
     return stats.index_of_coincidence(t, "doc").join(F.broadcast(whole)).groupBy(crypto.verdict_by_ratio(ratio).alias("verdict")).agg(F.count("*").alias("docs"))
@@ -105,7 +105,7 @@ _LOO = LOO_SQL[: LOO_SQL.rindex("SELECT doc, CAST(sum(t)")]
 @query("loo_overall", f"""{_LOO}, p AS (SELECT doc, sum(t) AS n, sum(t * loo) / sum(t) AS loo, sum(t * ins) / sum(t) AS ins FROM x GROUP BY doc)
 SELECT round(sum(ins * n) / sum(n), 6) AS in_sample, round(avg(loo), 6) AS mean_loo, round(stddev_samp(loo), 6) AS sd_loo, count(*) AS docs FROM p""")
 def loo_overall(spark, d):
-    loo = ngram.leave_one_doc_out(corpora.user_streams(spark, d))
+    loo = ngram.leave_one_doc_out(corpora.user_pieces(spark, d), pieces=True)
     return rounded(
         loo.agg((F.sum(F.col("in_sample_bits") * F.col("n_tokens")) / F.sum("n_tokens")).alias("in_sample"), F.avg("loo_bits").alias("mean_loo"), F.stddev_samp("loo_bits").alias("sd_loo"), F.count("*").alias("docs")),
         "in_sample", "mean_loo", "sd_loo",

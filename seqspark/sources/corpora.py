@@ -7,7 +7,7 @@ expressions and need no shuffle; `tokens_of` and `bigrams_of` make the long form
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Letters of a lower-cased word.
@@ -30,6 +30,27 @@ def event_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordered_lines(table(spark, sf_dir, "events"), c("user_id"), c("ts").cast("date"), c("event_type"), c("ts"), c("event_id"))
 
 
+def user_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc: user, line: day, in order; together a user's days are its stream, without one array for all of it."""
+    return event_lines(spark, sf_dir)
+
+
+def stream_bigrams(pieces: DataFrame) -> DataFrame:
+    """doc, a, b for adjacent tokens of each doc's stream, which is given in ordered pieces (doc, line, tokens).
+
+    Pairs inside a piece are row-local; those across pieces come from the pieces' ends,
+    so that a window runs over pieces, not over tokens.
+    """
+    ends = pieces.where(F.size("tokens") > 0).select("doc", "line", F.element_at("tokens", 1).alias("b"), F.element_at("tokens", -1).alias("last"))
+    across = ends.select("doc", F.lag("last").over(Window.partitionBy("doc").orderBy("line")).alias("a"), "b").where("a IS NOT NULL")
+    return bigrams_of(pieces).select("doc", "a", "b").unionByName(across)
+
+
+def stream_starts(pieces: DataFrame) -> DataFrame:
+    """doc, token: the first token of each doc's stream."""
+    return pieces.where(F.size("tokens") > 0).groupBy("doc").agg(F.min_by(F.element_at("tokens", 1), "line").alias("token"))
+
+
 def user_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc and line: user, tokens: all its event types by time."""
     c = F.col
