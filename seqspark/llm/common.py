@@ -91,8 +91,3 @@ def text_pieces(text: str, most: int) -> Iterator[str]:
         hi = m.start() if m else len(text)
         yield text[lo:hi]
         lo = hi
-
-
-def total_bytes(spark: SparkSession, df: DataFrame) -> int:
-    """Catalyst's estimate of a frame's size in bytes, from file sizes where it is a scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
