@@ -41,16 +41,6 @@ def fisher_greater(n_ab: Column, n_a: Column, n_b: Column, n: Column) -> Column:
     return F.when(n_ab <= low, 1.0).when(n_ab > high, 0.0).when(over, F.least(F.lit(1.0), upper)).otherwise(F.greatest(F.lit(0.0), 1 - lower))
 
 
-def log2(x: Column) -> Column:
-    return F.log2(x)
-
-
-def entropy_of_counts(n: Column, by: list[str]) -> Column:
-    """Shannon entropy in bits as an aggregate over counts n whose group total is column `total`."""
-    p = n / F.col("total")
-    return -F.sum(p * F.log2(p))
-
-
 def z_score(x: Column, mean: Column, sd: Column, flat: Column | float = 0.0) -> Column:
     """(x - mean) / sd; `flat` where there is no spread."""
     return F.when(sd > 0, (x - mean) / sd).otherwise(flat if isinstance(flat, Column) else F.lit(flat))

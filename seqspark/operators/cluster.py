@@ -6,20 +6,24 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Normalizer, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import is_macro, paren_depth
 from ..sources.corpora import tokens_of
-from .counts import position_stats
+from .counts import markov_profile, position_stats
 from .stats import ppmi
 
 
 def token_features(lines: DataFrame, vocabulary: int = 500, hapax: int = 1) -> DataFrame:
-    """token, features: successor and predecessor PPMI against the most frequent tokens, position, length.
+    """token, features: successor and predecessor PPMI against the most frequent tokens, position, form.
+
+    Position: shares of lines begun and ended, entropy of successors and predecessors,
+    mean and spread of the relative place; form: group, depth of groups, length / 10.
 
     Every token that stands more than `hapax` times has a row; only the columns are
-    the `vocabulary` most frequent ones.  Long (token, index, value) rows are gathered into sparse vectors; the width is a
+    the `vocabulary` most frequent ones.  Long (token, index, value) rows are gathered into vectors; the width is a
     parameter, so the model's size does not grow with the corpus.
     """
     often = tokens_of(lines).groupBy("token").agg(F.count("*").alias("n"))
@@ -28,13 +32,16 @@ def token_features(lines: DataFrame, vocabulary: int = 500, hapax: int = 1) -> D
     if not ids:
         return lines.sparkSession.createDataFrame([], "token string").withColumn("features", F.lit(None).cast(VectorUDT()))
     index = F.create_map(*(F.lit(x) for kv in ids.items() for x in kv))
-    v, width = len(ids), 2 * len(ids) + 3
+    v, width = len(ids), 2 * len(ids) + 9
     succ = ppmi(lines).select(F.col("a").alias("token"), index[F.col("b")].alias("i"), F.col("ppmi").alias("x"))
     pred = ppmi(lines, "pred").select(F.col("b").alias("token"), (index[F.col("a")] + v).alias("i"), F.col("ppmi").alias("x"))
-    place = position_stats(lines).select("token", F.posexplode(F.array("mean_pos", "sd_pos", F.length("token") / 10.0)).alias("k", "x")).select("token", (F.col("k") + 2 * v).alias("i"), "x")
+    own = markov_profile(lines).join(position_stats(lines).drop("n"), "token")
+    nine = F.array(*(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in ("p_first", "p_last", "h_succ", "h_pred", "mean_pos", "sd_pos")), is_macro(F.col("token")).cast("double"), paren_depth(F.col("token")).cast("double"), F.length("token") / 10.0)
+    place = own.select("token", F.posexplode(nine).alias("k", "x")).select("token", (F.col("k") + 2 * v).alias("i"), "x")
     long = succ.unionByName(pred).unionByName(place).where(F.col("i").isNotNull() & (F.col("x") != 0)).join(often.where(F.col("n") > hapax).select("token"), "token", "left_semi")
-    made = F.udf(lambda xs: Vectors.sparse(width, [(x["i"], x["x"]) for x in xs]), VectorUDT())  # one row per token
-    return long.groupBy("token").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("xs")).select("token", made("xs").alias("features"))
+    held = long.groupBy("token").agg(F.map_from_entries(F.collect_list(F.struct(F.col("i").cast("int"), "x"))).alias("xs"))  # at most `width` of a token
+    row = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("xs")[i], F.lit(0.0)))
+    return held.select("token", array_to_vector(row).alias("features"))
 
 
 def vectors(df: DataFrame, key: str, column: str) -> DataFrame:
