@@ -270,6 +270,20 @@ def test_near_duplicates_that_share_boilerplate(spark, monkeypatch, wide):
     assert 20 < sum(not r[3] for r in want) < 60
 
 
+def test_very_long_texts(spark):
+    from seqspark.llm import tokencounts
+
+    long = "la " * 700_000 + "cc by " + "x " * 5
+    df = frame(spark, [(1, long), (2, long + "y"), (3, "short text here"), (4, None)])
+    items = spark.createDataFrame([(1, "la " * 12)], "item_id long, text string")
+    assert sorted((r.doc_id, r.n_words, r.n_hit) for r in decontaminate.overlap(df, items).collect()) == [(1, 700_007, 700_000), (2, 700_008, 700_000), (3, 3, 0), (4, 0, 0)]
+    scanned = {r.doc_id: r for r in licenses.scan_licenses(df).collect()}
+    assert (scanned[1].n_words, scanned[1].n_base, scanned[1].first_word, scanned[1].labels) == (700_007, 1, 700_000, "cc-by")
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardups.near_components(df).collect()) == [(1, 8, 1), (2, 9, 1), (3, 1, 3), (4, 0, 4)]
+    assert sorted((r.doc_id, r.n_words) for r in tokencounts.token_counts(df, q.vocabulary_path()).collect()) == [(1, 700_007), (2, 700_008), (3, 3), (4, 0)]
+    assert sorted((r.doc_id, r.n_removed) for r in substrings.repeated_words(df).collect()) == [(1, 0), (2, 700_007), (3, 0), (4, 0)]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(i, i + 1) for i in range(1000, 1040)]
