@@ -48,9 +48,6 @@ NUMERATOR, DENOMINATOR = 75, 100
 #: threshold falls short of either with a probability of about 1e-6.
 COORDINATES, MATCHES = 128, 72
 FINE, FINE_MATCHES = 1024, 696
-#: In blocks, sketches are cut to so many coordinates, of which a pair at the threshold collides in QUICK_MATCHES with
-#: the same certainty; what passes is retained by the whole sketch.
-QUICK, QUICK_MATCHES = 256, 157
 #: Lists are merged for the first PREFIX coordinates; a pair at the threshold meets in fewer than
 #: PREFIX_MATCHES of them with probability under 2e-7. All other lists are skipped and only probed.
 PREFIX, PREFIX_MATCHES = 14, 2
@@ -100,15 +97,14 @@ _SIGNED = T.StructType(
 
 
 def _sketch(sig: np.ndarray) -> bytes:
-    """The PREFIX whole values, then two bytes of the COORDINATES, then the low byte of the others."""
-    return sig[:PREFIX].astype("<u4").tobytes() + sig[:COORDINATES].astype("<u2").tobytes() + sig[COORDINATES:].astype(np.uint8).tobytes()
+    """The PREFIX whole values, then the low byte of all."""
+    return sig[:PREFIX].astype("<u4").tobytes() + sig.astype(np.uint8).tobytes()
 
 
-def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The three parts of sketches, by rows."""
+def _sketches(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The two parts of sketches, by rows."""
     raw = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
-    a, b = 4 * PREFIX, 4 * PREFIX + 2 * COORDINATES
-    return np.ascontiguousarray(raw[:, :a]).view("<u4"), np.ascontiguousarray(raw[:, a:b]).view("<u2"), raw[:, b:]
+    return np.ascontiguousarray(raw[:, : 4 * PREFIX]).view("<u4"), raw[:, 4 * PREFIX :]
 
 
 def _lists(values: np.ndarray) -> np.ndarray:
@@ -145,20 +141,35 @@ def signed(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, _SIGNED)
 
 
-def _postings(classes: DataFrame, part: int = 0) -> DataFrame:
-    """(list, node) of every class: for the prefix coordinates, or (part 1) for all COORDINATES."""
+def _batch_of_postings(values: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    lists = _lists(values)
+    return pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(np.repeat(nodes, lists.shape[1]))], names=["list", "node"])
+
+
+def _postings(classes: DataFrame) -> DataFrame:
+    """(list, node) for the prefix coordinates of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 4096):
-                some = batch.slice(lo, 4096)
-                lists = _lists(_sketches(some.column("sketch"))[part])
-                node = np.repeat(some.column("node").to_numpy(), lists.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(lists.ravel()), pa.array(node)], names=["list", "node"])
+            if batch.num_rows:
+                yield _batch_of_postings(_sketches(batch.column("sketch"))[0], batch.column("node").to_numpy())
 
     return classes.select("node", "sketch").mapInArrow(run, "list long, node long")
 
 
+def _wide_postings(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(list, node) for all COORDINATES of the documents whose ids are nodes; their texts are signed again."""
+    texts = _maybe_in(docs, nodes.select(F.col("node").alias("doc_id"))).join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in text_blocks(batches, 1_500_000):
+            own = [(i, s) for i, s in zip(block.column("doc_id").to_pylist(), shingle_sets(rows), strict=True) if len(s)]
+            if own:
+                yield _batch_of_postings(np.stack([signature(s)[:COORDINATES] for _, s in own]), np.array([i for i, _ in own]))
+
+    return texts.mapInArrow(run, "list long, node long").distinct()
+
+
 def _pairs_of_lists(lists: DataFrame) -> DataFrame:
     """(a, b, met): all pairs of members of short lists (list, node), and in how many of them they meet."""
     members = lists.groupBy("list").agg(F.array_sort(F.collect_set("node")).alias("m"))
@@ -193,15 +204,15 @@ def _retained(pairs: DataFrame, classes: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 4096):
                 part = batch.slice(lo, 4096)
                 if part.num_rows:
-                    yield part.select(["a", "b"]).filter(pa.array(alike(_sketches(part.column("sa")), _sketches(part.column("sb")))))
+                    yield part.select(["a", "b"]).filter(pa.array(alike(_sketches(part.column("sa"))[1], _sketches(part.column("sb"))[1])))
 
     return both.where(sizes).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def alike(sa: tuple, sb: tuple) -> np.ndarray:
-    """Rows of sketches that collide in MATCHES coordinates and FINE_MATCHES of all minima."""
-    same = (sa[1] == sb[1]).sum(1)
-    return (same >= MATCHES) & (same + (sa[2] == sb[2]).sum(1) >= FINE_MATCHES)
+def alike(sa: np.ndarray, sb: np.ndarray) -> np.ndarray:
+    """Rows of minima that collide in MATCHES coordinates and FINE_MATCHES of all."""
+    same = sa == sb
+    return (same[:, :COORDINATES].sum(1) >= MATCHES) & (same.sum(1) >= FINE_MATCHES)
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> bool:
@@ -295,7 +306,7 @@ def components(links: DataFrame) -> DataFrame:
         before = now
 
 
-def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame) -> DataFrame | None:
+def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Retained pairs (a, b) of members of one long list that are in different components; None if there is no such list."""
     named = long_lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     parts = named.groupBy("list", "component").agg(F.count("*").alias("n"))
@@ -312,16 +323,16 @@ def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame) -> D
     found = _in_blocks(members.where(F.col("outside") <= WIDE), classes)
     many = members.where(F.col("outside") > WIDE)
     if not many.isEmpty():
-        wide, full = _under_all_coordinates(many.select("node", "component").distinct(), classes)
+        wide, full = _under_all_coordinates(many.select("node", "component").distinct(), classes, docs)
         some = many.join(full, "node")
         again = _by_list(some, some.groupBy("list").agg(F.sum(F.col("out").cast("int")).alias("left_out"), F.first("size").alias("size"), F.count("*").alias("left")))
         found = found.unionAll(wide).unionAll(_in_blocks(again.select("list", "node", "component", "out", F.col("left_out").alias("outside"), F.col("left").alias("size")), classes))
     return found.distinct()
 
 
-def _under_all_coordinates(nodes: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _under_all_coordinates(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Retained pairs of nodes (node, component) that meet in a short list of any coordinate, and the nodes that skip MATCHES lists or more."""
-    postings = save(_postings(classes.join(nodes, "node", "left_semi"), 1), "wide")
+    postings = save(_wide_postings(docs, nodes), "wide")
     lists = save(postings.join(postings.groupBy("list").agg(F.count("*").alias("size")).where("size > 1"), "list"), "wide_lists")
     skipped = save(lists.where(F.col("size") > SHORT).groupBy("node").agg(F.count("*").alias("lists")), "skipped")
     met = _pairs_of_lists(lists.where(F.col("size") <= SHORT))
@@ -339,7 +350,7 @@ def _in_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
 
     Members that are `out` of their list's largest component are compared with all:
     a block of the former and one of the latter are a group.  A pair is given by the
-    first list of the prefix in which it meets.  Rows carry a part of the sketch.
+    first list of the prefix in which it meets.
     """
     left = F.greatest(F.lit(1), F.ceil(F.col("outside") / BLOCK).cast("int"))
     right = F.greatest(F.lit(1), F.ceil(F.col("size") / BLOCK).cast("int"))
@@ -349,11 +360,11 @@ def _in_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
     asked = dealt.withColumn("x", F.explode(F.sequence(F.lit(0), left - 1))).select("list", "node", "component", "x", F.col("own_y").alias("y"), (F.col("out") & (F.col("x") == F.col("own_x"))).alias("asks"), F.lit(True).alias("asked"))
     asking = dealt.where(F.col("out") & (right > 1)).withColumn("y", F.explode(F.sequence(F.lit(0), right - 1))).where("y <> own_y")
     every = asked.unionAll(asking.select("list", "node", "component", F.col("own_x").alias("x"), "y", F.lit(True).alias("asks"), F.lit(False).alias("asked")))
-    rows = every.join(classes.select("node", "n_shingles", F.substring("sketch", 1, 4 * PREFIX + COORDINATES + QUICK).alias("sketch")), "node")
+    rows = every.join(classes.select("node", "n_shingles", "sketch"), "node")
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         node, comp, n = (table.column(c).to_numpy() for c in ("node", "component", "n_shingles"))
-        head, middle, tail = _sketches(table.column("sketch"))
+        head, minima = _sketches(table.column("sketch"))
         here = int(np.flatnonzero((_lists(head) == key[0].as_py()).any(0))[0])
         asks, asked = (table.column(c).to_numpy(zero_copy_only=False) for c in ("asks", "asked"))
         both = np.isin(node, node[asks])  # of two that ask in this block, the smaller one does
@@ -365,15 +376,13 @@ def _in_blocks(members: DataFrame, classes: DataFrame) -> DataFrame:
             if here:
                 js = js[~(head[js, :here] == head[i, :here]).any(1)]
             if len(js):
-                same = (middle[js] == middle[i]).sum(1)
-                js = js[(same >= MATCHES) & (same + (tail[js] == tail[i]).sum(1) >= QUICK_MATCHES)]
+                js = js[alike(minima[i][None], minima[js])]
                 found.append((np.full(len(js), i), js))
         i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
         a, b = node[i], node[j]
         return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    met = rows.select("list", "x", "y", "asks", "asked", "node", "component", "n_shingles", "sketch").groupBy("list", "x", "y").applyInArrow(compare, "a long, b long")
-    return _retained(met.distinct(), classes)
+    return rows.select("list", "x", "y", "asks", "asked", "node", "component", "n_shingles", "sketch").groupBy("list", "x", "y").applyInArrow(compare, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -411,7 +420,7 @@ def class_components(classes: DataFrame, docs: DataFrame, same: DataFrame | None
     lists = save(postings.join(sizes, "list"), "lists")
     discard(postings)
     short_pairs = _pairs_of_lists(lists.where(F.col("size") <= SHORT))
-    long_lists = save(lists.where(F.col("size") > SHORT).groupBy("list", "node").agg(F.max("size").alias("size")), "long")
+    long_lists = save(lists.where(F.col("size") > SHORT), "long")
     # the most central member: that with most company over all its long lists
     company = long_lists.groupBy("node").agg(F.sum("size").alias("company"))
     ranked = long_lists.join(company, "node")
@@ -435,7 +444,7 @@ def class_components(classes: DataFrame, docs: DataFrame, same: DataFrame | None
     labels = save(components(links), "labels")
     if long_lists.isEmpty():
         return labels
-    found = _crossing(long_lists, classes, labels)
+    found = _crossing(long_lists, classes, labels, docs)
     if found is None:
         return labels
     crossing = save(found.join(pairs, ["a", "b"], "left_anti"), "crossing")
