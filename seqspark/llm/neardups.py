@@ -309,6 +309,9 @@ def components(links: DataFrame) -> DataFrame:
 def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
     """Retained pairs (a, b) of members of one long list that are in different components; None if there is no such list."""
     named = long_lists.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # lists whose members are all in one component by now are done
+    open_ = named.groupBy("list").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("list")
+    named = save(named.join(open_, "list", "left_semi"), "named")
     parts = named.groupBy("list", "component").agg(F.count("*").alias("n"))
     mixed = save(
         parts.groupBy("list")
@@ -318,7 +321,7 @@ def _crossing(long_lists: DataFrame, classes: DataFrame, labels: DataFrame, docs
     )
     if mixed.isEmpty():
         return None
-    classes = classes.join(long_lists.select("node").distinct(), "node", "left_semi")
+    classes = classes.join(named.select("node").distinct(), "node", "left_semi")
     members = save(_by_list(named, mixed).withColumn("out", F.col("component") != F.col("main")).select("list", "node", "component", "out", "outside", "size"), "members")
     found = _in_blocks(members.where(F.col("outside") <= WIDE), classes)
     many = members.where(F.col("outside") > WIDE)
