@@ -85,10 +85,19 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), vocabulary_path())
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import resample
+
+    return resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_nearest_neighbours, op2_packing, op3_toxicity, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_near_duplicates, op8_page_text, op9_token_files, op10_token_counts)
-}
+    for f in (
+        op1_nearest_neighbours, op2_packing, op3_toxicity, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_near_duplicates, op8_page_text,
+        op9_token_files, op10_token_counts, op12_importance,
+    )
+}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Words of the three kinds that the contracts name.
@@ -160,4 +169,29 @@ comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN size USING (doc_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op7_near_duplicates": OP7_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_license_scan": op6_sql()}
+# crc32 is linear: a byte at distance d from the end adds roll(d, byte), the initial state roll(length, 256).
+OP12_SQL = f"""
+WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS ws FROM documents),
+words AS (SELECT row_number() OVER () AS t, true AS corpus, doc_id, ws FROM d UNION ALL SELECT -row_number() OVER (), false, null, {_ALNUM} FROM benchmark),
+one AS (SELECT t, corpus, ws, unnest(range(1, len(ws) + 1)) AS i FROM words),
+f AS MATERIALIZED (SELECT t, corpus, unnest(CASE WHEN i < len(ws) THEN [ws[i], ws[i] || ' ' || ws[i + 1]] ELSE [ws[i]] END) AS f FROM one),
+distinct_f AS MATERIALIZED (SELECT f, hex(encode(f)) AS h, strlen(f) AS n FROM (SELECT DISTINCT f FROM f)),
+bytes AS (SELECT b, list_reduce([CAST(b AS BIGINT), 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(b)),
+roll AS (SELECT CAST(0 AS BIGINT) AS d, b AS k, c FROM bytes UNION ALL SELECT 0, 256, 4294967295
+  UNION ALL SELECT d + 1, roll.k, xor(roll.c >> 8, bytes.c) FROM roll JOIN bytes ON bytes.b = roll.c & 255 WHERE d < (SELECT max(n) FROM distinct_f)),
+places AS (SELECT f, n - 1 - i AS d, 16 * (instr('0123456789ABCDEF', h[2 * i + 1]) - 1) + instr('0123456789ABCDEF', h[2 * i + 2]) - 1 AS k
+  FROM (SELECT f, h, n, unnest(range(n)) AS i FROM distinct_f) UNION ALL SELECT f, n, 256 FROM distinct_f),
+bucket AS MATERIALIZED (SELECT f, xor(bit_xor(c), 4294967295) % 10000 AS b FROM places JOIN roll USING (d, k) GROUP BY f),
+placed AS MATERIALIZED (SELECT t, corpus, b FROM f JOIN bucket USING (f)),
+n AS (SELECT b, count(*) FILTER (corpus) AS s, count(*) FILTER (NOT corpus) AS t FROM placed GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM n)::DOUBLE + 10000) / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM n)::DOUBLE + 10000)))) AS g FROM n),
+weight AS (SELECT t, count(*) AS n_features, CAST(floor(sum(g) / count(*)) AS BIGINT) AS weight FROM placed JOIN gain USING (b) WHERE corpus GROUP BY t),
+hashed AS (SELECT t, doc_id, len(ws) AS n_words, list_reduce([CAST(instr('0123456789abcdef', x) - 1 AS BIGINT) FOR x IN string_split(sha256('7:' || doc_id)[1:8], '')], lambda a, x: 16 * a + x) AS h
+  FROM words WHERE corpus),
+scored AS (SELECT doc_id, n_words >= 20 AS may, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM hashed LEFT JOIN weight USING (t)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, doc_id) AS r, count(*) FILTER (may) OVER () AS n FROM scored)
+SELECT doc_id, n_features, weight, score, CASE WHEN may AND r <= 25 * n // 100 THEN r END AS rank FROM ranked
+"""
+
+ORACLE_SQL: dict[str, str] = {"op12_importance": OP12_SQL, "op7_near_duplicates": OP7_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_license_scan": op6_sql()}
