@@ -85,6 +85,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), vocabulary_path())
 
 
+def op11_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secretscan import scan_secrets
+
+    return scan_secrets(_documents(spark, sf_dir))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .importance import resample
 
@@ -95,7 +101,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_nearest_neighbours, op2_packing, op3_toxicity, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_near_duplicates, op8_page_text,
-        op9_token_files, op10_token_counts, op12_importance,
+        op9_token_files, op10_token_counts, op11_secret_scan, op12_importance,
     )
 }
 
@@ -169,6 +175,42 @@ comp AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM comp LEFT JOIN size USING (doc_id)
 """
 
+
+def op11_sql() -> str:
+    """Matches of each kind by the pieces between them; checksums bit by bit and symbol by symbol."""
+    from .secretscan import BASE62, BECH32, BECH32_GENERATOR, KINDS, bech32_holds, crc_holds
+
+    step = "xor(c >> 1, CASE WHEN (c + x) % 2 = 1 THEN 3988292384 ELSE 0 END)"
+    bits = "flatten([[(ascii(x) >> k) & 1 FOR k IN range(8)] FOR x IN string_split(m[-36:-7], '')])"
+    crc = f"xor(list_reduce([4294967295::BIGINT] || {bits}, lambda c, x: {step}), 4294967295)"
+    digits = " || ".join(f"substr('{BASE62}', CAST(({crc}) // {62**k} % 62 + 1 AS INTEGER), 1)" for k in range(5, -1, -1))
+    human = "string_split(lower(m)[1:n - 59], '')"
+    symbols = f"[CAST(instr('{BECH32}', x) - 1 AS BIGINT) FOR x IN string_split(lower(m)[-58:], '')]"
+    values = f"[1::BIGINT] || [ascii(x) >> 5 FOR x IN {human}] || [0] || [ascii(x) & 31 FOR x IN {human}] || {symbols}"
+    mixed = "xor((c & 33554431) << 5, x)"
+    for k, g in enumerate(BECH32_GENERATOR):
+        mixed = f"xor({mixed}, CASE WHEN (c >> {25 + k}) & 1 = 1 THEN {g} ELSE 0 END)"
+    checks = {crc_holds: f"m[-6:] = {digits}", bech32_holds: f"list_min({symbols}) >= 0 AND list_reduce({values}, lambda c, x: {mixed}) = 1", None: "true"}
+    parts = []
+    for i, k in enumerate(KINDS):
+        pattern = k.pattern.replace("'", "''")
+        size = f"length(regexp_extract(m, '{pattern}', {k.group}))"
+        keep = f"{size} >= {k.least} AND {size} <= {k.most or 'length(m)'} AND {checks[k.holds]}"
+        parts.append(f"""SELECT doc_id, t, {i} AS kind, '{k.name}' AS name, {str(k.base).lower()} AS base, first, first + n AS last FROM (
+  SELECT *, length(m) AS n, sum(length(piece)) OVER w + sum(length(m)) OVER w - length(m) AS first FROM (
+    SELECT doc_id, t, unnest(found) AS m, unnest(string_split_regex(text, '{pattern}')[1:len(found)]) AS piece, unnest(range(len(found))) AS i
+    FROM (SELECT *, regexp_extract_all(text, '{pattern}') AS found FROM d)) WINDOW w AS (PARTITION BY t ORDER BY i)) WHERE {keep}""")
+    spans = " UNION ALL ".join(parts)
+    listed = "coalesce(string_agg(name || ':' || CAST(first AS BIGINT) || ':' || CAST(last AS BIGINT), ',' ORDER BY first, kind){}, '')"
+    counts = ", ".join(f"count(*) FILTER (kind = {i}) AS n_{k.name}" for i, k in enumerate(KINDS[:3]))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS t, doc_id, coalesce(text, '') AS text FROM documents),
+spans AS ({spans})
+SELECT d.doc_id, {counts}, sha256({listed.format(" FILTER (base)")}) AS base_sha256, {listed.format("")} AS spans
+FROM d LEFT JOIN spans USING (t) GROUP BY d.t, d.doc_id
+"""
+
+
 # crc32 is linear: a byte at distance d from the end adds roll(d, byte), the initial state roll(length, 256).
 OP12_SQL = f"""
 WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, {_ALNUM} AS ws FROM documents),
@@ -194,4 +236,4 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY may ORDER BY score DESC, do
 SELECT doc_id, n_features, weight, score, CASE WHEN may AND r <= 25 * n // 100 THEN r END AS rank FROM ranked
 """
 
-ORACLE_SQL: dict[str, str] = {"op12_importance": OP12_SQL, "op7_near_duplicates": OP7_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_license_scan": op6_sql()}
+ORACLE_SQL: dict[str, str] = {"op11_secret_scan": op11_sql(), "op12_importance": OP12_SQL, "op7_near_duplicates": OP7_SQL, "op4_substring_dedup": OP4_SQL, "op5_decontamination": OP5_SQL, "op6_license_scan": op6_sql()}
