@@ -21,6 +21,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def model_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -97,11 +103,17 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op13_cross_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .crosstok import cross_alignment
+
+    return cross_alignment(_documents(spark, sf_dir), vocabulary_path(), model_path())
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_nearest_neighbours, op2_packing, op3_toxicity, op4_substring_dedup, op5_decontamination, op6_license_scan, op7_near_duplicates, op8_page_text,
-        op9_token_files, op10_token_counts, op11_secret_scan, op12_importance,
+        op9_token_files, op10_token_counts, op11_secret_scan, op12_importance, op13_cross_alignment,
     )
 }
 
