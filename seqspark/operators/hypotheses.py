@@ -1,4 +1,4 @@
-"""Hypothesis operators: Morse readings, local discordance, literal quotations."""
+"""Hypothesis operators: Morse readings, local discordance."""
 
 from __future__ import annotations
 
@@ -110,17 +110,3 @@ def local_discordance(lines: DataFrame, window: int = 8, low: float = 0.85) -> D
     position = (F.col("at") - 1 + F.col("k")).alias("position")
     first_of = Window.partitionBy("doc", "line", "position").orderBy("at")
     return places.select("doc", "line", position, "symbol", "ruler", "at").withColumn("r", F.row_number().over(first_of)).where("r = 1").drop("r", "at")
-
-
-def literal_matches(lines: DataFrame, quotes: DataFrame, least: int = 1, part_over: int = -1) -> DataFrame:
-    """Lines equal to a quotation, or part of one, or holding one: kind IDENTICA or SUBCADENA.
-
-    Parts count for quotations of more than part_over characters only.  quotes is a dimension of a checked size: it is broadcast up to 10,000 rows and
-    joined by Spark's own choice beyond.
-    """
-    few = quotes.limit(10_001).count() <= 10_000
-    q = F.broadcast(quotes) if few else quotes
-    x, y = F.col("text"), F.col("quote")
-    part = (F.length(y) > part_over) & (x.contains(y) | y.contains(x))
-    match = F.when(x == y, "IDENTICA").when(part, "SUBCADENA")
-    return lines.where(F.length("text") >= least).join(q, (x == y) | part).withColumn("kind", match)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import anomaly, cluster, counts, crypto, hypotheses, parse, patterns, resample, segments, signature, stats
+from ..operators import anomaly, cluster, counts, crypto, hypotheses, parse, patterns, quotations, resample, segments, signature, stats
 from ..sources import corpora
 from .models import rounded
 from .registry import BI, EVENTS, STREAMS, TOK, TURNS, query
@@ -397,23 +397,28 @@ def local_discordance(spark, d):
     return hypotheses.local_discordance(lines)
 
 
-@query("literal_match", """WITH l AS (SELECT conv_id, turn, regexp_replace(lower(text), '\\s+', '', 'g') AS text FROM conversations), q AS (SELECT item_id, left(regexp_replace(lower(text), '\\s+', '', 'g'), 6) AS quote FROM benchmark)
-SELECT conv_id, turn, item_id, CASE WHEN text = quote THEN 'IDENTICA' ELSE 'SUBCADENA' END AS kind FROM l JOIN q ON contains(text, quote) OR contains(quote, text) WHERE length(text) >= 1""")
-def literal_match(spark, d):
-    strip = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
-    lines = corpora.table(spark, d, "conversations").select("conv_id", "turn", strip("text").alias("text"))
-    quotes = corpora.table(spark, d, "benchmark").select("item_id", F.substring(strip("text"), 1, 6).alias("quote"))
-    return hypotheses.literal_matches(lines, quotes).select("conv_id", "turn", "item_id", "kind")
+_INSTRUCTION = "regexp_replace(replace(regexp_replace(lower(text), '\\s+', '', 'g'), '.)', ')'), '^\\d+[.\\-]', '')"
+_QUOTED = """CASE WHEN text = quote THEN 'IDENTICA' ELSE 'SUBCADENA' END AS kind FROM l JOIN q ON text = quote OR length(quote) > 15 AND (contains(text, quote) OR contains(quote, text)) WHERE length(text) >= 1"""
 
 
-# literal_match compares the first six characters of the items; this one the whole items, parts over 15 characters
-@query("literal_match_whole", """WITH l AS (SELECT conv_id, turn, regexp_replace(lower(text), '\\s+', '', 'g') AS text FROM conversations), q AS (SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS quote FROM benchmark)
-SELECT conv_id, turn, item_id, CASE WHEN text = quote THEN 'IDENTICA' ELSE 'SUBCADENA' END AS kind FROM l JOIN q ON text = quote OR length(quote) > 15 AND (contains(text, quote) OR contains(quote, text)) WHERE length(text) >= 1""")
+# Whole normalised quotations; parts of those over 15 characters
+@query("literal_match_whole", f"""WITH l AS (SELECT conv_id, turn, regexp_replace(lower(text), '\\s+', '', 'g') AS text FROM conversations), q AS (SELECT item_id, regexp_replace(lower(text), '\\s+', '', 'g') AS quote FROM benchmark)
+SELECT conv_id, turn, item_id, {_QUOTED}""")
 def literal_match_whole(spark, d):
     strip = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
     lines = corpora.table(spark, d, "conversations").select("conv_id", "turn", strip("text").alias("text"))
     quotes = corpora.table(spark, d, "benchmark").select("item_id", strip("text").alias("quote"))
-    return hypotheses.literal_matches(lines, quotes, part_over=15).select("conv_id", "turn", "item_id", "kind")
+    return quotations.quotation_matches(lines, quotes).select("conv_id", "turn", "item_id", "kind")
+
+
+@query("quotation_match", f"""WITH l AS (SELECT doc_id, line, {_INSTRUCTION} AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM documents)),
+q AS (SELECT item_id, {_INSTRUCTION} AS quote FROM benchmark)
+SELECT doc_id, CAST(line AS BIGINT) AS line, item_id, {_QUOTED}""")
+def quotation_match(spark, d):
+    lines = corpora.table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    lines = lines.select("doc_id", (F.col("line") + 1).cast("long").alias("line"), parse.normalized_instruction(F.col("t")).alias("text"))
+    quotes = corpora.table(spark, d, "benchmark").select("item_id", parse.normalized_instruction(F.col("text")).alias("quote"))
+    return quotations.quotation_matches(lines, quotes).select("doc_id", "line", "item_id", "kind")
 
 
 # Clusters
