@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.lineage import cut
 from ..operators import cluster, counts, crypto, hypotheses, ngram, ordinals, parse, patterns, segments, signature, stability, stats, views
 from ..sources import corpora
 from .lines import _COS, _EDGE, _PAT, SIGN, _patterns, classes_of, notation, signatures
@@ -245,6 +246,13 @@ def class_stability(spark, d):
     return stability.stability(stability.agreement(lines, stability.original_classes(lines, range(2, 19)), 200))
 
 
+@query("vocabulary_stability")
+def vocabulary_stability(spark, d):
+    """200 replicates of all conversation turns: agreement of their words' classes with those of all turns."""
+    lines = corpora.conversation_lines(spark, d)
+    return stability.stability(stability.agreement(lines, cut(stability.original_classes(lines, range(2, 19))), 200))
+
+
 @query("token_scatter")
 def token_scatter(spark, d):
     points = cluster.reduced(cluster.token_features(corpora.order_lines(spark, d), 50), 2)
