@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.lineage import cut
-from ..operators import cluster, counts, crypto, hypotheses, ngram, ordinals, parse, patterns, segments, signature, stability, stats, views
+from ..operators import cluster, counts, crypto, hypotheses, ngram, occurrences, ordinals, parse, patterns, segments, signature, stability, stats, views
 from ..sources import corpora
 from .lines import _COS, _EDGE, _PAT, SIGN, _patterns, classes_of, notation, signatures
 from .models import rounded
@@ -91,6 +91,29 @@ def long_pattern_docs(spark, d):
     return found.select("doc", "pattern", "n", "doc_lines", F.arrays_overlap("ds", F.split("pattern", " ")).alias("dominant"))
 
 
+_SENTENCES = "(SELECT DISTINCT regexp_extract_all(lower(s), '[a-zà-öø-ÿ]+') AS p FROM (SELECT unnest(regexp_split_to_array(text, '[.\\n]')) AS s FROM benchmark))"
+_MARKED = "array_to_string([chr(30) || x || chr(31) FOR x IN {}], '')"
+
+
+@query("sentence_counts", f"""WITH l AS (SELECT doc_id AS doc, {_MARKED.format("regexp_extract_all(lower(s), '[a-zà-öø-ÿ]+')")} AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s FROM documents)),
+p AS (SELECT array_to_string(p, ' ') AS pattern, len(p) AS length, {_MARKED.format("p")} AS m FROM {_SENTENCES} WHERE len(p) >= 2)
+SELECT doc, pattern, CAST(length AS BIGINT) AS length, CAST(sum((length(t) - length(replace(t, m, ''))) // length(m)) AS BIGINT) AS n FROM l JOIN p ON contains(t, m) GROUP BY doc, pattern, length""")
+def sentence_counts(spark, d):
+    """Sentences of the benchmark, of two words or more, in all lines of documents."""
+    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(f"({corpora.WORD})"), F.lit(1))
+    lines = corpora.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.explode(F.split("text", "\n")).alias("s")).select("doc", words(F.col("s")).alias("tokens"))
+    sentences = corpora.table(spark, d, "benchmark").select(F.explode(F.split("text", "[.\n]")).alias("s")).select(words(F.col("s")).alias("pattern")).where(F.size("pattern") >= 2)
+    found = occurrences.pattern_counts(lines, sentences)
+    return found.select("doc", "pattern", F.size(F.split("pattern", " ")).cast("long").alias("length"), "n")
+
+
+@query("cover_pattern_counts")
+def cover_pattern_counts(spark, d):
+    """Patterns of any length that the covers of two conversations hold, in all turns of all conversations."""
+    lines = corpora.conversation_lines(spark, d)
+    return occurrences.pattern_counts(lines, occurrences.shared_patterns_of_docs(lines))
+
+
 PARTS = ["the", "er", "ti", "th.", "on", "sch"]
 
 
