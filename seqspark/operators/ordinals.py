@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+
 
 def stream_ordinals(lines: DataFrame, doc: str, line: str, parts: int = 64) -> DataFrame:
     """Adds ordinal: the number of lines before this one in the order of (doc, line), docs being numbers.
@@ -25,6 +29,35 @@ def stream_ordinals(lines: DataFrame, doc: str, line: str, parts: int = 64) -> D
     return lines.withColumn("place_", place).join(offsets, doc).withColumn("ordinal", F.col("offset_") + F.col("place_")).drop("offset_", "place_")
 
 
+def in_pieces(df: DataFrame, by: list[str], order: list[str], place: str = "i") -> tuple[DataFrame, DataFrame]:
+    """df with piece_ and its place in its `by` group (from 0, by `order`), and the bounds of groups that go over several pieces.
+
+    Rows are dealt to ranges of (by, order) and written, so a group of any size is many
+    pieces; a piece's rows are numbered by themselves.  Only the first group of a piece
+    can go on from the piece before, so what is carried over is a row per piece: by,
+    piece_, before_ and last_ (places of the group's first and last row there).
+    """
+    ranged = cut(df.repartitionByRange(*by, *order).withColumn("piece_", F.spark_partition_id()))
+    every = Window.partitionBy(*by)
+    sizes = ranged.groupBy(*by, "piece_").agg(F.count("*").alias("n_"))
+    sizes = sizes.withColumn("before_", F.sum("n_").over(every.orderBy("piece_")) - F.col("n_")).withColumn("pieces_", F.count("*").over(every))
+    spans = sizes.where("pieces_ > 1").select(*by, "piece_", "before_", (F.col("before_") + F.col("n_") - 1).alias("last_"))
+    carried = spans.where("before_ > 0").select(*(F.col(c).alias(f"{c}__") for c in by), F.col("piece_").alias("piece__"), "before_")
+    own = F.row_number().over(Window.partitionBy(*by, "piece_").orderBy(*order)) - 1
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}__")) for c in by), F.col("piece_") == F.col("piece__"))
+    numbered = ranged.withColumn("own__", own).join(F.broadcast(carried), same, "left").withColumn(place, (F.col("own__") + F.coalesce("before_", F.lit(0))).cast("int"))
+    return numbered.select(*ranged.columns, place), spans
+
+
+def edges(parts: DataFrame, spans: DataFrame, by: list[str], first: str, last: str) -> tuple[DataFrame, DataFrame]:
+    """parts (by, piece_, places `first` to `last`) that cannot go on in another piece, and those that can: two per piece at most."""
+    other = spans.select(*(F.col(c).alias(f"{c}__") for c in by), F.col("piece_").alias("piece__"), "before_", "last_")
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"{c}__")) for c in by), F.col("piece_") == F.col("piece__"))
+    edge = F.coalesce((F.col(first) == F.col("before_")) | (F.col(last) == F.col("last_")), F.lit(False))
+    marked = parts.join(F.broadcast(other), same, "left").withColumn("edge__", edge).select(*parts.columns, "edge__")
+    return marked.where(~F.col("edge__")).drop("edge__"), marked.where("edge__").drop("edge__")
+
+
 def zipped(sequences: DataFrame, items: str, lines: DataFrame) -> DataFrame:
     """doc, ordinal, item, line: the items of each doc's sequence beside its lines in order; items beyond the lines have none."""
     item = sequences.select("doc", F.posexplode(items).alias("ordinal", "item"))

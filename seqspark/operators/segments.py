@@ -5,40 +5,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from .ordinals import edges, in_pieces
 from .resample import place_hash
-from .stats import benjamini_hochberg, z_global
+from .stats import benjamini_hochberg, percentile_values, z_global
 
 
 def maximal_runs(df: DataFrame, by: list[str], order: list[str], flag: Column, least: int = 3) -> DataFrame:
-    """Maximal runs of true flags: by, first, last (positions from 0) and length, where long enough."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    placed = df.withColumn("i", F.row_number().over(w) - 1).where(flag)
-    island = F.col("i") - F.row_number().over(Window.partitionBy(*by).orderBy("i"))
-    runs = placed.withColumn("island", island).groupBy(*by, "island").agg(F.min("i").alias("first"), F.max("i").alias("last"), F.count("*").alias("length"))
-    return runs.where(F.col("length") >= least).drop("island")
+    """Maximal runs of true flags: by, first, last (positions from 0) and length, where long enough; runs of a piece, then those that go over pieces put together."""
+    placed, spans = in_pieces(df.withColumn("flag_", flag), by, order)
+    island = F.col("i") - F.row_number().over(Window.partitionBy(*by, "piece_").orderBy("i"))
+    runs = placed.where("flag_").withColumn("island_", island).groupBy(*by, "piece_", "island_").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    inner, open_ = edges(runs.drop("island_"), spans, by, "first", "last")
+    w = Window.partitionBy(*by).orderBy("first")
+    new = F.coalesce(F.col("first") != F.lag("last").over(w) + 1, F.lit(True)).cast("int")
+    joined = open_.withColumn("new_", new).withColumn("run_", F.sum("new_").over(w)).groupBy(*by, "run_").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    every = inner.select(*by, "first", "last").unionByName(joined.select(*by, "first", "last"))
+    return every.withColumn("length", (F.col("last") - F.col("first") + 1).cast("long")).where(F.col("length") >= least)
 
 
 def gap_islands(df: DataFrame, by: list[str], number: str, gap: int = 2, least: int = 3) -> DataFrame:
-    """Runs of numbers that lie at most `gap` apart."""
-    w = Window.partitionBy(*by).orderBy(number)
-    marked = df.withColumn("new", (F.coalesce(F.col(number) - F.lag(number).over(w), F.lit(0)) > gap).cast("int"))
-    islands = marked.withColumn("island", F.sum("new").over(w)).groupBy(*by, "island")
-    return islands.agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("length")).where(F.col("length") >= least).drop("island")
+    """Runs of numbers that lie at most `gap` apart: first, last, length; islands of a piece, then those that go over pieces put together."""
+    placed, spans = in_pieces(df, by, [number], "at_")
+    w = Window.partitionBy(*by, "piece_").orderBy("at_")
+    marked = placed.withColumn("new_", (F.coalesce(F.col(number) - F.lag(number).over(w), F.lit(0)) > gap).cast("int"))
+    islands = marked.withColumn("island_", F.sum("new_").over(w)).groupBy(*by, "piece_", "island_")
+    parts = islands.agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("length"), F.min("at_").alias("from_"), F.max("at_").alias("to_"))
+    inner, open_ = edges(parts.drop("island_"), spans, by, "from_", "to_")
+    v = Window.partitionBy(*by).orderBy("from_")
+    apart = (F.lag("to_").over(v) + 1 != F.col("from_")) | (F.coalesce(F.col("first") - F.lag("last").over(v), F.lit(0)) > gap)
+    chained = open_.withColumn("new_", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("run_", F.sum("new_").over(v)).groupBy(*by, "run_")
+    joined = chained.agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("length").alias("length"))
+    return inner.select(*by, "first", "last", "length").unionByName(joined.select(*by, "first", "last", "length")).where(F.col("length") >= least)
 
 
 def max_window_mean(df: DataFrame, by: list[str], order: list[str], value: str, length: int) -> DataFrame:
-    """The largest mean over full windows of consecutive rows."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    frame = w.rowsBetween(-(length - 1), 0)
-    full = df.withColumn("m", F.when(F.row_number().over(w) >= length, F.avg(value).over(frame)))
-    return full.groupBy(*by).agg(F.max("m").alias("max_mean"))
+    """The largest mean over full windows of consecutive rows; a piece takes the rows before it that its first windows reach back to."""
+    placed, spans = in_pieces(df.select(*by, *order, value), by, order, "at_")
+    rows = placed.select(*by, "piece_", "at_", F.col(value).alias("x_"), F.lit(False).alias("lent_"))
+    ahead = spans.where("before_ > 0").select(*(F.col(c).alias(f"{c}__") for c in by), F.col("piece_").alias("to__"), "before_")
+    reach = (F.col("at_") < F.col("before_")) & (F.col("at_") >= F.col("before_") - (length - 1))
+    for c in by:
+        reach = reach & F.col(c).eqNullSafe(F.col(f"{c}__"))
+    lent = rows.join(F.broadcast(ahead), reach).select(*by, F.col("to__").alias("piece_"), "at_", "x_", F.lit(True).alias("lent_"))
+    w = Window.partitionBy(*by, "piece_").orderBy("at_")
+    full = rows.unionByName(lent).withColumn("m_", F.when(~F.col("lent_") & (F.col("at_") >= length - 1), F.avg("x_").over(w.rowsBetween(-(length - 1), 0))))
+    return full.groupBy(*by).agg(F.max("m_").alias("max_mean"))
 
 
 def combined_scores(df: DataFrame, grammar: str, lexical: str, share: float = 0.6) -> DataFrame:
     """Adds score = z(grammar) + z(lexical), and high: score at or above the given percentile of all."""
     z = z_global(z_global(df, grammar, "z_g", "centred"), lexical, "z_l", "centred").withColumn("score", F.col("z_g") + F.col("z_l"))
-    cut = z.agg(F.percentile("score", share).alias("cut"))
-    return z.join(F.broadcast(cut)).withColumn("high", F.col("score") >= F.col("cut"))
+    z = cut(z)  # read several times, and compared with a number taken from it
+    return z.withColumn("high", F.col("score") >= F.lit(percentile_values(z, "score", [share])[0]))
 
 
 def segment_significance(scored: DataFrame, doc: str, order: list[str], times: int = 100, seed: int = 42, least: int = 3) -> DataFrame:

@@ -145,9 +145,56 @@ def stream_runs_test(pieces: DataFrame, zero_token: str, least: int = 20) -> Dat
     return t.withColumn("z", runs_z(F.col("n0").cast("double"), F.col("n1").cast("double"), F.col("runs"))).withColumn("label", _runs_label(F.col("z")))
 
 
+def percentile_values(df: DataFrame, column: str, shares: list[float], bins: int = 1024) -> list[float | None]:
+    """Exact percentiles with linear interpolation of the finite values of a column; None without any.
+
+    Selection by histograms: the range of values that holds a wanted rank is cut into
+    bins, and the bin that holds it is the next range, from its least to its largest
+    value, until that is one value.  A round is one pass for all ranks; the driver gets
+    `bins` rows a range.  df should be a table or written: it is read every round.
+    """
+    x = df.select(F.col(column).cast("double").alias("x")).where(F.abs("x") < float("inf"))
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if not n:
+        return [None] * len(shares)
+    places = [s * (n - 1) for s in shares]
+    ranks = {int(r) for p in places for r in (p // 1, -(-p // 1))}
+    found: dict[int, float] = {}
+    ranges = [(low, high, 0, ranks)]  # least, largest, values before it, ranks in it
+    while ranges:
+        found.update((r, lo) for lo, hi, _, rs in ranges if lo == hi for r in rs)
+        ranges = [t for t in ranges if t[0] < t[1]]
+        if not ranges:
+            break
+        of = F.lit(None).cast("int")
+        at = F.lit(None).cast("double")
+        for k, (lo, hi, _, _) in enumerate(ranges):
+            inside = F.col("x").between(lo, hi)
+            of = F.when(inside, k).otherwise(of)
+            # halves, so that the width of a range does not overflow
+            at = F.when(inside, (F.col("x") / 2 - F.lit(lo / 2)) / F.lit(hi / 2 - lo / 2) * bins).otherwise(at)
+        part = x.select("x", of.alias("range"), F.least(F.floor(at), F.lit(bins - 1)).alias("bin")).where("range IS NOT NULL")
+        held = sorted(map(tuple, part.groupBy("range", "bin").agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()))
+        nxt = []
+        for k, (_, _, before, rs) in enumerate(ranges):
+            for _, _, m, lo, hi in (h for h in held if h[0] == k):
+                own = {r for r in rs if before <= r < before + m}
+                if own:
+                    nxt.append((lo, hi, before, own))
+                before += m
+        ranges = nxt
+    out = []
+    for p in places:
+        lo, hi = int(p // 1), int(-(-p // 1))
+        a, b = found[lo], found[hi]
+        out.append(a if lo == hi or a == b else (hi - p) * a + (p - lo) * b)
+    return out
+
+
 def percentiles(df: DataFrame, column: str, shares: dict[str, float]) -> DataFrame:
-    """Exact percentiles with linear interpolation."""
-    return df.agg(*(F.percentile(column, s).alias(name) for name, s in shares.items()))
+    """Exact percentiles with linear interpolation in one row, a column each."""
+    values = percentile_values(df, column, list(shares.values()))
+    return df.sparkSession.range(1).select(*(F.lit(v).cast("double").alias(name) for name, v in zip(shares, values, strict=True)))
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

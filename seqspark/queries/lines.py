@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import anomaly, cluster, counts, crypto, hypotheses, parse, patterns, quotations, resample, segments, signature, stats
+from ..functions.lineage import cut
+from ..operators import anomaly, cluster, counts, crypto, hypotheses, ordinals, parse, patterns, quotations, resample, segments, signature, stats
 from ..sources import corpora
 from .models import rounded
 from .registry import BI, EVENTS, STREAMS, TOK, TURNS, query
@@ -172,8 +173,8 @@ def series(spark, d):
     e = corpora.table(spark, d, "events").withColumn("err", F.when(F.col("event_type") == "error", 1.0).otherwise(0.0))
     e = e.select("user_id", "ts", "event_id", "event_type", "value", "err")
     z = stats.z_global(stats.z_global(e, "value", "z_g", "centred"), "err", "z_l", "centred").withColumn("score", F.round(F.col("z_g") + F.col("z_l"), 9))
-    cut = z.agg(F.percentile("score", 0.6).alias("cut"))
-    return z.join(F.broadcast(cut)).withColumn("high", F.col("score") >= F.col("cut"))
+    z = cut(z)
+    return z.withColumn("high", F.col("score") >= F.lit(stats.percentile_values(z, "score", [0.6])[0]))
 
 
 def user_runs(spark, d):
@@ -181,7 +182,7 @@ def user_runs(spark, d):
 
 
 def placed(spark, d):
-    return series(spark, d).withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1)
+    return ordinals.in_pieces(series(spark, d), ["user_id"], ["ts", "event_id"])[0].drop("piece_")
 
 
 @query("combined_scores", f"WITH {SER} SELECT event_id, round(score, 6) AS score, high FROM sc")
@@ -225,8 +226,8 @@ _CLASS = "CASE WHEN gram AND lex THEN 'CONVERGENT' WHEN gram THEN 'GRAMATICAL' W
 
 def classed(spark, d):
     p = placed(spark, d)
-    cut = corpora.table(spark, d, "events").agg(F.percentile("value", 0.9).alias("vcut"))
-    z = p.join(F.broadcast(cut)).withColumns({"gram": F.col("value") > F.col("vcut"), "lex": F.col("err") > 0})
+    most = stats.percentile_values(corpora.table(spark, d, "events"), "value", [0.9])[0]
+    z = p.withColumns({"gram": F.col("value") > F.lit(most), "lex": F.col("err") > 0})
     return z.withColumn("class", segments.line_class(F.col("gram"), F.col("lex")))
 
 
