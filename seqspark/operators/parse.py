@@ -119,7 +119,6 @@ EXPANDED = T.StructType(
 
 # Repeats, numbers and literals of the full notation, in the order in which they are tried.
 _ARROW, _REPEAT, _LITERAL = re.compile(r"\d+>"), re.compile(r"(\d+)(IMZ|MZ|[^\W\d_])"), re.compile(r"IMZ|MZ|\d+|<\d+")
-_BLOCK_END = re.compile(r"v(\d+)-", re.I)
 
 
 def _closings(text: str) -> dict[int, int]:
@@ -134,13 +133,27 @@ def _closings(text: str) -> dict[int, int]:
     return out | dict.fromkeys(opened, len(text))
 
 
+def _block(text: str, begin: int, end: int, hyphens: dict[int, int]) -> tuple[str, int] | None:
+    """(sequence, repeats) of a group text[begin:end] of the form sequence-Nv, with something for the sequence; hyphens: those of the ends seen before."""
+    if end not in hyphens:
+        i = end - 1
+        if text[i : i + 1] == "v":
+            while i > 0 and text[i - 1].isdecimal():
+                i -= 1
+        hyphens[end] = i - 1 if 0 < i < end - 1 and text[i - 1] == "-" else -1
+    at = hyphens[end]
+    if at <= begin:
+        return None
+    return text[begin:at], int(text[at + 1 : end - 1])
+
+
 def expand_text(text: str) -> tuple[list[str], list[tuple[int, str, int]]]:
     """Full notation: nested groups, vertical blocks (seq-Nv), IMZ and MZ, repeats; case is kept.
 
     Groups that are neither blocks nor digits are read in place, however deep they nest.
     """
     closing = _closings(text)
-    backwards = text[::-1]
+    hyphens: dict[int, int] = {}
     tokens: list[str] = []
     blocks: list[tuple[int, str, int]] = []
     passed: set[int] = set()  # closing parentheses of groups that are read in place
@@ -151,11 +164,10 @@ def expand_text(text: str) -> tuple[list[str], list[tuple[int, str, int]]]:
             i += 1
         elif c == "(":
             end = closing[i]
-            m = _BLOCK_END.match(backwards, n - end, n - i - 1)
-            if m:
-                sequence = text[i + 1 : end - len(m[0])]
-                blocks.append((len(tokens), sequence, int(m[1][::-1])))
-                tokens.append(f"<{sequence}>")
+            block = _block(text, i + 1, end, hyphens)
+            if block:
+                blocks.append((len(tokens), *block))
+                tokens.append(f"<{block[0]}>")
                 i = end + 1
             elif text[i + 1 : i + 2].isdigit() and text[i + 1 : end].isdigit():
                 tokens.append(f"({text[i + 1 : end]})")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
 from ..functions.scalars import fisher_greater, runs_z, z_score
 from ..sources.corpora import stream_bigrams, tokens_of
 from .counts import bigram_counts, with_margins
@@ -29,14 +30,15 @@ def benjamini_hochberg(tests: DataFrame, p: str = "p_value", order: list[str] |
     """Step-up q-values: p * m / rank, made monotone from the largest p down; a null p has a null q.
 
     Equal p give equal q, so distinct p are ranked, by the last of their ranks.  They
-    are counted once, held by Spark's cache (which is made again where executors are
-    lost), and dealt to ranges whose bounds are quantiles; ranks and minima run within
-    a range, and two numbers per range, which pass the driver, carry them on.
+    are counted once and dealt to ranges whose bounds are quantiles; ranks and minima
+    run within a range, and two numbers per range, which pass the driver, carry them
+    on.  Tests and distinct p are written, so that neither is made twice.
     """
-    per = tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("n_")).persist()
+    tests = cut(tests)
+    per = cut(tests.where(F.col(p).isNotNull()).groupBy(p).agg(F.count("*").alias("n_")))
     bounds = sorted(set(per.approxQuantile(p, [i / parts for i in range(1, parts)], 0.001)))
-    cut = F.aggregate(F.array(*(F.lit(float(b)) for b in bounds)), F.lit(0), lambda n, b: n + (F.col(p) > b).cast("int")) if bounds else F.lit(0)
-    ranged = per.withColumn("part_", cut)
+    part = F.aggregate(F.array(*(F.lit(float(b)) for b in bounds)), F.lit(0), lambda n, b: n + (F.col(p) > b).cast("int")) if bounds else F.lit(0)
+    ranged = per.withColumn("part_", part)
     at = lambda values: F.array(*(F.lit(float(v)) for v in values))[F.col("part_")]
     sizes = {r.part_: r.n for r in ranged.groupBy("part_").agg(F.sum("n_").alias("n")).collect()}
     before, m = [0], sum(sizes.values())

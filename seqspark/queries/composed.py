@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +11,7 @@ from ..functions.lineage import cut
 from ..operators import cluster, counts, crypto, hypotheses, ngram, occurrences, ordinals, parse, patterns, segments, signature, stability, stats, views
 from ..sources import corpora
 from .lines import _COS, _EDGE, _PAT, SIGN, _patterns, classes_of, notation, signatures
-from .models import rounded
+from .models import _SIG, rounded
 from .registry import BI, CNT, EVENTS, MARG, STREAMS, TOK, TURNS, query
 
 # Line items with vertical blocks, for example g(n2l-3v)(4)
@@ -133,7 +134,8 @@ def palindromic_docs(spark, d):
 
 
 # Orders, vocabularies, positions
-@query("significance_ranked")
+@query("significance_ranked", f"""WITH {TURNS}, {BI}, {CNT}, {MARG}, {_SIG}, s AS (SELECT a, b, n, round(lift, 6) AS lift, round(p_value, 9) AS p_value, round(p_value, 9) < 0.01 AS significant FROM sig)
+SELECT row_number() OVER (ORDER BY significant DESC, lift DESC, p_value, a, b) AS rank, a, b, n, lift, significant FROM s QUALIFY rank <= 50""")
 def significance_ranked(spark, d):
     """The 50 first bigrams: significant ones, then by falling lift and rising p."""
     s = stats.significance(corpora.conversation_lines(spark, d)).select("a", "b", "n", F.round("lift", 6).alias("lift"), F.round("p_value", 9).alias("p_value"))
@@ -278,8 +280,10 @@ def vocabulary_stability(spark, d):
 
 @query("token_scatter")
 def token_scatter(spark, d):
-    points = cluster.reduced(cluster.token_features(corpora.order_lines(spark, d), 50), 2)
-    return cluster.scatter(points.withColumn("label", F.substring("token", 1, 1)), "token", "pca", "label")
+    """Words of conversations on their first two components, with their classes and the classes' centres."""
+    scores = stability.replicate_scores(corpora.conversation_lines(spark, d), 1, -1)
+    points = scores.join(stability.classes_of(scores, range(2, 19)), "token").select("token", "label", array_to_vector("y").alias("y"))
+    return cluster.scatter(points, "token", "y", "label")
 
 
 # Eight flags of a user's days; the grammars are those of the users with even ids

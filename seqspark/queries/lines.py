@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.lineage import cut
-from ..operators import anomaly, cluster, counts, crypto, hypotheses, ordinals, parse, patterns, quotations, resample, segments, signature, stats
+from ..operators import anomaly, cluster, counts, crypto, hypotheses, ordinals, parse, patterns, quotations, resample, segments, signature, stability, stats
 from ..sources import corpora
 from .models import rounded
 from .registry import BI, EVENTS, STREAMS, TOK, TURNS, query
@@ -82,12 +82,12 @@ def palindromes(spark, d):
     return parse.palindromes(counts.token_counts(corpora.conversation_lines(spark, d)), "token")
 
 
-@query("symbol_pivot", """WITH c AS (SELECT role, unnest(string_split(regexp_replace(lower(text), '[^a-f]', '', 'g'), '')) AS c FROM conversations)
-SELECT role, count(*) FILTER (c = 'a') AS a, count(*) FILTER (c = 'b') AS b, count(*) FILTER (c = 'c') AS c, count(*) FILTER (c = 'd') AS d, count(*) FILTER (c = 'e') AS e, count(*) FILTER (c = 'f') AS f FROM c GROUP BY role""")
+@query("symbol_pivot", """PIVOT (SELECT role, unnest(string_split(regexp_replace(lower(text), '[^a-zà-öø-ÿ]', '', 'g'), '')) AS c FROM conversations WHERE regexp_matches(lower(text), '[a-zà-öø-ÿ]')) ON c USING count(*) GROUP BY role""")
 def symbol_pivot(spark, d):
-    t = corpora.table(spark, d, "conversations")
-    chars = t.select("role", F.explode(F.split(F.regexp_replace(F.lower("text"), "[^a-f]", ""), "")).alias("c"))
-    return chars.groupBy("role").pivot("c", list("abcdef")).agg(F.count("c")).na.fill(0)
+    """A column for every letter that occurs; their number is bounded by the alphabet."""
+    letters = F.regexp_replace(F.lower("text"), "[^a-zà-öø-ÿ]", "")
+    chars = corpora.table(spark, d, "conversations").select("role", letters.alias("t")).where("t != ''").select("role", F.explode(F.split("t", "")).alias("c")).where("c != ''")
+    return chars.groupBy("role").pivot("c").agg(F.count("c")).na.fill(0)
 
 
 @query("substring_counts", """SELECT role, CAST(sum((length(text) - length(replace(text, 'th', ''))) / 2) AS BIGINT) AS th, CAST(sum((length(text) - length(replace(text, 'ere', ''))) / 3) AS BIGINT) AS ere FROM conversations GROUP BY role""")
@@ -453,9 +453,8 @@ def kmeans_labels(spark, d):
 
 @query("token_classes")
 def token_classes(spark, d):
-    features = cluster.reduced(cluster.token_features(corpora.conversation_lines(spark, d), 100), 8).select("token", "pca").persist()
-    ks = range(2, min(18, features.count() - 1) + 1)
-    return cluster.choose_k(features, ks, metric="squaredEuclidean")[1].select("token", "label")
+    """Classes of the words of conversations, by all their contexts, k from 2 to 18."""
+    return stability.original_classes(corpora.conversation_lines(spark, d), range(2, 19))
 
 
 @query("bootstrap_stability", """WITH r AS (SELECT conv_id AS doc, turn AS line, role, p AS rep, CAST('0x' || left(md5(concat_ws('|', '42', p, conv_id, turn)), 8) AS BIGINT) / 4294967296.0 AS u FROM conversations, range(0, 20) x(p)),

@@ -232,7 +232,11 @@ def test_expand_text_nests_to_any_depth():
     assert parse.expand_text("(" * 50_000 + "3a" + ")" * 50_000) == (["a"] * 3, [])
     assert parse.expand_text("(" * 2000 + "la-2v" + ")" * 1999)[0] == ["<la>"]
     assert parse.expand_text("(a(2b)") == (["a", "b", "b"], []) and parse.expand_text("a)b") == (["a", ")", "b"], [])
-    assert parse.expand_text("(a(b-2v)c(x-y-13V))") == (["a", "<b>", "c", "<x-y>"], [(1, "b", 2), (3, "x-y", 13)])
+    assert parse.expand_text("(a(b-2v)c(x-y-13v))") == (["a", "<b>", "c", "<x-y>"], [(1, "b", 2), (3, "x-y", 13)])
+    # a block has a sequence and a small v
+    assert parse.expand_text("(la-2V)") == (["l", "a", "-", "V", "V"], []) and parse.expand_text("(-2v)") == (["-", "v", "v"], [])
+    assert parse.expand_text("(a-v)(2v)(--3v)") == (["a", "-", "v", "v", "v", "<->"], [(5, "-", 3)])
+    assert parse.expand_text("(" * 3000 + "x-" + "1" * 3000 + "v")[1][0][1] == "(" * 2999 + "x"
 
 
 def test_greedy_cover_takes_the_longest_repeats(spark):
