@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Characters of a key.
 KEY = 16
+#: Keys (two numbers and 16 characters each) that are broadcast; more are joined by a shuffle.
+BROADCAST_KEYS = 2_000_000
 #: Characters of quotations in one automaton (some 80 bytes each in every worker). Further blocks take further passes.
 BLOCK_CHARS = 1_000_000
 
@@ -81,12 +83,12 @@ def holding(lines: DataFrame, quotes: DataFrame, block_chars: int = BLOCK_CHARS)
 
 
 def keys(quotes: DataFrame, part_over: int, least: int) -> DataFrame:
-    """quote, key: its beginning; of quotations over part_over characters every part of least to KEY characters too."""
+    """of (a hash of the quotation), key: its beginning; of quotations over part_over characters every part of least to KEY characters too."""
     q, n = F.col("quote"), F.length("quote")
     sizes = F.sequence(F.lit(min(least, KEY)), F.lit(KEY))
     parts = F.flatten(F.transform(sizes, lambda w: F.transform(F.sequence(F.lit(1), F.greatest(n - w + 1, F.lit(1))), lambda p: F.substring(q, p, w))))
     every = F.when(n > part_over, F.array_union(F.array(F.substring(q, 1, KEY)), parts)).otherwise(F.array(F.substring(q, 1, KEY)))
-    return quotes.select("quote").distinct().select("quote", F.explode(F.array_distinct(every)).alias("key"))
+    return quotes.select("quote").distinct().select(F.xxhash64("quote").alias("of"), F.explode(F.array_distinct(every)).alias("key"))
 
 
 def quotation_matches(lines: DataFrame, quotes: DataFrame, part_over: int = 15, least: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -96,10 +98,13 @@ def quotation_matches(lines: DataFrame, quotes: DataFrame, part_over: int = 15,
     than `least` characters take no part.  Nulls match nothing, repeated rows match each.
     """
     lines, quotes = lines.where(F.length("text") >= least), quotes.where("quote IS NOT NULL")
-    longest = quotes.agg(F.coalesce(F.max(F.length("quote")), F.lit(-1))).first()[0]
+    longest, total, count = quotes.agg(F.coalesce(F.max(F.length("quote")), F.lit(-1)), F.coalesce(F.sum(F.length("quote")), F.lit(0)), F.count("*")).first()
     x, y = F.col("text"), F.col("quote")
-    inside = lines.where(F.length("text") <= longest).withColumn("key", F.substring("text", 1, KEY)).join(keys(quotes, part_over, least), "key")
-    inside = inside.where((x == y) | (F.length(y) > part_over) & y.contains(x)).drop("key")
+    few = (KEY + 1) * total + count <= BROADCAST_KEYS  # as many keys as parts of each size at most
+    table = keys(quotes, part_over, least)
+    near = lines.where(F.length("text") <= longest).withColumn("key", F.substring("text", 1, KEY)).join(F.broadcast(table) if few else table.hint("merge"), "key")
+    texts = quotes.select("quote", F.xxhash64("quote").alias("of")).distinct()
+    inside = near.join(F.broadcast(texts) if few else texts.hint("merge"), "of").where((x == y) | (F.length(y) > part_over) & y.contains(x))
     held = holding(lines, quotes.where(F.length("quote") > part_over), block_chars)
     found = inside.select(*lines.columns, "quote").unionByName(held.select(*lines.columns, "quote"))
     return found.join(quotes, "quote").withColumn("kind", F.when(x == y, "IDENTICA").otherwise("SUBCADENA"))

@@ -25,8 +25,10 @@ def matches(spark, lines, quotes, part_over, least, block):
 
 
 @pytest.mark.parametrize("part_over, least, block", [(15, 1, 40), (-1, 1, 1_000_000), (3, 0, 1)])
-def test_planted_quotations(spark, part_over, least, block):
+def test_planted_quotations(spark, monkeypatch, part_over, least, block):
     """Quotations planted whole, in part and with a change; repeated, nested, null, empty and long ones."""
+    if block == 40:
+        monkeypatch.setattr(quotations, "BROADCAST_KEYS", 0)
     rng = random.Random(block)
     word = lambda n: "".join(rng.choices("ab", k=n))
     quotes = [(i, word(rng.randint(1, 45))) for i in range(40)] + [(50, "a" * 60), (51, "a" * 60), (52, "a" * 30), (53, None), (54, "b"), (55, "é日" * 12)]
@@ -41,10 +43,12 @@ def test_planted_quotations(spark, part_over, least, block):
     assert sorted(((r.k, r.i, r.kind) for r in got.collect()), key=str) == expected and len(expected) > 300
 
 
-def test_no_pair_is_compared_without_a_key(spark):
-    got = matches(spark, [(1, "x" * 20)], [(1, "y" * 20)], 15, 1, 1000)
-    plan = got._jdf.queryExecution().executedPlan().toString()
-    assert "NestedLoop" not in plan and "Cartesian" not in plan
+def test_no_pair_is_compared_without_a_key(spark, monkeypatch):
+    for most in (0, 2_000_000):
+        monkeypatch.setattr(quotations, "BROADCAST_KEYS", most)
+        got = matches(spark, [(1, "x" * 20)], [(1, "y" * 20)], 15, 1, 1000)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert got.collect() == []
     assert matches(spark, [], [(1, "y" * 20)], 15, 1, 1000).collect() == matches(spark, [(1, "y")], [], 15, 1, 1000).collect() == []
 
