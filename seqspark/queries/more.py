@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.lineage import new_folder
 from ..operators import cluster, crypto, hypotheses, ngram, signature, stats, views
-from ..sources import corpora
+from ..sources import corpora, files
 from .lines import RUNS, placed, user_runs
 from .models import LOO_SQL, rounded
 from .registry import EVENTS, STREAMS, TEXTS, TOK, TURNS, query
@@ -138,3 +139,25 @@ def chosen_k(spark, d):
 def category_key(spark, d):
     c = corpora.table(spark, d, "conversations").where(F.col("role").isin("user", "assistant"))
     return c.groupBy(scalars.accents_stripped(F.col("role")).alias("role")).agg(F.count("*").alias("n"))
+
+
+# Files
+@query("report_rows", "SELECT row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS row, o_orderkey, o_orderstatus FROM orders")
+def report_rows(spark, d):
+    """Orders written as an ordered report, read back in splits of bytes with their places."""
+    folder = new_folder(spark, "report")
+    o = corpora.table(spark, d, "orders")
+    files.write_report(o, folder, "%d %s", "o_orderkey", "o_orderstatus", order=["o_orderdate", "o_orderkey"])
+    part = F.split("value", " ")
+    return files.text_corpus(spark, folder).select("row", part[0].cast("long").alias("o_orderkey"), part[1].alias("o_orderstatus"))
+
+
+@query("csv_rows", "SELECT l_orderkey, l_linenumber, round(l_extendedprice, 4) AS l_extendedprice, CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_returnflag END AS flag, l_quantity > 25 AS many FROM lineitem WHERE l_linenumber > 1")
+def csv_rows(spark, d):
+    """Items written as a table of text, with blanks, words for booleans and end marks (rows without a line number), and read back."""
+    folder = new_folder(spark, "csv")
+    i = corpora.table(spark, d, "lineitem")
+    blank = lambda c, gone: F.when(~gone, F.col(c)).alias(c)
+    rows = i.select("l_orderkey", blank("l_linenumber", F.col("l_linenumber") == 1), F.col("l_extendedprice").cast("double").alias("l_extendedprice"), blank("l_returnflag", F.col("l_returnflag") == "R"), (F.col("l_quantity") > 25).alias("many"))
+    files.write_csv(rows.withColumnRenamed("l_returnflag", "flag"), folder)
+    return files.read_csv(spark, folder, "l_orderkey long, l_linenumber int, l_extendedprice double, flag string, many boolean", required=["l_linenumber"])

@@ -2,18 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lineage import cut
 from ..operators import parse
 
 
+#: Splits of files whose starts are broadcast; more are joined by a shuffle.
+BROADCAST_SPLITS = 200_000
+
+
 def text_corpus(spark: SparkSession, folder: str, suffix: str = "txt") -> DataFrame:
-    """Files below a folder, one row per line: doc_path, ordinal (from 0), value; file order is path order."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(folder)
-    text = F.regexp_replace("value", "\r\n?", "\n")
-    return files.select(F.col("_metadata.file_path").alias("doc_path"), F.posexplode(F.split(text, "\n")).alias("ordinal", "value"))
+    """Files below a folder, one row per line: doc_path, ordinal (in its file, from 0), row (over all files in path order), value.
+
+    Files are read in splits of bytes, so a file of any size is many tasks.  Lines of a
+    split are read in order; a row per split, with its first number and its lines, gives
+    what comes before it.  Lines end with a line feed, a carriage return or both.
+    """
+    read = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(folder)
+    m = F.col("_metadata")
+    lines = read.select(m["file_path"].alias("doc_path"), m["file_block_start"].alias("split"), F.monotonically_increasing_id().alias("id"), "value")
+    splits = lines.groupBy("doc_path", "split").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    file, every = Window.partitionBy("doc_path").orderBy("split"), Window.orderBy("doc_path", "split")
+    starts = cut(splits.select("doc_path", "split", "first", (F.sum("n").over(file) - F.col("n")).alias("in_file"), (F.sum("n").over(every) - F.col("n")).alias("in_all")))
+    few = starts.limit(BROADCAST_SPLITS + 1).count() <= BROADCAST_SPLITS
+    placed = lines.join(F.broadcast(starts) if few else starts, ["doc_path", "split"])
+    own = F.col("id") - F.col("first")
+    return placed.select("doc_path", (F.col("in_file") + own).alias("ordinal"), (F.col("in_all") + own).alias("row"), "value")
 
 
 def instruction_corpus(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,9 +50,10 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | str) -> Dat
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A CSV table with a header; blanks are null."""
-    return spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, required: list[str] | None = None) -> DataFrame:
+    """A CSV table with a header; blanks are null, and so is what is not of its column's type. Rows without a value in a required column (an end mark, say) are skipped."""
+    rows = spark.read.schema(schema).option("header", True).option("nullValue", "").csv(path)
+    return rows.dropna(subset=required) if required else rows
 
 
 def optional_table(spark: SparkSession, path: str, schema: T.StructType | str, kind: str = "parquet") -> DataFrame:
@@ -65,6 +83,8 @@ def write_csv(df: DataFrame, path: str, decimals: int = 4, true: str = "TRUE", f
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_report(df: DataFrame, path: str, form: str, *columns: str) -> None:
-    """One formatted text line per row, in the row order of the frame."""
+def write_report(df: DataFrame, path: str, form: str, *columns: str, order: list[str] | None = None) -> None:
+    """One formatted text line per row; with `order`, files in path order hold the lines in that order."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
     df.select(F.format_string(form, *columns).alias("value")).write.mode("overwrite").text(path)

@@ -217,6 +217,35 @@ def test_streaming(spark, tmp_path):
     assert [r.length for r in spark.table("live_s").collect()] == [6]
 
 
+def test_files_in_splits_keep_their_lines_in_order(spark, tmp_path):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    texts = {f"{c}.txt": end.join(f"{c} line {i} " + "é" * (i % 40) for i in range(300)) + tail for c, end, tail in (("a", "\n", ""), ("b", "\r\n", "\r\n"), ("sub/c", "\n", "\n\n"))}
+    (tmp_path / "sub").mkdir()
+    for name, text in texts.items():
+        (tmp_path / name).write_bytes(text.encode())
+    (tmp_path / "empty.txt").write_text("")
+    (tmp_path / "other.csv").write_text("no\n")
+    expected = [(name.rsplit("/", 1)[-1], i, line) for name, text in sorted(texts.items()) for i, line in enumerate(text.splitlines())]
+    try:
+        for size in ("700b", "1g"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+            df = files.text_corpus(spark, str(tmp_path))
+            got = df.orderBy("row").collect()
+            assert [(r.doc_path.rsplit("/", 1)[-1], r.ordinal, r.value) for r in got] == expected and [r.row for r in got] == list(range(len(expected)))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+        assert files.text_corpus(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    report = str(tmp_path / "report")
+    files.write_report(spark.range(1000).selectExpr("id", "pmod(hash(id), 7) AS k").repartition(7), report, "%d %d", "k", "id", order=["k", "id"])
+    rows = [tuple(map(int, r.value.split())) for r in files.text_corpus(spark, report).orderBy("row").collect()]
+    assert rows == sorted(rows) and len(rows) == 1000
+    files.write_csv(spark.createDataFrame([(1, "x"), (None, "EOS")], "n int, t string"), str(tmp_path / "eos"))
+    assert [r.t for r in files.read_csv(spark, str(tmp_path / "eos"), "n int, t string", required=["n"]).collect()] == ["x"]
+
+
 def test_literal_match_takes_whole_quotations(spark, tmp_path):
     from seqspark.queries import QUERIES
 
