@@ -8,6 +8,9 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut
+from .quotations import holding
+
 
 def shared_grams(lines: DataFrame, low: int = 2, high: int = 4, docs: int = 2) -> DataFrame:
     """Token n-grams found in several docs: pattern (tokens joined by spaces), length, docs, occurrences.
@@ -28,14 +31,15 @@ def shared_grams(lines: DataFrame, low: int = 2, high: int = 4, docs: int = 2) -
 def containment(patterns: DataFrame) -> DataFrame:
     """(parent, child): the child's tokens stand consecutively in the longer parent.
 
-    The parents' own sub-patterns are joined to the children by equality, so no pair
-    is made that is not an answer.
+    All patterns are one automaton (blocks of them, if there are many), which reads
+    every pattern once: linear in their lengths and in the answers, with no table of
+    the parents' parts.  Repeated patterns count once; tokens hold no control characters.
     """
-    tokens = F.split("pattern", " ")
-    n = F.size("t")
-    subs = F.flatten(F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("t", i, k), " "))))
-    parts = patterns.withColumn("t", tokens).where(n >= 2).select(F.col("pattern").alias("parent"), F.explode(F.array_distinct(subs)).alias("child"))
-    return parts.join(patterns.select(F.col("pattern").alias("child")), "child").select("parent", "child")
+    own = cut(patterns.select("pattern").distinct())
+    marked = F.concat(F.lit("\x1e"), F.replace("pattern", F.lit(" "), F.lit("\x1f\x1e")), F.lit("\x1f"))
+    plain = lambda c: F.translate(F.replace(c, F.lit("\x1f\x1e"), F.lit(" ")), "\x1e\x1f", "")
+    found = holding(own.select(marked.alias("text")), own.select(marked.alias("quote")))
+    return found.select(plain("text").alias("parent"), plain("quote").alias("child"))
 
 
 def reduced(edges: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def depths(edges: DataFrame, nodes: DataFrame, layers: int | None = None) -> Dat
             layer = deeper(layer)
         return layer
     for _ in range(1 << 16):
-        nxt = deeper(layer).checkpoint()
+        nxt = cut(deeper(layer))
         if nxt.join(layer, ["node", "depth"], "left_anti").isEmpty():
             return nxt
         layer = nxt

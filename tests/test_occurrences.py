@@ -54,3 +54,16 @@ def test_shared_patterns_of_covers_are_counted_everywhere(spark):
     shared = [p.split(" ") for p, docs in covers.items() if len(docs) >= 2]
     got = occurrences.pattern_counts(df, occurrences.shared_patterns_of_docs(df))
     assert {(r.doc, r.pattern): r.n for r in got.collect()} == brute([(d, t) for d, _, t in rows], shared) and len(shared) > 10
+
+
+def test_containment_of_long_patterns(spark):
+    rng = random.Random(11)
+    long = [rng.choice(["x", "y", "xy"]) for _ in range(500)]
+    given = [long, long[100:480], long[480:], ["x"], ["nowhere", "x"], [*long[:50], "q"]] + [[rng.choice(["x", "y", "xy"]) for _ in range(rng.randint(1, 7))] for _ in range(60)]
+    given = sorted({tuple(p) for p in given})
+    df = spark.createDataFrame([(" ".join(p),) for p in [*given, given[0]]], "pattern string").repartition(3)
+    inside = lambda c, p: len(c) < len(p) and any(p[i : i + len(c)] == c for i in range(len(p) - len(c) + 1))
+    got = patterns.containment(df).collect()
+    assert {(r.parent, r.child) for r in got} == {(" ".join(p), " ".join(c)) for p in given for c in given if inside(c, p)}
+    assert len(got) == len(set(got)) > 300
+    assert patterns.containment(df.where("false")).collect() == []
