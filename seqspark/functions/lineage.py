@@ -28,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     """df checkpointed to the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """df as a Parquet table of the shared folder, in folders by the given columns, so that a filter on these reads only its rows."""
+    path = new_folder(df.sparkSession, name)
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
