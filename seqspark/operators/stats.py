@@ -76,7 +76,11 @@ def z_global(df: DataFrame, column: str, out: str, flat: str = "zero") -> DataFr
 
 def h_global(pairs: DataFrame, *by: str) -> DataFrame:
     """Entropy of the next token given the current one, from bigrams (a, b), per group."""
-    n_ab = pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n"))
+    return h_of_counts(pairs.groupBy(*by, "a", "b").agg(F.count("*").alias("n")), *by)
+
+
+def h_of_counts(n_ab: DataFrame, *by: str) -> DataFrame:
+    """The same from counted bigrams (a, b, n), each once in a group."""
     n_a = n_ab.groupBy(*by, "a").agg(F.sum("n").alias("n_a"), F.sum(F.col("n") * F.log2("n")).alias("s"))
     # sum over a of n_a log2 n_a - sum of n log2 n, over N
     h = (F.sum(F.col("n_a") * F.log2("n_a")) - F.sum("s")) / F.sum("n_a")

@@ -263,8 +263,17 @@ def h_global(spark, d):
     return rounded(stats.h_global(corpora.bigrams_of(corpora.event_lines(spark, d))), "h")
 
 
+def _mix(z: str, shift: int, factor: int) -> str:
+    return f"CAST((xor({z}, {z} >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {1 << 64}::UHUGEINT AS UBIGINT)"
+
+
+# Number p * n + i of a splitmix64 generator seeded with s (its constants are fixed values)
+_STEP = f"CAST((s::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT * (p * n + i + 1)::UHUGEINT) % {1 << 64}::UHUGEINT AS UBIGINT)"
+_NUMBER = f"list_transform(list_transform(list_transform([{_STEP}], lambda z: {_mix('z', 30, 0xBF58476D1CE4E5B9)}), lambda z: {_mix('z', 27, 0x94D049BB133111EB)}), lambda z: xor(z, z >> 31))[1]"
+
+
 @query("null_model_entropy", f"""WITH {EVENTS}, {BI}, {CNT}, {MARG}, obs AS (SELECT -sum(n / total * log2(n / n_a)) AS h_obs FROM m),
-tk AS (SELECT p AS perm, doc, line, i, tokens[i + 1] AS token, md5(concat_ws('|', '42', p, doc, line, i)) AS h FROM (SELECT *, unnest(range(0, len(tokens))) AS i FROM lines WHERE len(tokens) >= 2), range(0, 100) AS r(p)),
+tk AS (SELECT p AS perm, doc, line, i, tokens[i + 1] AS token, {_NUMBER} AS h FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, CAST('0x' || left(md5(concat_ws('|', '42', doc, line)), 16) AS UBIGINT) AS s, len(tokens) AS n FROM lines WHERE len(tokens) >= 2)), range(0, 1000) AS r(p)),
 sh AS (SELECT perm, token AS a, lead(token) OVER (PARTITION BY perm, doc, line ORDER BY h) AS b FROM tk),
 c AS (SELECT perm, a, b, count(*) AS n FROM sh WHERE b IS NOT NULL GROUP BY 1, 2, 3),
 cm AS (SELECT perm, n, sum(n) OVER (PARTITION BY perm, a) AS n_a, sum(n) OVER (PARTITION BY perm) AS total FROM c),
@@ -272,7 +281,7 @@ nl AS (SELECT perm, -sum(n / total * log2(n / n_a)) AS h FROM cm GROUP BY perm)
 SELECT round(max(h_obs), 6) AS h_obs, round(avg(h), 6) AS null_mean, round(stddev_samp(h), 6) AS null_sd, round(quantile_cont(h, 0.025), 6) AS null_low, round(quantile_cont(h, 0.975), 6) AS null_high,
 round((count(*) FILTER (h <= h_obs) + 1) / (count(*) + 1), 6) AS p_value, round((max(h_obs) - avg(h)) / stddev_samp(h), 4) AS z, round(1 - max(h_obs) / avg(h), 6) AS relative_reduction FROM nl, obs""")
 def null_model_entropy(spark, d):
-    out = resample.null_model(corpora.event_lines(spark, d), 100)
+    out = resample.null_model(corpora.event_lines(spark, d), 1000)
     return rounded(rounded(out, "h_obs", "null_mean", "null_sd", "null_low", "null_high", "p_value", "relative_reduction"), "z", digits=4)
 
 
