@@ -263,17 +263,20 @@ def h_global(spark, d):
     return rounded(stats.h_global(corpora.bigrams_of(corpora.event_lines(spark, d))), "h")
 
 
-def _mix(z: str, shift: int, factor: int) -> str:
-    return f"CAST((xor({z}, {z} >> {shift})::UHUGEINT * {factor}::UHUGEINT) % {1 << 64}::UHUGEINT AS UBIGINT)"
+def _cut(x: str) -> str:
+    """The lower 64 bits of a product or sum of 128."""
+    return f"CAST(({x}) & {(1 << 64) - 1}::UHUGEINT AS UBIGINT)"
 
 
 # Number p * n + i of a splitmix64 generator seeded with s (its constants are fixed values)
-_STEP = f"CAST((s::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT * (p * n + i + 1)::UHUGEINT) % {1 << 64}::UHUGEINT AS UBIGINT)"
-_NUMBER = f"list_transform(list_transform(list_transform([{_STEP}], lambda z: {_mix('z', 30, 0xBF58476D1CE4E5B9)}), lambda z: {_mix('z', 27, 0x94D049BB133111EB)}), lambda z: xor(z, z >> 31))[1]"
+_NUMBERS = f"""z0 AS (SELECT p, doc, line, token, {_cut(f"s::UHUGEINT + {0x9E3779B97F4A7C15}::UHUGEINT * (p * n + i + 1)::UHUGEINT")} AS z FROM places, range(0, 1000) AS r(p)),
+z1 AS (SELECT p, doc, line, token, {_cut(f"xor(z, z >> 30)::UHUGEINT * {0xBF58476D1CE4E5B9}::UHUGEINT")} AS z FROM z0),
+z2 AS (SELECT p, doc, line, token, {_cut(f"xor(z, z >> 27)::UHUGEINT * {0x94D049BB133111EB}::UHUGEINT")} AS z FROM z1)"""
 
 
 @query("null_model_entropy", f"""WITH {EVENTS}, {BI}, {CNT}, {MARG}, obs AS (SELECT -sum(n / total * log2(n / n_a)) AS h_obs FROM m),
-tk AS (SELECT p AS perm, doc, line, i, tokens[i + 1] AS token, {_NUMBER} AS h FROM (SELECT *, unnest(range(0, n)) AS i FROM (SELECT *, CAST('0x' || left(md5(concat_ws('|', '42', doc, line)), 16) AS UBIGINT) AS s, len(tokens) AS n FROM lines WHERE len(tokens) >= 2)), range(0, 1000) AS r(p)),
+places AS (SELECT doc, line, s, n, unnest(range(0, n)) AS i, unnest(tokens) AS token FROM (SELECT *, CAST('0x' || left(md5(concat_ws('|', '42', doc, line)), 16) AS UBIGINT) AS s, len(tokens) AS n FROM lines WHERE len(tokens) >= 2)), {_NUMBERS},
+tk AS (SELECT p AS perm, doc, line, token, xor(z, z >> 31) AS h FROM z2),
 sh AS (SELECT perm, token AS a, lead(token) OVER (PARTITION BY perm, doc, line ORDER BY h) AS b FROM tk),
 c AS (SELECT perm, a, b, count(*) AS n FROM sh WHERE b IS NOT NULL GROUP BY 1, 2, 3),
 cm AS (SELECT perm, n, sum(n) OVER (PARTITION BY perm, a) AS n_a, sum(n) OVER (PARTITION BY perm) AS total FROM c),
