@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..functions.lineage import cut
-from ..operators import cluster, counts, crypto, hypotheses, ngram, occurrences, ordinals, parse, patterns, segments, signature, stability, stats, views
+from ..operators import cluster, counts, crypto, hypotheses, morse, ngram, occurrences, ordinals, parse, patterns, segments, signature, stability, stats, views
 from ..sources import corpora
 from .lines import _COS, _EDGE, _PAT, SIGN, _patterns, classes_of, notation, signatures
 from .models import _SIG, rounded
@@ -66,6 +66,17 @@ def morse_pairs(spark, d):
     return hypotheses.morse_scores(t, "k", "text", "lgapvxr", ["DE", "LA", "EN", "ER", "ES", "EL"], ["QUE", "CON", "EST", "ENT"])
 
 
+# Common Spanish bigrams and trigrams (fixed values)
+BIGRAMS = "DE LA EL EN UN SE NO RE ER AR CO ES IO OS AN AS CI ON TE DO ME NT ST AL TA OR TI RA RO TO LE DA CA RI NA LO IS ND NC TR ED EM".split()
+TRIGRAMS = "QUE ENT CIO NTE DEL LOS EST CON ADO ION ARA RES STA ERE PRE COM UNA PER ANT CIA STR TER PAR LAS TRA ESP ERA LLA NDO".split()
+
+
+@query("morse_corpus")
+def morse_corpus(spark, d):
+    """21 symbol pairs in both polarities over all documents as one text, with 15 shuffled controls."""
+    return morse.corpus_test(corpora.table(spark, d, "documents"), ["doc_id"], "text", "lgapvxr", BIGRAMS, TRIGRAMS)
+
+
 # Patterns
 @query("doc_patterns")
 def doc_patterns(spark, d):
