@@ -37,15 +37,15 @@ _PIECE = "head string, tail string, letters long, weight long"
 
 
 def _table(dash: int) -> np.ndarray:
-    """Letter of a group written as 1 and then a bit per symbol (`dash` being a dash); -1: none."""
-    out = np.full(2 << LONGEST, -1, np.int64)
+    """Letter of a group written as 1 and then a bit per symbol (`dash` being a dash); 26: none."""
+    out = np.full(2 << LONGEST, 26, np.uint8)
     for letter, code in MORSE.items():
         out[int("1" + "".join(str(dash if c == "-" else 1 - dash) for c in code), 2)] = ord(letter) - 65
     return out
 
 
 def _grams(names: list[str], n: int) -> np.ndarray:
-    out = np.zeros(26**n, np.int64)
+    out = np.zeros(26**n, np.bool_)
     for g in names:
         out[sum((ord(c) - 65) * 26 ** (n - 1 - i) for i, c in enumerate(g))] = 1
     return out
@@ -53,9 +53,9 @@ def _grams(names: list[str], n: int) -> np.ndarray:
 
 def _measure(read: np.ndarray, two: np.ndarray, three: np.ndarray) -> tuple[str, str, int, int]:
     """A piece from letter numbers, unknown ones left out."""
-    x = read[read >= 0]
-    pair = x[:-1] * 26 + x[1:]
-    weight = two[pair].sum() + 3 * three[pair[:-1] * 26 + x[2:]].sum()
+    x = read[read < 26]
+    pair = x[:-1].astype(np.int16) * np.int16(26) + x[1:]
+    weight = np.count_nonzero(two[pair]) + 3 * np.count_nonzero(three[pair[:-1] * np.int16(26) + x[2:]])
     return _ALPHABET[x[:2]].tobytes().decode(), _ALPHABET[x[-2:]].tobytes().decode(), len(x), int(weight)
 
 
@@ -68,7 +68,7 @@ def _groups(x: np.ndarray, a: int, b: int) -> tuple[np.ndarray, int]:
     length = np.flatnonzero(edge == -1) - start
     every = len(start)
     start, length = start[length <= LONGEST], length[length <= LONGEST]
-    code = np.ones(len(start), np.int64)
+    code = np.ones(len(start), np.uint8)
     for k in range(LONGEST):
         on = length > k
         code[on] = code[on] * 2 + (x[start[on] + k] == b)
@@ -165,7 +165,8 @@ def shuffled_pieces(counts: DataFrame, symbols: str, bigrams: list[str], trigram
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), "depth").cast("long") - 1))
     perm = F.explode(F.sequence(F.lit(0), F.lit(times - 1)))
     blocks = counts.where(total > 0).select("pair", "counts", depth.alias("depth")).select("*", perm.alias("perm")).select("*", block.alias("block"))
-    dealt = blocks.repartition("pair", "perm", "block")
+    # rows are few but long work: a given number of partitions is not put together again
+    dealt = blocks.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "pair", "perm", "block")
     swapped = [symbols[a] > symbols[b] for a, b in combinations(range(len(symbols)), 2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,7 +193,11 @@ def shuffled_pieces(counts: DataFrame, symbols: str, bigrams: list[str], trigram
                 for k in range(1, LONGEST + 1):  # groups of one symbol
                     dealt[1 << k] += dealt[(2 << k) - 1]
                     dealt[(2 << k) - 1] = 0
-                read = rng.permutation(np.repeat(letter, dealt))
+                dealt[letter == 26] = 0  # unknown groups leave the others' order as it is
+                own = np.repeat(letter, dealt)
+                keys = rng.integers(0, 1 << 59, len(own), np.uint64) << np.uint64(5) | own
+                keys.sort()  # faster than rng.permutation
+                read = (keys & np.uint64(31)).astype(np.uint8)
                 out.append((r["pair"], r["perm"], r["block"] // WIDTH, r["block"] % WIDTH, *_measure(read, two, three)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=names)
