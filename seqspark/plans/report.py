@@ -99,3 +99,16 @@ def summary(parts: dict[str, DataFrame]) -> DataFrame:
         one = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def roll_up(phases: dict[str, tuple[DataFrame | None, dict[str, Column]]]) -> DataFrame:
+    """phase, figure, value (double): the figures of every phase, each phase one aggregate over its table; a phase without a table has one row without figure and value."""
+    out = None
+    for phase, (df, figures) in phases.items():
+        if df is None:
+            one = next(d for d, _ in phases.values() if d is not None).sparkSession.range(1).select(F.lit(phase).alias("phase"), F.lit(None).cast("string").alias("figure"), F.lit(None).cast("double").alias("value"))
+        else:
+            row = df.agg(*(c.cast("double").alias(name) for name, c in figures.items()))
+            one = row.select(F.lit(phase).alias("phase"), F.explode(F.array(*(F.struct(F.lit(n).alias("figure"), F.col(n).alias("value")) for n in figures))).alias("x")).select("phase", "x.*")
+        out = one if out is None else out.unionByName(one)
+    return out

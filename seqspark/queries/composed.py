@@ -331,3 +331,39 @@ def eight_flags(spark, d):
     tested = margins.select("a", "b", ((F.col("n") / F.col("n_a")) / (F.col("n_b") / F.col("total")) > 1).alias("significant"))
     signals = line_signals(lines, classes_of(spark), ["C0", "C1", "C2"], tested, lines.where("doc % 2 = 0"))
     return line_flags(signals).withColumn("line", F.col("line").cast("string"))
+
+
+_PHASES = {
+    "corpus": "SELECT count(DISTINCT doc) AS docs, count(*) AS lines FROM lines",
+    "tokens": "SELECT count(*) AS tokens, count(DISTINCT token) AS types FROM tok",
+    "transitions": "SELECT count(*) AS bigrams, count(*) FILTER (n >= 3) AS tested, count(*) FILTER (n >= 3 AND (n / n_a) / (n_b / total) > 1) AS attracted FROM m",
+    "grammar": "SELECT count(DISTINCT a) AS contexts, round(-sum(n / total * log2(n / n_a)), 6) AS entropy FROM m",
+    "jumps": f"SELECT count(d) AS n, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS spread FROM (SELECT {_COS} AS d FROM (SELECT *, lag(v) OVER (PARTITION BY doc ORDER BY line) AS p FROM sg))",
+    "flags": "SELECT count(*) FILTER (n_flags >= 3) AS critical, count(*) FILTER (n_flags = 2) AS high, count(*) FILTER (n_flags = 1) AS moderate FROM nf",
+}
+_FIGURES = {k: [c.split()[0].rstrip(",") for c in v.split(" FROM ")[0].split(" AS ")[1:]] for k, v in _PHASES.items()}
+
+
+def _phase(k: str) -> str:
+    names = ", ".join(f"('{f}', {f}::DOUBLE)" for f in _FIGURES[k])
+    return f"SELECT '{k}' AS phase, figure, value FROM ({_PHASES[k]}) x, LATERAL (VALUES {names}) f(figure, value)"
+
+
+@query("phase_roll_up", f"WITH {_EIGHT} " + " UNION ALL ".join(map(_phase, _PHASES)) + " UNION ALL SELECT 'references', NULL, NULL")
+def phase_roll_up(spark, d):
+    """Figures of every phase over events; the phase of references has no source there."""
+    from ..plans.report import roll_up
+
+    lines = corpora.event_lines(spark, d)
+    m = counts.with_margins(counts.bigram_counts(lines))
+    c, n = F.col, F.count_if
+    h = -F.sum(c("n") / c("total") * F.log2(c("n") / c("n_a")))
+    return roll_up({
+        "corpus": (lines, {"docs": F.count_distinct("doc"), "lines": F.count("*")}),
+        "tokens": (corpora.tokens_of(lines), {"tokens": F.count("*"), "types": F.count_distinct("token")}),
+        "transitions": (m, {"bigrams": F.count("*"), "tested": n(c("n") >= 3), "attracted": n((c("n") >= 3) & ((c("n") / c("n_a")) / (c("n_b") / c("total")) > 1))}),
+        "grammar": (m, {"contexts": F.count_distinct("a"), "entropy": F.round(h, 6)}),
+        "jumps": (signature.jumps(signatures(spark, d)), {"n": F.count("jump"), "mean": F.round(F.avg("jump"), 6), "spread": F.round(F.stddev_pop("jump"), 6)}),
+        "flags": (eight_flags(spark, d), {"critical": n(c("category") == "CRITICA"), "high": n(c("category") == "ALTA"), "moderate": n(c("category") == "MODERADA")}),
+        "references": (None, {}),
+    })
