@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,21 +96,72 @@ def morse_scores(texts: DataFrame, key: str, text: str, symbols: str, bigrams: l
     return best.withColumn("group_", F.concat_ws("|", key, "a", "b")).join(control, "group_").drop("group_").withColumn("z", z)
 
 
-def local_discordance(lines: DataFrame, window: int = 8, low: float = 0.85) -> DataFrame:
+def _array(x: np.ndarray | pa.Array) -> pa.Array:
+    return x if isinstance(x, pa.Array) else pa.array(x)
+
+
+def _odd_places(tokens: pa.Array, window: int, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """row, position, at, symbol and ruler of the places that differ from the ruler of a window around them, each by the first such window of its row."""
+    n = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy().astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(n)])
+    coded = tokens.flatten().dictionary_encode()
+    x = pc.fill_null(coded.indices, -1).to_numpy()
+    row = np.repeat(np.arange(len(n)), n)
+    start = np.flatnonzero(row[: max(len(x) - window + 1, 0)] == row[window - 1 :])
+    # with one odd place at most, the ruler stands twice among the first three
+    a, b, c = (x[start + k] for k in range(3))
+    ruler = np.where((a >= 0) & ((a == b) | (a == c)), a, b)
+    same = sum((x[start + k] == ruler).astype(np.int64) for k in range(window))
+    odd = (ruler >= 0) & (same / window >= low) & (same < window)
+    start, ruler = start[odd], ruler[odd]
+    place = (start[:, None] + np.arange(window)).ravel()
+    start, ruler = np.repeat(start, window), np.repeat(ruler, window)
+    kept = (x[place] != ruler) & (x[place] >= 0)
+    place, start, ruler = place[kept], start[kept], ruler[kept]
+    turn = np.lexsort((start, place))
+    place, start, ruler = place[turn], start[turn], ruler[turn]
+    new = np.ones(len(place), bool)
+    new[1:] = place[1:] != place[:-1]
+    place, start, ruler = place[new], start[new], ruler[new]
+    of = row[place]
+    names = lambda codes: coded.dictionary.take(pa.array(codes, pa.int32()))
+    return of, (place - first[of]).astype(np.int32), (start - first[of] + 1).astype(np.int32), names(x[place]), names(ruler)
+
+
+def local_discordance(lines: DataFrame, window: int = 8, low: float = 0.85, ties: list[str] | None = None) -> DataFrame:
     """Positions that differ from the symbol which rules a full window around them, once each, by the first window.
 
     In a window of 8 only 7 equal symbols reach the share, so the ruling symbol is
-    that of at least 7 places; windows are row-local slices.
+    that of at least 7 places.  Windows are counted within a batch of lines; only the
+    places found are dealt out, as lines may share a (doc, line): the first window
+    counts then too, of several the one of the line that is first by `ties`, then by
+    symbol and ruler.
     """
-    n = F.size("tokens")
-    starts = F.sequence(F.lit(1), n - (window - 1))
-    w = lines.where(n >= window).select("doc", "line", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), F.slice("tokens", i, window).alias("w")))).alias("x"))
-    # with one odd place at most, the ruler stands twice among the first three
-    first, second, third = (F.col("w")[k] for k in range(3))
-    ruler = F.when((first == second) | (first == third), first).otherwise(second)
-    same = F.size(F.filter("w", lambda t: t == F.col("ruler")))
-    odd = w.select("doc", "line", "x.at", "x.w").withColumn("ruler", ruler).withColumn("share", same / window).where((F.col("share") >= low) & (F.col("share") < 1))
-    places = odd.select("doc", "line", "at", "ruler", F.posexplode("w").alias("k", "symbol")).where(F.col("symbol") != F.col("ruler"))
-    position = (F.col("at") - 1 + F.col("k")).alias("position")
-    first_of = Window.partitionBy("doc", "line", "position").orderBy("at")
-    return places.select("doc", "line", position, "symbol", "ruler", "at").withColumn("r", F.row_number().over(first_of)).where("r = 1").drop("r", "at")
+    ties = ties or []
+    keys = ["doc", "line", *ties]
+    rows = lines.select(*keys, "tokens")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, *found = _odd_places(batch.column("tokens"), window, low)
+            held = batch.select(keys).take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([*held.columns, *map(_array, found)], names=[*keys, "position", "at", "symbol", "ruler"])
+
+    places = rows.mapInArrow(run, ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "position int, at int, symbol string, ruler string"]))
+    first_of = Window.partitionBy("doc", "line", "position").orderBy("at", *ties, "symbol", "ruler")
+    return places.withColumn("r", F.row_number().over(first_of)).where("r = 1").select("doc", "line", "position", "symbol", "ruler")
+
+
+def discordant_lines(lines: DataFrame, window: int = 8, low: float = 0.85) -> DataFrame:
+    """doc, line, odd: has a line of its own tokens any place that local_discordance() gives? Every line has a row."""
+    rows = lines.select("doc", "line", "tokens")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            odd = np.zeros(batch.num_rows, bool)
+            odd[_odd_places(batch.column("tokens"), window, low)[0]] = True
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), batch.column("line"), pa.array(odd)], names=["doc", "line", "odd"])
+
+    return rows.mapInArrow(run, f"doc {kinds['doc']}, line {kinds['line']}, odd boolean")

@@ -21,11 +21,14 @@ e AS (SELECT doc, line, flatten([CASE WHEN p LIKE '(%v)' THEN flatten([flatten([
  WHEN regexp_matches(p, '\\d') THEN ['l' FOR i IN range(0, CAST(regexp_extract(p, '\\d+') AS INTEGER))] ELSE [p] END FOR p IN ps]) AS tokens FROM t)"""
 
 
-def block_notation(spark, d):
-    i = corpora.table(spark, d, "lineitem")
+def block_text(items, *more):
     n = F.col("l_linenumber")
     text = F.concat(F.lit("g("), F.lower("l_returnflag"), n, F.lit("l-"), n % 3 + 1, F.lit("v)("), F.round(F.col("l_tax") * 100).cast("int"), F.lit(")"), F.col("l_quantity").cast("int"))
-    return i.select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") * 1000 + n).alias("line"), text.alias("text"))
+    return items.select(F.col("l_orderkey").alias("doc"), (F.col("l_suppkey") * 1000 + n).alias("line"), *more, text.alias("text"))
+
+
+def block_notation(spark, d):
+    return block_text(corpora.table(spark, d, "lineitem"))
 
 
 @query("expand_rows_blocks", f"WITH {BLOCKS}, {_ROWS} SELECT array_to_string(tokens, '') AS tokens, count(*) AS n FROM e GROUP BY 1")
@@ -41,8 +44,11 @@ u AS (SELECT doc, line, position, arg_min(symbol, i) AS symbol, arg_min(ruler, i
 
 
 def odd_places(spark, d):
-    lines = block_notation(spark, d).select("doc", "line", parse.expand_row(F.col("text")).alias("tokens"))
-    return hypotheses.local_discordance(lines.where(F.size("tokens") >= 5))
+    """Of rows with the same doc and line that which stands first in its file counts, as in the SQL read in order."""
+    place = [("file_", F.col("_metadata.file_path")), ("at_", F.col("_metadata.row_index"))]
+    i = corpora.table(spark, d, "lineitem").select("*", *(c.alias(n) for n, c in place))
+    lines = block_text(i, "file_", "at_").select("doc", "line", "file_", "at_", parse.expand_row(F.col("text")).alias("tokens"))
+    return hypotheses.local_discordance(lines.where(F.size("tokens") >= 5), ties=["file_", "at_"])
 
 
 @query("discordant_rows", f"WITH {_ODD}, r AS (SELECT *, row_number() OVER (PARTITION BY doc, line ORDER BY position) AS r FROM u) SELECT ruler, symbol, count(*) AS n FROM r WHERE r <= 3 GROUP BY 1, 2")
@@ -54,9 +60,12 @@ def discordant_rows(spark, d):
 s AS (SELECT *, CASE WHEN i - lag(i) OVER (PARTITION BY doc ORDER BY i) > 2 THEN 1 ELSE 0 END AS new FROM a), g AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY i) AS g FROM s)
 SELECT doc, min(i) AS first, max(i) AS last, count(*) AS length FROM g GROUP BY doc, g HAVING count(*) >= 3""")
 def discordant_row_runs(spark, d):
-    rows = block_notation(spark, d).select("doc", "line").withColumn("i", F.row_number().over(Window.partitionBy("doc").orderBy("line")))
-    odd = odd_places(spark, d).select("doc", "line").distinct().join(rows, ["doc", "line"]).select("doc", "i")
-    return segments.gap_islands(odd, ["doc"], "i")
+    lines = block_notation(spark, d).select("doc", "line", parse.expand_row(F.col("text")).alias("tokens"))
+    # a doc's rows are dealt once: numbered, and odd if one of the same line is
+    marked = hypotheses.discordant_lines(lines).select(
+        "doc", F.row_number().over(Window.partitionBy("doc").orderBy("line")).alias("i"), F.max("odd").over(Window.partitionBy("doc", "line")).alias("odd")
+    )
+    return segments.gap_islands(marked.where("odd").select("doc", "i"), ["doc"], "i")
 
 
 @query("morse_pairs")

@@ -152,3 +152,28 @@ def test_loadings_are_principal_axes(spark):
     scatter = cluster.scatter(cluster.reduced(df, 2).withColumn("label", F.col("k") % 2), "k", "pca", "label").collect()
     centre = [r for r in scatter if r.kind == "centre" and r.label == 1][0]
     assert centre.x == pytest.approx(np.mean([r.x for r in scatter if r.kind == "point" and r.label == 1])) and len(scatter) == 82
+
+
+def test_of_rows_that_share_a_line_the_first_in_its_file_is_discordant(spark, tmp_path):
+    """Rows of one order, supplier and line number with odd symbols at one place: the SQL's arg_min leaves the tie open, read in order it takes the first row."""
+    import duckdb
+    from seqspark.queries import QUERIES, SQL
+
+    rng = random.Random(3)
+    rows = [(k, 1, 1, 7, float(rng.randint(1, 50)), rng.choice([0.02, 0.07]), flag) for k in range(60) for flag in rng.sample("NAR", 3)]
+    table = spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_tax double, l_returnflag string")
+    table.coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    for name in ("discordant_rows", "discordant_row_runs"):
+        got = [tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(con.execute(SQL[name]).fetchall()) and got or name == "discordant_row_runs"
+
+
+def test_discordance_counts_windows_of_a_line_only(spark):
+    rows = [(1, 1, list("llllplll")), (1, 1, list("llllqlll")), (1, 2, list("lll")), (1, 3, ["l"] * 7 + [None]), (1, 4, None), (2, 1, list("lllplllllllqllll"))]
+    lines = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc int, line int, tokens array<string>, o int").repartition(2)
+    got = sorted((r.doc, r.line, r.position, r.symbol, r.ruler) for r in hypotheses.local_discordance(lines, ties=["o"]).collect())
+    assert got == [(1, 1, 4, "p", "l"), (2, 1, 3, "p", "l"), (2, 1, 11, "q", "l")]
+    marked = sorted((r.doc, r.line, r.odd) for r in hypotheses.discordant_lines(lines).collect())
+    assert marked == [(1, 1, True), (1, 1, True), (1, 2, False), (1, 3, False), (1, 4, False), (2, 1, True)]
