@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,31 +70,97 @@ def morse_scores(texts: DataFrame, key: str, text: str, symbols: str, bigrams: l
     """Every pair of symbols as dot and dash, per text: groups, n1, n2, ratio, the better polarity's score, and its z against shuffled groups.
 
     A text with fewer than `least` groups of a pair is skipped for it; groups of more
-    than five symbols are not read.  The control shuffles groups and letters by hash,
-    and reads a group's first symbol in order of the alphabet as the dot.
+    than five symbols are not read.  The control shuffles groups and letters by a
+    generator that the md5 of seed, text and pair seeds, and reads a group's first symbol
+    in order of the alphabet as the dot.  Pairs of a text are read in one Arrow batch.
     """
-    pairs = F.explode(F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for i, a in enumerate(symbols) for b in symbols[i + 1 :]))).alias("p")
-    t = F.lower(text)
-    rows = texts.select(F.col(key), t.alias("t"), pairs).select(key, "p.a", "p.b", F.filter(F.split(F.regexp_replace("t", F.concat(F.lit("[^"), F.col("p.a"), F.col("p.b"), F.lit("]+")), F.lit(" ")), " "), lambda x: x != "").alias("every"), "t")
-    count = lambda c: F.length("t") - F.length(F.replace(F.col("t"), c, F.lit("")))
-    kept = rows.where(F.size("every") >= least).select(key, "a", "b", F.filter("every", lambda x: F.length(x) <= 5).alias("g"), count(F.col("a")).alias("n1"), count(F.col("b")).alias("n2"))
-    table = F.create_map(*(F.lit(x) for k, v in MORSE.items() for x in (v, k)))
-    read = lambda g, dot, dash: F.array_join(F.transform(g, lambda x: F.coalesce(table[F.translate(F.replace(F.replace(x, dot, F.lit("\u0001")), dash, F.lit("\u0002")), "\u0001\u0002", ".-")], F.lit("?"))), "")
-    score = lambda x: language_score(x, bigrams, trigrams)
-    both = kept.select("*", read(F.col("g"), F.col("a"), F.col("b")).alias("ra"), read(F.col("g"), F.col("b"), F.col("a")).alias("rb"))
-    scored = both.select(key, "a", "b", "g", "n1", "n2", "ra", "rb", score(F.col("ra")).alias("sa"), score(F.col("rb")).alias("sb"))
-    best = scored.select(
-        key, "a", "b", F.size("g").alias("groups"), "n1", "n2", F.try_divide("n1", "n2").alias("ratio"), F.when(F.col("sa") >= F.col("sb"), F.col("a")).otherwise(F.col("b")).alias("dot"),
-        F.substring(F.when(F.col("sa") >= F.col("sb"), F.col("ra")).otherwise(F.col("rb")), 1, 50).alias("reading"), F.greatest("sa", "sb").alias("score"),
-    )
-    shuffled = shuffled_groups(kept.select(F.concat_ws("|", key, "a", "b").alias("group_"), "g"), "group_", times, seed)
-    symbol = lambda x: F.array_min(F.filter(F.split(x, ""), lambda c: c != ""))
-    other = lambda x: F.array_max(F.filter(F.split(x, ""), lambda c: c != ""))
-    dotted = F.transform("g", lambda x: F.when(symbol(x) == other(x), F.repeat(F.lit("."), F.length(x))).otherwise(F.replace(F.replace(x, symbol(x), F.lit(".")), other(x), F.lit("-"))))
-    letters = F.array_join(F.transform(dotted, lambda x: F.coalesce(table[x], F.lit("?"))), "")
-    control = shuffled.select("group_", letters.alias("r")).select("group_", score(F.col("r")).alias("s")).groupBy("group_").agg(F.avg("s").alias("control"), F.coalesce(F.stddev_samp("s"), F.lit(0.0)).alias("control_sd"))
-    z = F.when(F.col("control_sd") > 0, (F.col("score") - F.col("control")) / F.col("control_sd")).otherwise(0.0)
-    return best.withColumn("group_", F.concat_ws("|", key, "a", "b")).join(control, "group_").drop("group_").withColumn("z", z)
+    two = {(a, b): k for k, (a, b) in enumerate((a, b) for i, a in enumerate(symbols) for b in symbols[i + 1 :])}
+    kind = texts.schema[key].dataType.simpleString()
+    t = texts.where(F.col(text).isNotNull()).select(F.col(key).alias("key_"), F.col(key).cast("string").alias("seed_"), F.lower(text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from .morse import LONGEST, _groups, _table
+
+        tables = [_table(1), _table(0)]  # the pair's first symbol as the dot, the second one
+        width = np.array([max(0, c.bit_length() - 1) for c in range(2 << LONGEST)])
+        pair_grams, triple_grams = _gram_numbers(bigrams, 2), _gram_numbers(trigrams, 3)
+        number = {c: i for i, c in enumerate(symbols)}
+
+        def scores(read: np.ndarray) -> np.ndarray:
+            """language_score() of every row of letter numbers, 26 being unknown."""
+            out = np.zeros(len(read))
+            for i, row in enumerate(read):
+                x = row[row < 26].astype(np.int64)
+                m = len(x)
+                if m >= 3:
+                    d = x[:-1] * 26 + x[1:]
+                    out[i] = (np.count_nonzero(pair_grams[d]) + 3 * np.count_nonzero(triple_grams[d[:-1] * 26 + x[2:]])) / ((m - 1) + 3 * (m - 2))
+            return out
+
+        for batch in batches:
+            at, out = [], []
+            for i, (seed_, line) in enumerate(zip(batch.column("seed_").to_pylist(), batch.column("t").to_pylist(), strict=True)):
+                x = np.array([number.get(c, -1) for c in line], np.int64) if line else np.zeros(0, np.int64)
+                n = np.bincount(x[x >= 0], minlength=len(symbols))
+                for (a, b), k in two.items():
+                    ia, ib = number[a], number[b]
+                    if n[ia] + n[ib] < least:  # a group has a symbol at least
+                        continue
+                    codes, every = _groups(x, ia, ib)
+                    if every < least:
+                        continue
+                    first, second = (table[codes] for table in tables)
+                    sa, sb = scores(first[None])[0], scores(second[None])[0]
+                    better = first if sa >= sb else second
+                    words = int.from_bytes(hashlib.md5(f"{seed}|{seed_}|{a}{b}".encode("utf-8", "surrogatepass")).digest(), "big")
+                    null = scores(_shuffled_readings(codes, width, tables[0], a > b, times, np.random.default_rng(words)))
+                    sd = float(null.std(ddof=1)) if times > 1 else 0.0
+                    best = max(sa, sb)
+                    at.append(i)
+                    out.append((a, b, len(codes), int(n[ia]), int(n[ib]), int(n[ia]) / int(n[ib]) if n[ib] else None, a if sa >= sb else b, "".join(_LETTERS[c] for c in better[:50]), best, float(null.mean()), sd, (best - float(null.mean())) / sd if sd > 0 else 0.0))
+            held = batch.column("key_").take(pa.array(at, pa.int64()))
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([held, *(pa.array(c, ty) for c, ty in zip(columns, types, strict=True))], names=[key, *names])
+
+    names = ["a", "b", "groups", "n1", "n2", "ratio", "dot", "reading", "score", "control", "control_sd", "z"]
+    types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.float64(), pa.string(), pa.string(), *[pa.float64()] * 4]
+    fields = "a string, b string, groups int, n1 int, n2 int, ratio double, dot string, reading string, score double, control double, control_sd double, z double"
+    # texts are short rows but long work: a given number of partitions is not put together again
+    dealt = t.repartition(int(t.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key_")
+    return dealt.mapInArrow(run, f"`{key}` {kind}, {fields}")
+
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ?"
+
+
+def _gram_numbers(names: list[str], n: int) -> np.ndarray:
+    out = np.zeros(26**n, bool)
+    for g in names:
+        out[sum((ord(c) - 65) * 26 ** (n - 1 - i) for i, c in enumerate(g))] = True
+    return out
+
+
+def _shuffled_readings(codes: np.ndarray, width: np.ndarray, letter: np.ndarray, swapped: bool, times: int, rng: np.random.Generator) -> np.ndarray:
+    """Letter numbers of so many readings of groups (1 and their bits) in random order with their symbols in random order.
+
+    A group of both symbols is read with that which is first in the alphabet as the dot (`swapped`: the second of the pair), one of a single symbol as dots.
+    """
+    n = len(codes)
+    wide = width[codes]
+    most = int(wide.max(initial=0))
+    place = np.arange(most)
+    bits = np.where(place < wide[:, None], codes[:, None] >> np.maximum(wide[:, None] - 1 - place, 0) & 1, 2).astype(np.int64)
+    keys = rng.random((times, n, most)) + (bits == 2)  # what is beyond a group stays at its end
+    mixed = np.take_along_axis(np.broadcast_to(bits, keys.shape), np.argsort(keys, 2), 2)
+    ones = (bits == 1).sum(1)
+    single = (ones == 0) | (ones == wide)
+    value = np.ones((times, n), np.int64)
+    for k in range(most):
+        on = mixed[:, :, k] < 2
+        value = np.where(on, value * 2 + (1 - mixed[:, :, k] if swapped else mixed[:, :, k]), value)
+    value = np.where(single, 1 << wide, value)
+    order = np.argsort(rng.random((times, n)), 1)
+    return letter[np.take_along_axis(value, order, 1)]
 
 
 def _array(x: np.ndarray | pa.Array) -> pa.Array:

@@ -177,3 +177,26 @@ def test_discordance_counts_windows_of_a_line_only(spark):
     assert got == [(1, 1, 4, "p", "l"), (2, 1, 3, "p", "l"), (2, 1, 11, "q", "l")]
     marked = sorted((r.doc, r.line, r.odd) for r in hypotheses.discordant_lines(lines).collect())
     assert marked == [(1, 1, True), (1, 1, True), (1, 2, False), (1, 3, False), (1, 4, False), (2, 1, True)]
+
+
+def test_morse_scores_read_large_tables_of_texts(spark):
+    """4,000 texts in all 21 pairs are read as plain functions read them; by expressions of Spark alone this took minutes."""
+    import time
+
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice("lgapvxr  e") for _ in range(1500))) for i in range(4000)]
+    df = spark.createDataFrame(rows, "k int, t string").repartition(4)
+    bi, tri = ["DE", "LA", "EL", "EE"], ["DEL", "TET"]
+    begin = time.time()
+    got = {(r.k, r.a, r.b): r for r in hypotheses.morse_scores(df, "k", "t", "lgapvxr", bi, tri).collect()}
+    assert time.time() - begin < 120 and len(got) == 4000 * 21
+    few = df.where("k < 20")
+    for a, b in ("lg", "ar", "vx"):
+        for dot, dash in ((a, b), (b, a)):
+            plain = hypotheses.morse_test(few, "k", "t", [(dot, dash)]).withColumn("s", hypotheses.language_score(F.col("reading"), bi, tri)).collect()
+            assert len(plain) == 20
+            for r in plain:
+                own = got[r.k, a, b]
+                assert own.groups == r.groups and own.score >= r.s - 1e-12
+                assert own.dot != dot or (own.score == pytest.approx(r.s) and own.reading == r.reading[:50])
+    assert np.mean([r.z for r in got.values()]) < 1 and min(r.control_sd for r in got.values()) > 0
