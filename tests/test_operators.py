@@ -309,3 +309,36 @@ def test_token_classes_cover_all_tokens_over_the_hapax_threshold(spark, tmp_path
     often = {w for w, n in counts.items() if n > 1}
     assert len(often) > 100 and sorted(r.token for r in got) == sorted(often)
     assert len({r.label for r in got}) >= 2
+
+
+def test_fisher_tails_of_frequent_pairs_end_where_nothing_is_left(spark):
+    import random
+    import time
+
+    import numpy as np
+
+    rng, rows = random.Random(5), []
+    for _ in range(400):
+        n = rng.randint(1, 3000)
+        a, b = rng.randint(0, n), rng.randint(0, n)
+        rows.append((rng.randint(max(0, a + b - n), min(a, b)), a, b, n))
+    df = spark.createDataFrame(rows, "n long, n_a long, n_b long, total long").coalesce(1)
+    got = stats.with_fisher(df).withColumn("plain", scalars.fisher_greater(*map(F.col, ("n", "n_a", "n_b", "total")))).collect()
+    assert len(got) == 400 and all(r.p_value == pytest.approx(r.plain, abs=1e-12) for r in got)
+    begin = time.time()
+    many = np.array([(10**6 + k, 10**8, 10**8, 10**10) for k in range(-2000, 2000, 10)], np.int64).T
+    p = stats.fisher_tails(*many)  # 99 million terms each without an end
+    assert time.time() - begin < 60 and (np.diff(p) <= 0).all() and abs(p[200] - 0.5) < 1e-2
+    assert stats.with_fisher(df.where("false")).collect() == []
+
+
+def test_replicates_of_a_long_series_are_dealt_and_stay_the_same(spark, monkeypatch):
+    from seqspark.operators import segments
+
+    rows = [(d, i, float((i + d) % 11), (i + d) % 11 > 3) for d in range(4) for i in range(30 + 40 * d)]
+    df = spark.createDataFrame(rows, "doc int, o int, score double, high boolean").repartition(3)
+    out = []
+    for most in (200_000, 25):
+        monkeypatch.setattr(segments, "LONG", most)
+        out.append(sorted(map(tuple, segments.segment_significance(df, "doc", ["o"], 12).collect())))
+    assert out[0] == out[1] and len(out[0]) > 4
