@@ -105,3 +105,13 @@ def test_percentile_values(spark):
             assert v == pytest.approx(lo if lo == hi else lo * (np.ceil(p) - p) + hi * (p - np.floor(p)), rel=1e-12, abs=0), (name, s)
     assert stats.percentile_values(df.where("false"), "x", [0.5]) == [None]
     assert stats.percentiles(df, "x", {"a": 0.5, "b": 1.0}).collect()[0].asDict() == {"a": 1.5, "b": 2.0}
+
+
+def test_pieces_are_numbered_by_more_tasks_in_larger_tables(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, 3]), rng.randint(0, 3000)) for _ in range(900)]
+    df = spark.createDataFrame(rows, "g int, t int").repartition(3)
+    own = sorted(map(tuple, segments.gap_islands(df, ["g"], "t", 2).collect()))
+    monkeypatch.setattr(ordinals, "ROWS", 40)
+    assert ordinals.in_pieces(df, ["g"], ["t"])[0].rdd.getNumPartitions() >= 900 // 40
+    assert sorted(map(tuple, segments.gap_islands(df, ["g"], "t", 2).collect())) == own and len(own) > 20
