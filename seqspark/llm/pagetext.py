@@ -14,8 +14,9 @@ anywhere; names that parts of articles have too (notice, related, search and the
 like) only outside marked articles.
 
 Nothing here recurses along a page's nesting.  Lists of siblings are trimmed of
-equal subtrees at both ends; short remainders are matched by the full recurrence,
-long ones by the most pairs, by rows of bits.
+equal subtrees at both ends; the rest is matched by the weight of what is below,
+whatever its size, by rows of bits where every pair counts one.  Time can grow with
+the product of the sizes of a page and a pattern, memory does not.
 
 Pages with the same article count once, so neither copies nor two pages make a
 template; if nothing but template is left, the page keeps its text.
@@ -29,6 +30,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -79,10 +81,10 @@ _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"
 
 #: Distinct pages of a host that a template node stands on at least.
 LEAST = 3
-#: Products of sizes up to which sibling lists and subtrees are matched by the full recurrence.
+#: Products of lengths up to which a table of siblings is kept whole and without bits; the pairs are the same beyond.
 SMALL = 400
-#: Siblings matched at once beyond that (bit rows of so many columns).
-STRIPE = 8192
+#: Weights of pairs of subtrees that are kept at a time.
+HELD = 1_000_000
 
 
 @dataclass(slots=True, eq=False)
@@ -284,104 +286,179 @@ def _fits(a: Node, b: Node) -> bool:
     return a.tag == b.tag and a.name == b.name and not (a.key and b.key and a.key != b.key and not (a.slots and b.slots))
 
 
-def _weight(a: Node, b: Node) -> int:
-    """The size of the largest matching of two trees whose roots are a pair; of large trees that differ, the roots alone."""
-    if a.key and a.key == b.key:
-        return min(a.size, b.size)
-    if a.size * b.size > SMALL or a.height > 100:
-        return 1
-    above = [0] * (len(b.slots) + 1)
-    for x in a.slots:
+def _trimmed(xs: list[Node], ys: list[Node]) -> tuple[int, int]:
+    """How many pairs of equal subtrees stand at the beginning and at the end of two lists: some largest matching has them."""
+    same = lambda a, b: a.key and a.key == b.key and _fits(a, b)
+    m, n, lo, hi = len(xs), len(ys), 0, 0
+    while lo < min(m, n) and same(xs[lo], ys[lo]):
+        lo += 1
+    while hi < min(m, n) - lo and same(xs[m - 1 - hi], ys[n - 1 - hi]):
+        hi += 1
+    return lo, hi
+
+
+def _flat(xs: list[Node], ys: list[Node]) -> bool:
+    """Does one of two lists hold no blocks of blocks? Then every pair counts 1."""
+    return not any(x.slots for x in xs) or not any(y.slots for y in ys)
+
+
+def _bit_rows(xs: list[Node], ys: list[Node]):
+    """A function (row, from, to) that gives the rows of the most pairs of two flat lists, after the row of `from`: bits, zero where a pair is won over the column before."""
+    every, bare, keyed_, inner = ({} for _ in range(4))
+    for j, y in enumerate(ys):
+        of, bit = (y.tag, y.name), 1 << j
+        every[of] = every.get(of, 0) | bit
+        if not y.key:
+            bare[of] = bare.get(of, 0) | bit
+        else:
+            keyed_[of, y.key] = keyed_.get((of, y.key), 0) | bit
+        if y.slots:
+            inner[of] = inner.get(of, 0) | bit
+    full = (1 << len(ys)) - 1
+
+    def rows(row: int, begin: int, end: int) -> Iterator[int]:
+        for x in xs[begin:end]:
+            of = (x.tag, x.name)
+            fits = (bare.get(of, 0) | keyed_.get((of, x.key), 0) | (inner.get(of, 0) if x.slots else 0)) if x.key else every.get(of, 0)
+            u = row & fits
+            row = (row + u | row - u) & full
+            yield row
+
+    return rows, full
+
+
+def _weight_steps(a: Node, b: Node):
+    """The size of the largest matching of two trees whose roots are a pair; asks for those of pairs below it."""
+    lo, hi = _trimmed(a.slots, b.slots)
+    ends = [*zip(a.slots[:lo], b.slots[:lo]), *zip(a.slots[len(a.slots) - hi :], b.slots[len(b.slots) - hi :])]
+    total = 1 + sum(min(x.size, y.size) for x, y in ends)
+    xs, ys = a.slots[lo : len(a.slots) - hi], b.slots[lo : len(b.slots) - hi]
+    if not xs or not ys:
+        return total
+    if _flat(xs, ys):
+        rows, row = _bit_rows(xs, ys)
+        for row in rows(row, 0, len(xs)):  # noqa: B007
+            pass
+        return total + len(ys) - row.bit_count()
+    above = [0] * (len(ys) + 1)
+    for x in xs:
         row = [0]
-        for j, y in enumerate(b.slots):
-            row.append(max(row[j], above[j + 1], above[j] + _weight(x, y) if _fits(x, y) else 0))
+        for j, y in enumerate(ys):
+            best = max(row[j], above[j + 1])
+            if _fits(x, y):
+                w = _plain_weight(x, y)
+                best = max(best, above[j] + (w or (yield x, y)))
+            row.append(best)
         above = row
-    return 1 + above[-1]
+    return total + above[-1]
+
+
+def _plain_weight(a: Node, b: Node) -> int:
+    """The weight of a pair that needs no matching of what is below it, else 0."""
+    if a.key and a.key == b.key:
+        return min(a.size, b.size)
+    return 0 if a.slots and b.slots else 1
 
 
-def _by_recurrence(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    """Pairs of two short lists of siblings, in order, of the largest weight."""
+def _weight(a: Node, b: Node, known: dict | None = None) -> int:
+    """The size of the largest matching of two trees, of any size, whose roots are a pair.
+
+    Nothing recurses; known keeps weights of pairs found before, and is emptied when it
+    holds HELD of them, which costs time alone.
+    """
+    known = {} if known is None else known
+    if w := _plain_weight(a, b) or known.get((id(a), id(b)), 0):
+        return w
+    stack, answer = [((id(a), id(b)), _weight_steps(a, b))], None
+    while stack:
+        key, steps = stack[-1]
+        try:
+            x, y = steps.send(answer)
+        except StopIteration as e:
+            stack.pop()
+            if len(known) >= HELD:
+                known.clear()
+            answer = known[key] = e.value
+            continue
+        asked = id(x), id(y)
+        answer = known.get(asked)
+        if answer is None:
+            stack.append((asked, _weight_steps(x, y)))
+    return answer
+
+
+def _by_recurrence(xs: list[Node], ys: list[Node], known: dict | None = None) -> list[tuple[Node, Node]]:
+    """Pairs of two lists of siblings, in order, of the largest weight. Of the table only some rows are kept, the others are made again on the way back."""
     m, n = len(xs), len(ys)
-    best = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            w = _weight(xs[i - 1], ys[j - 1]) if _fits(xs[i - 1], ys[j - 1]) else 0
-            best[i][j] = max(best[i][j - 1], best[i - 1][j], best[i - 1][j - 1] + w)
-    out, i, j = [], m, n
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            out.append((xs[i - 1], ys[j - 1]))
-            i, j = i - 1, j - 1
-    return out
+    every = m if m * n <= SMALL else max(1, math.isqrt(m))
+
+    def rows(above: list[int], begin: int, end: int) -> Iterator[list[int]]:
+        for x in xs[begin:end]:
+            row = [0]
+            for j, y in enumerate(ys):
+                best = max(row[j], above[j + 1])
+                row.append(max(best, above[j] + _weight(x, y, known)) if _fits(x, y) else best)
+            yield row
+            above = row
+
+    return _walked_back(xs, ys, rows, [0] * (n + 1), every, lambda row, j: row[j] == row[j - 1], lambda row, above, j: row[j] == above[j])
 
 
 def _by_bits(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    """The most pairs of two long lists of siblings, in order: rows of the common subsequence as bits."""
-    kind = lambda n: (n.tag, n.name, 0 if n.slots else n.key)
-    out: list[tuple[Node, Node]] = []
-    lo = 0
-    for x0 in range(0, len(xs), STRIPE):
-        part, other = xs[x0 : x0 + STRIPE], ys[lo : lo + STRIPE]
-        at: dict[tuple, int] = {}
-        for j, y in enumerate(other):
-            at[kind(y)] = at.get(kind(y), 0) | 1 << j
-        full = (1 << len(other)) - 1
-        rows, row = [full], full
-        for x in part:  # a zero bit: one more pair than in the column before
-            u = row & at.get(kind(x), 0)
-            row = (row + u | row - u) & full
-            rows.append(row)
-        i, j, used = len(part), len(other), 0
-        found = []
-        while i and j:
-            if rows[i] >> (j - 1) & 1:
+    """_by_recurrence() of lists that are flat, with the same pairs: rows of the common subsequence as bits."""
+    rows, full = _bit_rows(xs, ys)
+    return _walked_back(xs, ys, rows, full, max(1, math.isqrt(len(xs))), lambda row, j: row >> (j - 1) & 1, lambda row, above, j: not above >> (j - 1) & 1)
+
+
+def _walked_back(xs: list[Node], ys: list[Node], rows, first, every: int, left, up) -> list[tuple[Node, Node]]:
+    """The pairs that a table's rows tell from its end: left(row, j) and up(row, above, j) say whether a place is worth no more than its neighbours."""
+    kept, row = [first], first
+    for i in range(0, len(xs), every):
+        for row in rows(row, i, min(i + every, len(xs))):  # noqa: B007
+            pass
+        kept.append(row)
+    out, j = [], len(ys)
+    for b in reversed(range(len(kept) - 1)):
+        begin = b * every
+        table = [kept[b], *rows(kept[b], begin, min(begin + every, len(xs)))] if j else []
+        i = len(table) - 1
+        while i > 0 and j:
+            if left(table[i], j):
                 j -= 1
-            elif not rows[i - 1] >> (j - 1) & 1:
+            elif up(table[i], table[i - 1], j):
                 i -= 1
             else:
-                found.append((part[i - 1], other[j - 1]))
-                used = used or j
+                out.append((xs[begin + i - 1], ys[j - 1]))
                 i, j = i - 1, j - 1
-        out += reversed(found)
-        lo += used
     return out
 
 
-def _siblings(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-    """Pairs of two lists of siblings, in order: equal ones at both ends first, then the rest."""
-    same = lambda a, b: a.key and a.key == b.key and _fits(a, b)
-    m, n, lo = len(xs), len(ys), 0
-    while lo < min(m, n) and same(xs[lo], ys[lo]):
-        lo += 1
-    hi = 0
-    while hi < min(m, n) - lo and same(xs[m - 1 - hi], ys[n - 1 - hi]):
-        hi += 1
+def _siblings(xs: list[Node], ys: list[Node], known: dict | None = None) -> list[tuple[Node, Node]]:
+    """Pairs of two lists of siblings, in order, of the largest weight: equal ones at both ends first, then the rest."""
+    m, n = len(xs), len(ys)
+    lo, hi = _trimmed(xs, ys)
     ends = [*zip(xs[:lo], ys[:lo]), *zip(xs[m - hi :], ys[n - hi :])]
     xs, ys = xs[lo : m - hi], ys[lo : n - hi]
     if not xs or not ys:
         return ends
-    return ends + (_by_recurrence(xs, ys) if len(xs) * len(ys) <= SMALL else _by_bits(xs, ys))
+    if len(xs) == len(ys) == 1:
+        return ends + ([(xs[0], ys[0])] if _fits(xs[0], ys[0]) else [])
+    return ends + (_by_bits(xs, ys) if _flat(xs, ys) and len(xs) * len(ys) > SMALL else _by_recurrence(xs, ys, known))
 
 
 def align(a: Node, b: Node, pairs: list) -> int:
-    """Simple tree matching: the number of pairs of a largest matching of two trees with matching roots, which are added.
-
-    Long lists of siblings are matched by number of pairs, not by the weight of what is below them.
-    """
+    """Simple tree matching: the number of pairs of a largest matching of two trees with matching roots, of any size, which are added."""
     for tree in (a, b):
         if tree.slots is None:
             prepared(tree)
             for node in _tree(tree):
                 node.key = 0
+    known: dict = {}
     before, todo = len(pairs), [(a, b)] if (a.tag, a.name) == (b.tag, b.name) else []
     while todo:
         x, y = todo.pop()
         pairs.append((x, y))
-        todo += _siblings(x.slots, y.slots)
+        todo += _siblings(x.slots, y.slots, known)
     return len(pairs) - before
 
 

@@ -431,6 +431,39 @@ def test_long_lists_align_like_short_ones(monkeypatch):
         assert sizes[0] == sizes[1]
 
 
+def test_large_subtrees_that_differ_align_by_their_weight(monkeypatch):
+    """Of two blocks the one with more in common is a pair, however large they are, and ties do not depend on what is kept."""
+    for n in (3, 30):
+        box = lambda own: "<div>" + "".join(f"<p>{w}</p>" for w in own) + "</div>"  # noqa: E731, B023
+        same, other = [f"s{i}" for i in range(n)], [f"o{i}" for i in range(n)]
+        a, b = pagetext.parse(box([*same, "x"])), pagetext.parse(box(other) + box([*same, "y"]))
+        pagetext.keyed(a), pagetext.keyed(b)
+        assert pagetext.align(a, b, []) == n + 2
+    rng = random.Random(5)
+
+    def tree(depth):
+        return "".join(f"<{(t := rng.choice(('div', 'ul')))}>{tree(depth - 1) if depth else ''}</{t}>" if rng.random() < 0.6 else f"<p>{rng.choice('xyz')}</p>" for _ in range(rng.randint(1, 4)))
+
+    def plain(x, y):
+        best = [[0] * (len(y.slots) + 1) for _ in range(len(x.slots) + 1)]
+        for i, c in enumerate(x.slots):
+            for j, d in enumerate(y.slots):
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + (plain(c, d) if pagetext._fits(c, d) else 0))
+        return 1 + best[-1][-1]
+
+    for _ in range(80):
+        x, y = pagetext.parse(tree(3)), pagetext.parse(tree(3))
+        pagetext.keyed(x), pagetext.keyed(y)
+        found = []
+        for small, held in ((400, 1_000_000), (0, 1_000_000), (0, 1)):
+            monkeypatch.setattr(pagetext, "SMALL", small)
+            monkeypatch.setattr(pagetext, "HELD", held)
+            pairs = []
+            assert pagetext.align(x, y, pairs) == plain(x, y)
+            found.append({(id(p), id(q)) for p, q in pairs})
+        assert found[0] == found[1] == found[2]
+
+
 def test_op8_counts_over_all_pages_of_a_host_inside_articles(spark):
     page = "<body><nav>m</nav><article><h1>Head {i}</h1><p>alpha {i}</p>{box}<p>beta {i}</p></article></body>"
     box = "<div class=teal><p>Read more on our site</p></div>"
