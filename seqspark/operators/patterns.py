@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..functions.lineage import cut
 from .quotations import holding
 
+#: Rows of patterns that a task hands on together.
+ROWS = 10_000
+
 
 def shared_grams(lines: DataFrame, low: int = 2, high: int = 4, docs: int = 2) -> DataFrame:
     """Token n-grams found in several docs: pattern (tokens joined by spaces), length, docs, occurrences.
@@ -127,8 +130,13 @@ def cover_of_lines(lines: list[list[str]], longest: int | None = None) -> list[t
         if covered.all():
             break
         order = np.argsort(grams, kind="stable")
-        groups = np.split(order, np.flatnonzero(np.diff(grams[order])) + 1)
-        for at in sorted((g for g in groups if len(g) >= 2), key=lambda g: g[0]):
+        start = np.flatnonzero(np.concatenate([[True], np.diff(grams[order]) != 0]))
+        end = np.append(start[1:], len(order))
+        free = np.concatenate([[0], np.cumsum(~covered)])
+        some = np.add.reduceat((free[size:] > free[:-size])[order], start, dtype=np.int64)  # what is covered stays so
+        found = np.flatnonzero((end - start >= 2) & (some > 0))
+        for g in found[np.argsort(order[start[found]])].tolist():
+            at = order[start[g] : end[g]]
             spots = at[:, None] + np.arange(size)
             independent = int((~covered[spots]).any(1).sum())
             if independent:
@@ -150,10 +158,23 @@ def _covered(rows: DataFrame, column: str, longest: int | None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            schema = pa.schema([("doc", b.schema.field("doc").type), ("pattern", pa.string()), *((c, pa.int64()) for c in ("n", "independent", "covers"))])
-            for d, t in zip(b.column("doc"), b.column(column), strict=True):
+            at: list[int] = []
+            out: list[tuple] = []
+
+            def rows() -> pa.RecordBatch:
+                own = [pa.array([r[k] for r in out], pa.string() if k == 0 else pa.int64()) for k in range(4)]  # noqa: B023
+                return pa.RecordBatch.from_arrays([b.column("doc").take(pa.array(at, pa.int64())), *own], names=["doc", "pattern", "n", "independent", "covers"])  # noqa: B023
+
+            for i, t in enumerate(b.column(column)):
                 found = cover_of_lines(t.as_py() if nested else [t.as_py()], longest)
-                yield pa.RecordBatch.from_pylist([{"doc": d.as_py(), "pattern": p, "n": n, "independent": i, "covers": c} for p, n, i, c in found], schema)
+                out += found
+                at += [i] * len(found)
+                if len(out) >= ROWS:
+                    yield rows()
+                    at.clear()
+                    out.clear()
+            if out:
+                yield rows()
 
     return rows.select("doc", column).mapInArrow(run, f"doc {doc}, pattern string, n long, independent long, covers long")
 

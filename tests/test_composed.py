@@ -200,3 +200,31 @@ def test_morse_scores_read_large_tables_of_texts(spark):
                 assert own.groups == r.groups and own.score >= r.s - 1e-12
                 assert own.dot != dot or (own.score == pytest.approx(r.s) and own.reading == r.reading[:50])
     assert np.mean([r.z for r in got.values()]) < 1 and min(r.control_sd for r in got.values()) > 0
+
+
+def test_patterns_of_many_docs_leave_a_task_together(spark):
+    """Docs' patterns are handed on in batches, not doc by doc, and are those of each doc alone."""
+    import random
+
+    import pyarrow as pa
+    from seqspark.operators import patterns
+
+    rng = random.Random(3)
+    docs = {d: [[rng.choice("abc") for _ in range(rng.randint(1, 6))] for _ in range(rng.randint(1, 8))] for d in range(40)}
+    rows = spark.createDataFrame([(d, i, t) for d, ts in docs.items() for i, t in enumerate(ts)], "doc int, line int, tokens array<string>")
+    whole = rows.groupBy("doc").agg({"line": "max"}).select("doc")
+    sizes = []
+
+    class Rows:
+        schema = whole.schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            batch = pa.RecordBatch.from_arrays([pa.array(list(docs), pa.int32()), pa.array(list(docs.values()), pa.list_(pa.list_(pa.string())))], names=["doc", "lines"])
+            return [sizes.append(b.num_rows) or b for b in run(iter([batch]))]
+
+    got = sorted(tuple(r.values()) for b in patterns._covered(Rows(), "lines", None) for r in b.to_pylist())
+    assert got == sorted((d, *p) for d, ts in docs.items() for p in patterns.cover_of_lines(ts)) and len(sizes) == 1
+    assert sorted(map(tuple, patterns.doc_patterns(rows, None).collect())) == got
