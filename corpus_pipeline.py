@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from seqspark.llm import common, decontaminate, neardups, packing, queries, substrings, toxicity
 from seqspark.session import ship
 
+#: Bytes of either generation of the packing workers' cache of words: their memory comes on top of what four stages have left.
+PACKING_HELD_BYTES = 24_000_000
+
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject."""
@@ -36,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of 4096 tokens."""
-    return packing.pack(docs, queries.tokenizer_path())
+    return packing.pack(docs, queries.tokenizer_path(), held_bytes=PACKING_HELD_BYTES)
 
 
 STAGES = [

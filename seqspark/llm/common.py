@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -73,11 +74,12 @@ def slices(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
 
 
 def text_blocks(batches: Iterator[pa.RecordBatch], most: int, text: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Arrow batches cut so that each holds about `most` characters; with the texts as a list (null: None)."""
+    """Arrow batches cut so that each holds about `most` characters; with the texts as a list (null: None), those of one block at a time."""
     for batch in batches:
-        texts = batch.column(text).to_pylist()
-        for lo, hi in slices([0 if t is None else len(t) for t in texts], most):
-            yield batch.slice(lo, hi - lo), texts[lo:hi]
+        sizes = pc.fill_null(pc.utf8_length(batch.column(text)), 0).to_pylist()
+        for lo, hi in slices(sizes, most):
+            block = batch.slice(lo, hi - lo)
+            yield block, block.column(text).to_pylist()
 
 
 _SPACE = re.compile(r"[\x20\x09-\x0D]")

@@ -296,7 +296,7 @@ MATCHES = T.StructType(
         T.StructField("words", T.LongType()),
     ]
 )
-_SHARD_CHARS = 4_000_000
+_SHARD_CHARS = 1_000_000
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[DataFrame]:

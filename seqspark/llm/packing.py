@@ -27,7 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import text_blocks
-from .wordids import word_ids
+from .wordids import WordIds, word_ids
+
+#: Characters of texts that a task encodes at once.
+BLOCK_CHARS = 1_000_000
 
 SCHEMA = T.StructType(
     [T.StructField("doc_id", T.LongType())]
@@ -133,20 +136,21 @@ def pack_documents(rows: Iterator[tuple], capacity: int, pool_items: int, first_
         sequence += 1
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, pool_items: int = 2048) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 2, pool_items: int = 2048, held_bytes: int = WordIds.HELD_BYTES) -> DataFrame:
     """Pieces of docs (doc_id, text) in sequences; tokenizer is the path of a tokenizer file.
 
     pool_items bounds the remainders that wait in a task (at most pool_items *
-    capacity tokens).  sequence_id is unique over all tasks.
+    capacity tokens), held_bytes each generation of a worker's cache of words.
+    sequence_id is unique over all tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end = word_ids(tokenizer), end_id.to_bytes(4, "little")
+        encoder, end = word_ids(tokenizer, held_bytes), end_id.to_bytes(4, "little")
 
         def rows() -> Iterator[tuple]:
-            for block, texts in text_blocks(batches, 4_000_000):
+            for block, texts in text_blocks(batches, BLOCK_CHARS):
                 for doc, ids in zip(block.column("doc_id").to_pylist(), encoder.many(texts), strict=True):
                     yield doc, ids + end
 

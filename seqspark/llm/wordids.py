@@ -31,12 +31,15 @@ class WordIds:
 
     #: Words held in each of the two cache generations.
     HELD = 500_000
+    #: Bytes held in each of the two cache generations, about: of words, their ids, and WORD_BYTES more a word.
+    HELD_BYTES, WORD_BYTES = 96_000_000, 150
     #: Characters that are split into words at once.
     BLOCK_CHARS = 4_000_000
     #: New words that go to the library as one text.
     JOINED = 1000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held_bytes: int = HELD_BYTES):
+        self.HELD_BYTES = held_bytes
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         os.environ["RAYON_NUM_THREADS"] = "1"
         from tokenizers import Tokenizer
@@ -47,6 +50,11 @@ class WordIds:
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith("</w>")]] = True
         self.young: dict[bytes, bytes] = {}
         self.old: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of the young generation
+
+    def _put(self, words: list[bytes], ids: list[bytes]) -> None:
+        self.young.update(zip(words, ids, strict=True))
+        self.held += sum(map(len, words)) + sum(map(len, ids)) + self.WORD_BYTES * len(words)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -82,22 +90,22 @@ class WordIds:
             parts = {s[of] for s in split} - some
             some.update(p for p in parts if p not in young and not self._again(p))
         new = list(letters)
-        young.update(zip(new, self._letters(new), strict=True))
+        self._put(new, self._letters(new))
         new = list(other)
-        young.update(zip(new, self._library([w.decode() for w in new]), strict=True))
-        young.update((w, young[stem] + young[points]) for w, stem, points in split)
+        self._put(new, self._library([w.decode() for w in new]))
+        self._put([w for w, _, _ in split], [young[stem] + young[points] for _, stem, points in split])
 
     def _again(self, word: bytes) -> bool:
         """Takes a word over from the old generation, if it is there."""
         ids = self.old.get(word)
         if ids is None:
             return False
-        self.young[word] = ids
+        self._put([word], [ids])
         return True
 
     def _of_distinct(self, words: list[bytes]) -> list[bytes]:
-        if len(self.young) > self.HELD:
-            self.young, self.old = {}, self.young
+        if len(self.young) > self.HELD or self.held > self.HELD_BYTES:
+            self.young, self.old, self.held = {}, self.young, 0
         young = self.young
         found = list(map(young.get, words))
         missing = [i for i, ids in enumerate(found) if ids is None]
@@ -147,11 +155,11 @@ class WordIds:
         return self.many([text])[0]
 
 
-_HELD: dict[str, WordIds] = {}
+_HELD: dict[tuple[str, int], WordIds] = {}
 
 
-def word_ids(path: str) -> WordIds:
-    """The worker's own encoder for a tokenizer file."""
-    if path not in _HELD:
-        _HELD[path] = WordIds(path)
-    return _HELD[path]
+def word_ids(path: str, held_bytes: int = WordIds.HELD_BYTES) -> WordIds:
+    """The worker's own encoder for a tokenizer file, with a cache of so many bytes in each generation."""
+    if (path, held_bytes) not in _HELD:
+        _HELD[path, held_bytes] = WordIds(path, held_bytes)
+    return _HELD[path, held_bytes]

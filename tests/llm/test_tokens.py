@@ -159,3 +159,32 @@ def test_op10(spark, sf):
     odd = spark.createDataFrame([(1, None, 9), (2, "", 9), (3, "ÿ\x00 a", 9), (3, "ÿ\x00 a", 9)], "doc_id int, text string, n_words int")
     assert sorted(map(tuple, tokencounts.token_counts(odd, queries.vocabulary_path()).collect()))[:2] == [(1, 0, 0, 0), (2, 0, 0, 0)]
     assert tokencounts.token_counts(odd.where("false"), queries.vocabulary_path()).collect() == []
+
+
+def test_a_batchs_texts_are_made_strings_a_block_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    texts = [None if i == 7 else chr(97 + i % 26) * 100_000 for i in range(200)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(200)), "text": texts})
+    tracemalloc.start()
+    seen = []
+    for block, some in common.text_blocks([batch], 1_000_000):
+        assert len(some) <= 11
+        seen += [(i, t is None or t == texts[i]) for i, t in zip(block.column("doc_id").to_pylist(), some, strict=True)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == [(i, True) for i in range(200)]
+    assert peak < 5_000_000  # two blocks, not 20 MB
+
+
+def test_word_cache_is_bounded_by_bytes(tokenizer):
+    rng = random.Random(5)
+    w = wordids.WordIds(queries.tokenizer_path())
+    w.HELD_BYTES = 100_000
+    for _ in range(30):
+        text = " ".join("".join(rng.choices("abcdefghij", k=2000)) + "!" * (i % 2) for i in range(10))
+        assert w.ids(text) + b"\2\0\0\0" == ids_of(tokenizer, text)
+        held = [sum(len(k) + len(v) for k, v in c.items()) for c in (w.young, w.old)]
+        assert max(held) < 400_000  # one text's words beyond the bound at most
